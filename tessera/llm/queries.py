@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import one_per_key, table
 from .frequent import heavy_hitters, query_pattern
+from .leaks import leaked_items
 from .lookalike import look_alike_classes, look_alike_pairs
 from .packing import pack
+from .pairs import defective_pairs
 from .pieces import split_pieces
 from .vocabulary import marked_vocabulary, term_divergence
 
@@ -51,6 +53,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_vocabulary(spark, d).filter("mark is not null").select("term", "mark")
 
 
+def p5_flags(spark: SparkSession, d: str) -> DataFrame:
+    return defective_pairs(table(spark, d, "training_examples"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_flags(spark, d).select("example_id", "defect")
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_pieces(table(spark, d, "store_docs"))
 
@@ -68,6 +78,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).filter("parts > 1 and part = 0").select("doc_id")
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they hold: how many ten-word windows match, and where the first one is."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).select("doc_id", "item_id")
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     """Each text's class: equal classes look the same."""
     return look_alike_classes(table(spark, d, "documents")).select("doc_id", F.col("form.f1").alias("form_high"), F.col("form.f2").alias("form_low"))
@@ -77,4 +96,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p6_found, p6_pieces, p7_found, p7_containers, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p9_found, p9_forms)}

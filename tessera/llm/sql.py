@@ -16,6 +16,9 @@ tf as (select id, term, count(*) as tf from uses group by id, term),
 stats as (select term, count(*) as records, sum(tf) as occurrences from tf group by term)
 """
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_WINDOWS = "select {key}, unnest(list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i : i + 9], ' '))) as passage from (select {key}, {words} as ws from {table} where {key} is not null and text is not null)"
+
 SQL = {
     "p1_found": f"{_P1} select query_pattern from p, t group by query_pattern, total having count(*) >= 0.002 * total",
     "p2_found": f"{_P2} select id, term from tf join r using (id) join stats using (term) where tf >= least and records between 2 and 15",
@@ -27,5 +30,6 @@ select term, count(*) as occurrences, count(distinct id) as records, case when c
 from uses, n group by term, n""",
     "p6_found": rf"""with long as (select distinct id, content from store_docs where id is not null and length(content) > 2000)
 select distinct id, case when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from long""",
+    "p8_found": f"select distinct doc_id, item_id from ({_WINDOWS.format(key='doc_id', words=_WORDS, table='documents')}) join ({_WINDOWS.format(key='item_id', words=_WORDS, table='eval_items')}) using (passage)",
     "p7_found": "select doc_id from documents where doc_id is not null and strlen(text) + 1 > 4096",
 }
