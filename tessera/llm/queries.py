@@ -11,6 +11,7 @@ from .lookalike import look_alike_classes, look_alike_pairs
 from .packing import pack
 from .pairs import defective_pairs
 from .pieces import split_pieces
+from .similar import similar_classes, similar_pairs
 from .vocabulary import marked_vocabulary, term_divergence
 
 
@@ -53,6 +54,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_vocabulary(spark, d).filter("mark is not null").select("term", "mark")
 
 
+#: TESTDATA.md's setting of problem 4.
+VERSIONS = {"threshold": 0.6, "width": 3, "least_terms": 20}
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's class of versions of one text."""
+    return similar_classes(table(spark, d, "store_docs"), **VERSIONS)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "store_docs"), **VERSIONS)
+
+
 def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return defective_pairs(table(spark, d, "training_examples"))
 
@@ -96,4 +110,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p9_found, p9_forms)}

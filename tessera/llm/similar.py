@@ -1,24 +1,28 @@
 """Problem 4: records whose sets of word shingles are similar, exactly.
 
-A set-similarity join with prefix filter, carried out with two kinds of skipping. Index lists (the records of a rare
-shingle) are kept in blocks by set size and scanned by position: a probe meets only blocks whose sizes and positions can
-still reach the threshold. And sets with equal content are one class, whose links are found once and handed to all members;
-a set's overlap with its partners is derived from the overlap of a highly similar set by the few shingles in which the two
-differ."""
+A set-similarity join with prefix filter, carried out with two kinds of skipping. Index lists (the records that have a rare
+shingle) are ordered by size class and position and kept in blocks: a block is met only by blocks whose sizes and positions can
+still reach the threshold. And answers are derived from those of similar sets: sets with equal content are one class, whose
+links are found once; a set is compared with one similar set, its pivot, and what it shares with the pivot's other partners
+is then bounded by the two distances to the pivot, which settles most pairs without looking at their sets."""
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, cut, mix, terms
+from .common import Splitter, cut, mix
 
-SLOTS, BLOCK = 1 << 22, 1 << 16
+SLOTS, SLOT_BLOCK = 1 << 23, 1 << 17
+BLOCK = 64
+#: A list longer than this is met in pieces, pair by pair of pieces.
+HOT = 20_000
+FILTER_BITS = 1 << 26
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def shingle_sets(texts: list, split: Splitter, width: int, least_terms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,10 +39,10 @@ def shingle_sets(texts: list, split: Splitter, width: int, least_terms: int) ->
     h = np.array(flat, np.uint64)
     made = h[: len(h) - width + 1] * _ODD[0]
     for k in range(1, width):
-        made = mix(made + h[k : len(h) - width + 1 + k] * _ODD[1]) * _ODD[2] if k < width - 1 else mix(made + h[k:] * _ODD[1])
+        made = mix(made + h[k : len(h) - width + 1 + k] * _ODD[1]) * _ODD[2]
     row = np.repeat(np.arange(len(texts)), n)
     inside = row[: len(made)] == row[width - 1 :]
-    row, made = row[: len(made)][inside], made[inside]
+    row, made = row[: len(made)][inside], mix(made[inside])
     order = np.lexsort((made, row))
     row, made = row[order], made[order]
     first = np.ones(len(row), bool)
@@ -46,35 +50,75 @@ def shingle_sets(texts: list, split: Splitter, width: int, least_terms: int) ->
     return row[first], made[first]
 
 
-def _fingerprints(row: np.ndarray, made: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set fingerprint, set size) for each of `count` texts; 0, 0 without a set."""
-    fp, n = np.zeros(count, np.uint64), np.bincount(row, minlength=count)
-    np.add.at(fp, row, mix(made ^ _ODD[2]))
-    return np.where(n > 0, mix(fp ^ n.astype(np.uint64)), 0), n
+def _pack(x: np.ndarray) -> bytes:
+    """The low 40 bits of each hash."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def document_frequencies(texts: DataFrame, width: int, least_terms: int) -> np.ndarray:
-    """How many texts hold a shingle, by SLOTS slots of its hash, up to 255: a table of fixed size (4 MB), counted over all
-    texts. It only orders shingles; shared slots cost selectivity, never a pair."""
+def _unpack(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def record_sets(records: DataFrame, width: int, least_terms: int) -> DataFrame:
+    """key, fp (fingerprint of the set of full hashes), n (its size), shingles (40 bits of each hash) for the texts that
+    have a set, from a frame (key, text). In a pair of sets of some hundred shingles, 40 bits mistake one shingle with a
+    chance below one in a million."""
+    kind = records.schema[0].dataType.simpleString()
+
+    def run(batches):
+        split = Splitter()
+        for b in batches:
+            keys, texts = b.column(0), b.column(1).to_pylist()
+            row, made = shingle_sets(texts, split, width, least_terms)
+            ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+            starts = np.concatenate([[0], ends[:-1]])
+            use = np.nonzero(ends > starts)[0]
+            sums = np.add.reduceat(mix(made ^ _ODD[2]), starts[use]) if len(use) else np.zeros(0, np.uint64)
+            n = (ends - starts)[use]
+            fp = mix(sums ^ n.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(use)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), pa.array([_pack(made[starts[i] : ends[i]]) for i in use], pa.binary())], ["key", "fp", "n", "shingles"]
+            )
+
+    return records.mapInArrow(run, f"key {kind}, fp long, n int, shingles binary")
+
+
+def _flat(batch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch, and how many each set has."""
+    parts = batch.column(column).to_pylist()
+    return _unpack(b"".join(parts)), np.array([len(x) // 5 for x in parts], np.int64)
+
+
+def _slot(made: np.ndarray) -> np.ndarray:
+    return (made & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def document_frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, by SLOTS slots of its hash, in eighths of a power of two (0: none, 1: one): a table of
+    fixed size (8 MB) over all sets. It only orders shingles; slots that are shared cost selectivity, never a pair."""
 
     def count(batches):
-        total, split = np.zeros(SLOTS, np.uint32), Splitter()
+        total = np.zeros(SLOTS, np.uint32)
         for b in batches:
-            _, made = shingle_sets(b.column(0).to_pylist(), split, width, least_terms)
-            total += np.bincount((made & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-        small = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
-        use = np.nonzero(small.any(1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([zlib.compress(small[i].tobytes(), 1) for i in use], pa.binary())], ["block", "counts"])
+            made, _ = _flat(b, 0)
+            total += np.bincount(_slot(made), minlength=SLOTS).astype(np.uint32)
+        total = total.reshape(-1, SLOT_BLOCK)
+        use = np.nonzero(total.any(1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([zlib.compress(total[i].tobytes(), 1) for i in use], pa.binary())], ["block", "counts"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(*(x.to_pylist() for x in b.columns)):
-                total[k] = np.minimum(total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.uint8).astype(np.uint16), 255)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in total.values()], pa.binary())], ["block", "counts"])
+                x = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64)
+                total[k] = total[k] + x if k in total else x
+        coded = [zlib.compress(np.where(x > 0, 1 + np.round(8 * np.log2(np.maximum(x, 1))), 0).astype(np.uint8).tobytes(), 1) for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["block", "counts"])
 
-    table = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
-    for r in texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary").collect():
+    table = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for r in sets.select("shingles").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary").collect():  # at most SLOTS bytes
         table[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return table.ravel()
 
@@ -84,42 +128,261 @@ def needed(threshold: float, a, b):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def index_lists(texts: DataFrame, df, threshold: float, width: int, least_terms: int, extra: int) -> DataFrame:
-    """Postings (shingle, fp, n, pos) of each set's prefix: its rarest shingles, so many that sets which reach the threshold
-    share at least 1 + extra of them. A shingle whose slot counts 1 is in no other text and needs no list."""
+def index_lists(sets: DataFrame, frequencies, threshold: float, extra: int) -> DataFrame:
+    """Entries (cell, fp, place) for each set's prefix: its rarest shingles, so many that sets which reach the threshold share
+    at least 1 + extra of them; place holds size, position and side. A shingle whose slot counts one set needs no list. A
+    shingle that is in more than HOT sets has a cell for each pair of pieces of its list, so that no list grows without
+    bound. Sets met before in the task aren't put in again."""
 
     def run(batches):
-        split, counts = Splitter(), df.value
+        coded, seen = frequencies.value, set()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            row, made = shingle_sets(texts, split, width, least_terms)
-            fp, n = _fingerprints(row, made, len(texts))
-            c = counts[(made & np.uint64(SLOTS - 1)).astype(np.int64)]
+            fps = b.column(0).to_numpy()
+            new = []
+            for i, x in enumerate(fps.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            b = b.take(pa.array(new, pa.int64()))
+            made, n = _flat(b, 1)
+            fps = b.column(0).to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            c = coded[_slot(made)]
             order = np.lexsort((made, c, row))
             row, made, c = row[order], made[order], c[order]
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1 + extra
             keep = (pos < prefix[row]) & (c > 1)
-            r = row[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[keep].view(np.int64)), pa.array(fp[r].view(np.int64)), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["shingle", "fp", "n", "pos"]
-            )
+            row, made, c, pos = row[keep], made[keep], c[keep], pos[keep]
+            place = (n[row] << 32) | (pos << 1)
+            pieces = np.ceil(2.0 ** ((c.astype(np.float64) - 1) / 8) / HOT).astype(np.int64)
+            cold = pieces <= 1
+            parts = [((made[cold] << np.uint64(1)).view(np.int64), fps[row[cold]], place[cold])]
+            for g in np.unique(pieces[~cold]):
+                at = pieces == g
+                mine = (mix(fps[row[at]].view(np.uint64)) % np.uint64(g)).astype(np.int64)
+                for other in range(g):
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    cell = mix(made[at] * _ODD[0] + (low * g + high + 1).astype(np.uint64)) | np.uint64(1 << 63)
+                    cell = np.where(mine == other, cell & ~np.uint64(1), cell | np.uint64(1))
+                    parts.append((cell.view(np.int64), fps[row[at]], place[at] | (mine > other)))
+            cols = [np.concatenate(x) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["cell", "fp", "place"])
+
+    return sets.select("fp", "shingles").mapInArrow(run, "cell long, fp long, place long")
+
+
+def _met(cell, fp, place, threshold: float, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints (smaller first, one for each shared cell) of whole lists that pass the size and position tests."""
+    n, pos, side = place >> 32, (place & 0xFFFFFFFF) >> 1, place & 1
+    group = np.floor(8 * np.log2(n)).astype(np.int64)
+    order = np.lexsort((fp, pos, n, group, cell))
+    cell, fp, n, pos, side, group = (x[order] for x in (cell, fp, n, pos, side, group))
+    new = np.ones(len(cell), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1])  # copies of a set, met in other tasks
+    cell, fp, n, pos, side, group = (x[new] for x in (cell, fp, n, pos, side, group))
+    first = np.nonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))[0] if len(cell) else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, len(cell)))
+    left = n - pos + extra
+    cross = (cell & 1) == 1
+    out_a, out_b = [], []
+
+    def test(i, j):
+        low, high, need = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), needed(threshold, n[i], n[j])
+        ok = (low >= threshold * high - 1e-9) & (np.minimum(left[i], left[j]) >= need) & (~cross[i] | (side[i] != side[j])) & (fp[i] != fp[j])
+        i, j, tiny = i[ok], j[ok], need[ok] <= extra
+        if tiny.any():  # sets too small to share more than `extra` entries: one will do
+            i, j = (np.concatenate([x, np.repeat(x[tiny], extra)]) for x in (i, j))
+        out_a.append(np.minimum(fp[i], fp[j]))
+        out_b.append(np.maximum(fp[i], fp[j]))
 
-    return texts.mapInArrow(run, "shingle long, fp long, n int, pos int")
+    short = np.repeat(length <= BLOCK, length)
+    i, step = np.nonzero(short)[0], 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(cell)]
+        i = i[(cell[i + step] == cell[i]) & (n[i] >= threshold * n[i + step] - 1e-9)]
+        test(i, i + step)
+    for start, size in zip(first[length > BLOCK], length[length > BLOCK]):
+        # within a size class by position, so that a block's entries can share about as much as each other
+        at = start + np.lexsort((fp[start : start + size], pos[start : start + size], group[start : start + size]))
+        blocks = [at[k : k + BLOCK] for k in range(0, size, BLOCK)]
+        least, most = np.array([n[x].min() for x in blocks]), np.array([n[x].max() for x in blocks])
+        best = np.array([left[x].max() for x in blocks])
+        for k, x in enumerate(blocks):
+            others = np.arange(k, len(blocks))
+            fits = (threshold * np.maximum(least[k], least[others]) <= np.minimum(most[k], most[others]) + 1e-9) & (np.minimum(best[k], best[others]) >= needed(threshold, least[k], least[others]))
+            for o in others[fits]:  # the blocks that aren't skipped
+                a, b = np.repeat(x, len(blocks[o])), np.tile(blocks[o], len(x))
+                if o == k:
+                    a, b = a[(u := np.repeat(np.arange(len(x)), len(x)) < np.tile(np.arange(len(x)), len(x)))], b[u]
+                test(a, b)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _counted(a: np.ndarray, b: np.ndarray):
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.nonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[0] if len(a) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(first, len(a))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(shared, pa.int32())], ["fp_a", "fp_b", "shared"])
 
 
 def candidate_links(lists: DataFrame, threshold: float, extra: int) -> DataFrame:
-    """Pairs of set fingerprints (fp_a < fp_b) that share enough of their prefixes. Lists are kept in blocks of sizes within a factor
-    1/threshold: a probe meets its own block and the next, and skips entries whose size or position rules them out.
-    Equal sets collapse before the join, so copies of one text count once in every list."""
-    lists = lists.distinct().withColumn("block", F.floor(F.log("n") / -math.log(threshold)).cast("int"))
-    probe = lists.withColumn("block", F.explode(F.array("block", F.col("block") + 1)))
-    p, x = probe.alias("p"), lists.alias("x")
-    own = F.col("p.n") <= F.col("x.n")
-    first = (F.col("p.n") < F.col("x.n")) | (F.col("p.fp") < F.col("x.fp"))
-    need = F.ceil(F.col("p.n") * 0 + threshold / (1 + threshold) * (F.col("p.n") + F.col("x.n")) - 1e-9)
-    # what the sets can still share from this position on, and before it at most `extra`
-    left = F.least(F.col("p.n") - F.col("p.pos"), F.col("x.n") - F.col("x.pos")) + extra
-    met = p.join(x, (F.col("p.shingle") == F.col("x.shingle")) & (F.col("p.block") == F.col("x.block")) & own & first & (F.col("p.n") >= threshold * F.col("x.n")) & (left >= need))
-    pairs = met.select(F.least("p.fp", "x.fp").alias("fp_a"), F.greatest("p.fp", "x.fp").alias("fp_b"), F.least(F.col("p.n"), F.col("x.n")).alias("n"))
-    return pairs.groupBy("fp_a", "fp_b").agg(F.count("*").alias("shared")).filter(F.col("shared") > extra)
+    """Pairs of fingerprints (fp_a < fp_b) that share more than `extra` entries of their prefixes. Lists arrive sorted by
+    cell and are met one after the other; a task holds a few lists at a time."""
+
+    def run(batches):
+        held: list = []
+        rows = 0
+        for b in batches:
+            held.append([x.to_numpy() for x in b.columns])
+            rows += b.num_rows
+            if rows < 100_000:
+                continue
+            cell, fp, place = (np.concatenate(x) for x in zip(*held))
+            whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last list may go on
+            if whole:
+                yield _counted(*_met(cell[:whole], fp[:whole], place[:whole], threshold, extra))
+            held, rows = [[cell[whole:], fp[whole:], place[whole:]]], 0
+        if held:
+            yield _counted(*_met(*(np.concatenate(x) for x in zip(*held)), threshold, extra))
+
+    pairs = lists.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "fp_a long, fp_b long, shared int")
+    return pairs.groupBy("fp_a", "fp_b").agg(F.sum("shared").alias("shared")).filter(F.col("shared") > extra)
+
+
+def _filter_of(fps: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) of the fingerprints: those not in it needn't be shuffled."""
+
+    def build(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        parts = bits.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["block", "bits"])
+
+    def merge(batches):
+        total: dict = {}
+        for b in batches:
+            for k, x in zip(*(x.to_pylist() for x in b.columns)):
+                y = np.frombuffer(zlib.decompress(x), np.uint8)
+                total[k] = total[k] | y if k in total else y
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "bits"])
+
+    bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
+    for r in fps.mapInArrow(build, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():  # at most FILTER_BITS / 8 bytes
+        bits[r["block"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return bits.ravel()
+
+
+def _sets_of(sets: DataFrame, fps: DataFrame) -> DataFrame:
+    """fp, n, shingles of the given fingerprints, once each."""
+    bits = sets.sparkSession.sparkContext.broadcast(_filter_of(fps))
+
+    def run(batches):
+        table, seen = bits.value, set()
+        for b in batches:
+            x = b.column(0).to_numpy()
+            at = x.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            some = np.nonzero((table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)[0]
+            new = []
+            for i in some.tolist():
+                if (y := int(x[i])) not in seen:
+                    seen.add(y)
+                    new.append(i)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield b.take(pa.array(new, pa.int64()))
+
+    return sets.select("fp", "n", "shingles").mapInArrow(run, "fp long, n int, shingles binary").dropDuplicates(["fp"])
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """fp_a, fp_b, n_a, n_b, overlap of pairs (fp_a, fp_b), from their sets."""
+    a = sets.select(F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
+    b = sets.select(F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+
+    def run(batches):
+        for x in batches:
+            shared = [len(np.intersect1d(_unpack(p), _unpack(q))) for p, q in zip(x.column(4).to_pylist(), x.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(shared, pa.int32())], ["fp_a", "fp_b", "n_a", "n_b", "overlap"])
+
+    joined = pairs.select("fp_a", "fp_b").join(a, "fp_a").join(b, "fp_b").select("fp_a", "fp_b", "n_a", "n_b", "set_a", "set_b")
+    return joined.mapInArrow(run, "fp_a long, fp_b long, n_a int, n_b int, overlap int")
+
+
+def verified_links(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The candidate pairs (fp_a, fp_b) whose similarity reaches the threshold.
+
+    Every set is compared with its pivot, the candidate partner with the least fingerprint. For two sets with one pivot the
+    overlap lies between bounds that follow from sizes and distances to the pivot; pairs that the bounds don't settle are
+    compared by their sets."""
+    both = candidates.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other")).unionByName(candidates.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other")))
+    pivots = both.groupBy("fp").agg(F.min("other").alias("pivot")).filter("pivot < fp")
+    sets = cut(_sets_of(sets, both.select("fp")))
+    own = cut(_overlaps(pivots.select(F.col("pivot").alias("fp_a"), F.col("fp").alias("fp_b")), sets))
+    least = lambda a, b: F.ceil(threshold / (1 + threshold) * (F.col(a) + F.col(b)) - 1e-9)
+    far = own.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("pivot"), F.col("n_b").alias("n"), (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("distance"))
+    others = candidates.select("fp_a", "fp_b").join(own.select("fp_a", "fp_b"), ["fp_a", "fp_b"], "left_anti")
+    side = lambda s: far.select(F.col("fp").alias(f"fp_{s}"), F.col("pivot").alias(f"pivot_{s}"), F.col("n").alias(f"n_{s}"), F.col("distance").alias(f"d_{s}"))
+    placed = others.join(side("a"), "fp_a", "left").join(side("b"), "fp_b", "left")
+    high = F.floor((F.col("n_a") + F.col("n_b") - F.abs(F.col("d_a") - F.col("d_b"))) / 2)
+    low = F.ceil((F.col("n_a") + F.col("n_b") - F.col("d_a") - F.col("d_b")) / 2)
+    one = F.coalesce(F.col("pivot_a") == F.col("pivot_b"), F.lit(False))
+    judged = cut(placed.select("fp_a", "fp_b", F.when(one & (low >= least("n_a", "n_b")), True).when(one & (high < least("n_a", "n_b")), False).alias("similar")))
+    rest = _overlaps(judged.filter("similar is null"), sets)
+    reach = lambda df: df.filter(F.col("overlap") >= least("n_a", "n_b")).select("fp_a", "fp_b")
+    return reach(own).unionByName(judged.filter("similar").select("fp_a", "fp_b")).unionByName(reach(rest))
+
+
+def similar_sets(docs: DataFrame, key: str, text: str, threshold: float = 0.8, width: int = 5, least_terms: int = 5, extra: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, links): key and set fingerprint of every record with at least least_terms terms, and the pairs (fp_a, fp_b)
+    of different sets whose Jaccard similarity is at least the threshold, without exception. Null keys and texts, and texts
+    with fewer terms than `width`, have no set. A key that occurs with several texts has several sets."""
+    spark = docs.sparkSession
+    sets = cut(record_sets(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null"), width, least_terms))
+    frequencies = spark.sparkContext.broadcast(document_frequencies(sets))
+    candidates = cut(candidate_links(index_lists(sets, frequencies, threshold, extra), threshold, extra))
+    return sets.select("key", "fp").distinct(), cut(verified_links(candidates, sets, threshold))
+
+
+def similar_pairs(docs: DataFrame, key: str = "id", text: str = "content", **options) -> DataFrame:
+    """Pairs of keys (key_a < key_b) whose records' sets reach the threshold, equal sets included (see similar_sets)."""
+    members, links = similar_sets(docs, key, text, **options)
+    same = members.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"))
+    all_links = links.unionByName(links.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b"))).unionByName(same)
+    a = members.select(F.col("fp").alias("fp_a"), F.col("key").alias(f"{key}_a"))
+    b = members.select(F.col("fp").alias("fp_b"), F.col("key").alias(f"{key}_b"))
+    return all_links.join(a, "fp_a").join(b, "fp_b").filter(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+
+
+def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """node, component (its least node) of the graph of links (fp_a, fp_b), for nodes with a link. Each round every node takes
+    the least label around it and then that label's own label, so the number of rounds grows with the logarithm of the
+    longest chain; each round's labels are written, and its message to the driver is one count."""
+    edges = cut(links.select(F.col("fp_a").alias("node"), F.col("fp_b").alias("other")).unionByName(links.select(F.col("fp_b").alias("node"), F.col("fp_a").alias("other"))).distinct())
+    labels = cut(edges.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("component")))
+    for _ in range(most_rounds):
+        near = edges.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
+        taken = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
+        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
+        new = cut(taken.join(hop, "component", "left").select("node", F.least("component", F.coalesce("hop", "component")).alias("component")))
+        changed = new.join(labels, ["node", "component"], "left_anti").limit(1).count()
+        labels = new
+        if not changed:
+            return labels
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+
+
+def similar_classes(docs: DataFrame, key: str = "id", text: str = "content", **options) -> DataFrame:
+    """One row per record with a set: key, class (the set fingerprint that stands for its class: records joined by any chain
+    of links), links (number of different similar sets), copies (records with an equal set, itself included)."""
+    members, links = similar_sets(docs, key, text, **options)
+    degree = links.select(F.col("fp_a").alias("fp")).unionByName(links.select(F.col("fp_b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("links"))
+    copies = members.groupBy("fp").agg(F.count("*").alias("copies"))
+    found = copies.join(degree, "fp", "left").join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+    return members.join(found, "fp").select(F.col("key").alias(key), F.coalesce("component", "fp").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")

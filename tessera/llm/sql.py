@@ -28,6 +28,11 @@ select term, case when records >= 0.5 * n then 'common' else 'rare' end as mark
     "p3_vocabulary": f"""with {_RECORDS}, uses as (select id, unnest({_TERMS.format("content")}) as term from records), n as (select count(distinct id) as n from records)
 select term, count(*) as occurrences, count(distinct id) as records, case when count(distinct id) >= 0.5 * n then 'common' when count(distinct id) <= 1 then 'rare' end as mark, n as records_total
 from uses, n group by term, n""",
+    "p4_found": f"""with {_RECORDS}, t as (select id, {_TERMS.format("content")} as ts from records),
+s as (select id, list_distinct(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) as s from t where len(ts) >= 20),
+x as (select id, len(s) as n, unnest(s) as g from s),
+o as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, count(*) as o from x a join x b on a.g = b.g and a.id < b.id and a.n >= 0.59 * b.n and b.n >= 0.59 * a.n group by all)
+select id_a, id_b from o where o >= 0.6 * (n_a + n_b - o) - 1e-9""",
     "p6_found": rf"""with long as (select distinct id, content from store_docs where id is not null and length(content) > 2000)
 select distinct id, case when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from long""",
     "p8_found": f"select distinct doc_id, item_id from ({_WINDOWS.format(key='doc_id', words=_WORDS, table='documents')}) join ({_WINDOWS.format(key='item_id', words=_WORDS, table='eval_items')}) using (passage)",
