@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans import analytics, answers, knowledge, retrieval, vectors  # noqa: F401 (they register their queries)
+from .registry import QUERIES, SQL
+
 FLAGSHIP = "search_hybrid_weighted"
-QUERIES: dict = {}
-SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
