@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import column
+from .text import column, let
 
 EPSILON = 1.1920929e-07
 
@@ -42,20 +42,18 @@ def euclidean_similarity(a: Column | str, b: Column | str) -> Column:
 
 def normalize(v: Column | str) -> Column:
     """A zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(doubles(v))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(doubles(v)))
 
 
 def softmax(v: Column | str, temperature: float = 1.0) -> Column:
     """Softmax of v / temperature, shifted by the maximum."""
-    z = F.transform(v, lambda x: x.cast("double") / temperature)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(column(v)), lambda m: F.transform(v, lambda x: F.exp((x.cast("double") - m) / temperature)))
+    return let(e, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_softmax(v: Column | str, temperature: float = 1.0) -> Column:
-    z = F.transform(v, lambda x: x.cast("double") / temperature)
-    return F.transform(z, lambda x: x - F.array_max(z) - F.log(total(F.transform(z, lambda y: F.exp(y - F.array_max(z))))))
+    z = let(F.array_max(column(v)), lambda m: F.transform(v, lambda x: (x.cast("double") - m) / temperature))
+    return let(z, lambda z: let(F.log(total(F.transform(z, F.exp))), lambda t: F.transform(z, lambda x: x - t)))
 
 
 def argmax(v: Column | str) -> Column:
@@ -70,7 +68,10 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def quantize(v: Column | str, levels: int) -> Column:
     """(scale, codes): symmetric integer codes in -levels..levels, halves away from zero; the scale of a zero vector is 1."""
     biggest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scale = F.when(biggest > 0, biggest / levels).otherwise(F.lit(1.0))
+    return let(F.when(biggest > 0, biggest / levels).otherwise(F.lit(1.0)), lambda scale: _codes(v, scale, levels))
+
+
+def _codes(v: Column | str, scale: Column, levels: int) -> Column:
     return F.struct(scale.alias("scale"), F.transform(v, lambda x: clamp(F.round(x.cast("double") / scale), -levels, levels).cast("int")).alias("codes"))
 
 

@@ -10,7 +10,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .ranking import top_k
 
@@ -155,8 +155,8 @@ def with_cells(docs: DataFrame, centres: np.ndarray, vector: str = "embedding")
     """Every row of docs and its cell (the nearest centre; -1 without a vector of the centres' length). Written with
     partitionBy("cell"), a search reads only the cells it looks into."""
     sent = docs.sparkSession.sparkContext.broadcast(centres)
-    schema = docs.schema.add("cell", IntegerType())
-    at = docs.columns.index(vector)
+    schema = StructType([*docs.schema.fields, StructField("cell", IntegerType())])
+    at, names = docs.columns.index(vector), [*docs.columns, "cell"]
 
     def run(batches):
         for b in batches:
@@ -164,7 +164,7 @@ def with_cells(docs: DataFrame, centres: np.ndarray, vector: str = "embedding")
             cell = np.full(b.num_rows, -1, np.int32)
             for k in range(0, len(use), 8192):
                 cell[use[k : k + 8192]] = (vectors[k : k + 8192] @ sent.value.T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*docs.columns, "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names)
 
     return docs.mapInArrow(run, schema)
 
