@@ -67,8 +67,11 @@ def sentences(text: Column | str, stops: str = ".!?") -> Column:
 
 def char_ngrams(text: Column | str, n: int) -> Column:
     """Distinct windows of n characters; none for shorter texts."""
-    t = column(text)
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    return let(column(text), windows)
 
 
 def array_ngrams(items: Column, n: int) -> Column:
