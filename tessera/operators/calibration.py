@@ -4,6 +4,7 @@ repeated pass first add the rows up in CELLS cells of the prediction, a summary
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import clamp
@@ -68,16 +69,21 @@ def by_temperature(x: Column, temperature: float) -> Column:
 
 
 def by_isotonic(x: Column, points: list[tuple[float, float]]) -> Column:
-    """Linear between the points around x, from (0, 0) and to (1, 1) outside; the points are at most CELLS + 1."""
+    """Linear between the points around x, from (0, 0) and to (1, 1) outside them. The points, at most CELLS + 1, travel with
+    the function: as literals of an expression they would be searched one by one for every row."""
     if not points:
         return clamp(x)
-    known = F.array(*[F.struct(F.lit(p).alias("x"), F.lit(q).alias("y")) for p, q in points])
-    p = clamp(x)
-    below, above = F.filter(known, lambda k: k["x"] <= p), F.filter(known, lambda k: k["x"] >= p)
-    low = F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    high = F.when(F.size(above) > 0, above[0]).otherwise(F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))
-    width = high["x"] - low["x"]
-    return F.when(F.abs(width) < 1e-6, low["y"]).otherwise(low["y"] + (p - low["x"]) / width * (high["y"] - low["y"]))
+    xs, ys = (np.array(c) for c in zip(*points))
+    if xs[0] > 0:
+        xs, ys = np.insert(xs, 0, 0.0), np.insert(ys, 0, 0.0)
+    if xs[-1] < 1:
+        xs, ys = np.append(xs, 1.0), np.append(ys, 1.0)
+
+    @F.pandas_udf("double")
+    def at(p: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(p.to_numpy(float), xs, ys)).where(p.notna().reset_index(drop=True))
+
+    return at(clamp(x))
 
 
 def by_histogram(x: Column, bins: int, values: list[float]) -> Column:

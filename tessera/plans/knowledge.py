@@ -1 +1,202 @@
-"""To come."""
+"""Queries of claims and the knowledge graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import claims as C, graph as G
+from ..operators.ranking import rounded
+from ..registry import query
+from ..sources.tables import table
+from .base import STORE, sql_bare, sql_sentences, sql_strings, sql_strip, store
+
+
+def _map(table_: dict[str, str]) -> str:
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in table_.items()) + "}"
+
+
+def _place(known, first: int, tokens: str = "ts") -> str:
+    return f"list_min(list_filter(list_transform({tokens}, lambda t, i: case when list_contains({sql_strings(known)}, t) and i >= {first + 1} and i < len({tokens}) then i end), lambda i: i is not null))"
+
+
+def _join(tokens: str, a: str, b: str) -> str:
+    return f"array_to_string({tokens}[{a} : {b}], ' ')"
+
+
+_COND_REST = "case " + " ".join(f"when starts_with(lower(sentence), '{w}') then {sql_strip(f'substring(sentence, {len(w) + 1})')}" for w in C.CONDITIONS) + " end"
+_CLAIMS = f"""{STORE}, s as (select doc_id, i - 1 as pos, ss[i] as sentence from (select doc_id, {sql_sentences('text')} as ss from store where text is not null), unnest(range(1, len(ss) + 1)) r(i)),
+t as (select *, {sql_bare('sentence')} as ts, {_COND_REST} as rest from s),
+p as (select *, case when position('then' in rest) > 0 then position('then' in rest) else position(',' in rest) end as at, {_place(list(C.MODALS), 0)} as m, {_place(list(C.CAUSES), 1)} as ca, {_place(list(C.TIMES), 1)} as ti, {_place(list(C.COMPARISONS), 1)} as co, {_place(C.VERBS, 1)} as v from t where len(ts) >= 2),
+i as (select *, ts[m + 1 :] as rs from p), j as (select *, {_place(C.VERBS, 1, 'rs')} as w, case when coalesce(at, 0) > 0 then 'implies' when m is not null then 'modal' when ca is not null then 'causal' when ti is not null then 'temporal' when co is not null then 'comparison' when v is not null then 'predicate' end as kind from i),
+k as (select *, case kind when 'causal' then ca when 'temporal' then ti when 'comparison' then co end as q from j where kind is not null),
+claims as (select doc_id, pos, sentence, kind,
+case kind when 'implies' then {sql_strip('left(rest, at - 1)')} when 'modal' then case when w is null then array_to_string(rs, ' ') else {_join('rs', '1', 'w - 1')} end when 'predicate' then {_join('ts', '1', 'v - 1')} else {_join('ts', '1', 'q - 1')} end as "left",
+case kind when 'modal' then {_map(C.MODALS)}[ts[m]] when 'causal' then {_map(C.CAUSES)}[ts[q]] when 'temporal' then {_map(C.TIMES)}[ts[q]] when 'comparison' then {_map(C.COMPARISONS)}[ts[q]] when 'predicate' then ts[v] end as operator,
+case kind when 'implies' then {sql_strip("regexp_replace(substring(rest, at), '^,*(?:then)*', '')")} when 'modal' then case when w is not null then rs[w] end when 'predicate' then null else {_join('ts', 'q + 1', 'len(ts)')} end as "right",
+case when kind = 'modal' and w is not null then {_join('rs', 'w + 1', 'len(rs)')} when kind = 'predicate' then {_join('ts', 'v + 1', 'len(ts)')} end as object,
+round(case kind when 'implies' then 0.65::double when 'modal' then 0.6::double when 'causal' then 0.65::double when 'temporal' then 0.7::double when 'comparison' then 0.7::double else least(0.9::double, 0.5::double + least(strlen(sentence) / 200, 0.4::double)) end * case when list_has_any(ts, {sql_strings(C.NEGATIONS)}) then 0.9::double else 1 end, 6) as confidence, list_has_any(ts, {sql_strings(C.NEGATIONS)}) as negated from k)"""
+
+
+def _claims(spark, d) -> DataFrame:
+    return C.extracted(store(spark, d))
+
+
+@query(f"with {_CLAIMS} select * from claims")
+def claims_extract(spark, d):
+    return _claims(spark, d)
+
+
+def _register_kinds() -> None:
+    for kind in ("implies", "modal", "causal", "temporal", "comparison", "predicate"):
+        query(f"with {_CLAIMS} select negated, count(*) as n, count(distinct doc_id) as records, round(avg(confidence), 6) as confidence from claims where kind = '{kind}' group by negated", f"claims_{kind}")(
+            lambda spark, d, k=kind: _claims(spark, d).filter(F.col("kind") == k).groupBy("negated").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("records"), rounded(F.avg("confidence")).alias("confidence"))
+        )
+
+
+_register_kinds()
+
+_SYM = "'|' || replace({}, ' ', '_') || '|'"
+_L, _R = _SYM.format('"left"'), _SYM.format('"right"')
+_VERB = "'(' || {} || ' ' || " + _L + " || ' ' || " + _SYM.format("coalesce(object, 'true')") + " || ')'"
+_BODY = f"""case kind when 'implies' then '(=> ' || {_L} || ' ' || {_R} || ')' when 'modal' then '(' || operator || ' ' || case when "right" is null then {_L} else {_VERB.format('"right"')} end || ')' when 'predicate' then {_VERB.format('operator')} else '(' || operator || ' ' || {_L} || ' ' || {_R} || ')' end"""
+
+
+@query(f"with {_CLAIMS} select doc_id, pos, '(assert ' || case when negated then '(not ' || {_BODY} || ')' else {_BODY} end || ')' as smt from claims")
+def claims_smtlib(spark, d):
+    return _claims(spark, d).select("doc_id", "pos", C.smtlib().alias("smt"))
+
+
+_NAME = "regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '_', 'g')"
+_SAME = _NAME.format('"left"') + " = " + _NAME.format('"right"')
+_NL, _NR = 'try_cast(trim("left") as bigint)', 'try_cast(trim("right") as bigint)'
+_VERDICT = f"""case when negated then 'verified' when kind = 'comparison' then case when {_NL} is not null and {_NR} is not null then case when case operator when '>' then {_NL} > {_NR} when '<' then {_NL} < {_NR} else {_NL} = {_NR} end then 'verified' else 'falsified' end when {_SAME} and operator in ('<', '>') then 'falsified' else 'verified' end
+when kind = 'temporal' and {_SAME} and operator in ('before', 'after') then 'falsified' else 'verified' end"""
+
+
+@query(f"with {_CLAIMS} select kind, {_VERDICT} as verdict, count(*) as n from claims group by 1, 2")
+def claims_verify(spark, d):
+    return _claims(spark, d).groupBy("kind", C.verdict().alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_WHOLE = ", ".join(f"coalesce(lower(trim({c})), '') as {c}" for c in ("kind", '"left"', "operator", '"right"', "object"))
+
+
+@query(f"""with {_CLAIMS}, w as (select doc_id, pos, sentence, confidence, negated, {_WHOLE} from claims) select doc_id, kind, "left", operator, "right", object, negated, count(*) as n, min_by(sentence, pos) as sentence, round(case when count(*) > 1 then least(1, avg(confidence) * 1.1) else avg(confidence) end, 6) as confidence from w group by all""")
+def claims_deduplicate(spark, d):
+    return C.deduplicated(_claims(spark, d))
+
+
+@query(f"""with {_CLAIMS}, f as (select *, {_VERDICT} as v from (select * from claims qualify row_number() over (partition by doc_id order by pos) <= 10)), g as (select doc_id, count(*) as extracted, count(*) filter (confidence >= 0.5) as claims, count(*) filter (confidence >= 0.5 and v = 'verified') as verified, count(*) filter (confidence >= 0.5 and v = 'falsified') as falsified from f group by 1)
+select doc_id, coalesce(claims, 0) as claims, coalesce(verified, 0) as verified, coalesce(falsified, 0) as falsified, case when extracted is null then 'unknown' when falsified > 0 then 'falsified' when verified = claims then 'verified' else 'unknown' end as status, round(case when claims > 0 then verified / claims else 0.5 end, 6)::double as confidence from store left join g using (doc_id)""")
+def judge(spark, d):
+    return C.judged(store(spark, d), "doc_id")
+
+
+@query(f"""with {_CLAIMS}, g as (select doc_id, count(*) as claims, avg(confidence) as c from (select * from claims qualify row_number() over (partition by doc_id order by pos) <= 5) group by 1), h as (select doc_id, coalesce(claims, 0) as claims, round(coalesce(c, 0.5), 6)::double as confidence from store left join g using (doc_id)) select *, case when confidence >= 0.7 then 'verified' when confidence <= 0.3 then 'falsified' else 'unknown' end as status from h""")
+def judge_quick(spark, d):
+    return C.quickly_judged(store(spark, d), "doc_id")
+
+
+@query()
+def claim_conflicts(spark, d):
+    return C.conflicts(_claims(spark, d))
+
+
+@query()
+def claim_resolutions(spark, d):
+    c = _claims(spark, d)
+    return C.resolutions(C.conflicts(c), c)
+
+
+@query(f"""with {_CLAIMS} select "left" as subject, operator as verb, count(distinct object) as objects, count(*) as claims from claims where kind = 'predicate' and not negated and object != '' group by 1, 2 having count(distinct object) > 1""")
+def claims_contested(spark, d):
+    return C.contested(_claims(spark, d))
+
+
+# the graph -------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def graph_entities(spark, d):
+    return G.entities(store(spark, d))
+
+
+@query()
+def graph_relations(spark, d):
+    return G.relations(store(spark, d))
+
+
+def _star(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The star schema as a property graph: order -> customer -> nation -> region, supplier -> nation."""
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    t = lambda n: table(spark, d, n)
+    v = lambda df, k, c, name: df.select(tag(k, c).alias("id"), F.col(name).cast("string").alias("name"), F.lit(k).alias("type"))
+    vertices = v(t("region"), "R", "r_regionkey", "r_name").unionByName(v(t("nation"), "N", "n_nationkey", "n_name")).unionByName(v(t("customer"), "C", "c_custkey", "c_name")).unionByName(v(t("supplier"), "S", "s_suppkey", "s_name")).unionByName(v(t("orders"), "O", "o_orderkey", "o_orderkey"))
+    e = lambda df, a, b, kind, c: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
+    edges = (
+        e(t("nation"), tag("N", "n_nationkey"), tag("R", "n_regionkey"), "part_of", 0.9)
+        .unionByName(e(t("customer"), tag("C", "c_custkey"), tag("N", "c_nationkey"), "located_in", 0.8))
+        .unionByName(e(t("supplier"), tag("S", "s_suppkey"), tag("N", "s_nationkey"), "located_in", 0.8))
+        .unionByName(e(t("orders"), tag("O", "o_orderkey"), tag("C", "o_custkey"), "created_by", 0.7))
+    )
+    return vertices, edges
+
+
+_EDGES = """edges as (select 'N' || n_nationkey as src, 'R' || n_regionkey as dst, 'part_of' as type, 0.9::double as confidence from nation union all select 'C' || c_custkey, 'N' || c_nationkey, 'located_in', 0.8 from customer
+union all select 'S' || s_suppkey, 'N' || s_nationkey, 'located_in', 0.8 from supplier union all select 'O' || o_orderkey, 'C' || o_custkey, 'created_by', 0.7 from orders),
+vertices as (select 'R' || r_regionkey as id, 'R' as type from region union all select 'N' || n_nationkey, 'N' from nation union all select 'C' || c_custkey, 'C' from customer union all select 'S' || s_suppkey, 'S' from supplier union all select 'O' || o_orderkey, 'O' from orders)"""
+
+
+def _walk(start: str, step: str, hops: int, condition: str = "true") -> str:
+    return f"""with recursive {_EDGES}, steps as ({step}), w(start, "end", hops, confidence, path) as (select id, id, 0, 1.0::double, [id] from vertices where {start} union all select w.start, s.t, hops + 1, w.confidence * s.c, list_append(path, s.t) from w join steps s on s.a = w."end" where hops < {hops} and not list_contains(path, s.t) and {condition})"""
+
+
+_OUT = "select src as a, dst as t, confidence as c from edges"
+_BOTH = f"{_OUT} union all select dst, src, confidence from edges"
+
+
+@query(f"""{_walk("type = 'O'", _OUT, 3)} select start, "end", hops, round(confidence, 6) as confidence, path from w""")
+def graph_paths(spark, d):
+    """Where every order leads."""
+    vertices, edges = _star(spark, d)
+    return G.traverse(vertices.filter("type = 'O'"), vertices, edges, 3, "outgoing")
+
+
+@query(f"""{_walk("type = 'R'", _BOTH, 2, "w.confidence * s.c >= 0.75")} select start, "end", hops, round(confidence, 6) as confidence, path from w""")
+def graph_paths_confident(spark, d):
+    vertices, edges = _star(spark, d)
+    return G.traverse(vertices.filter("type = 'R'"), vertices, edges, 2, "both", 0.75)
+
+
+@query(f"""{_walk("type = 'R'", _BOTH, 3)} select start, "end" as id, min(hops) as hops from w where "end" != start and "end" not like 'N%' group by 1, 2""")
+def graph_within_hops(spark, d):
+    """Customers, suppliers and orders within three steps of a region; nations are passed through."""
+    vertices, edges = _star(spark, d)
+    return G.within_hops(vertices.filter("type = 'R'"), vertices, edges, 3, "both", ["C", "S", "O", "R"])
+
+
+@query(f"""{_walk("type = 'S'", _OUT, 2)}, b as (select * from w where hops = 2) select start, "end", hops, path from b""")
+def graph_shortest_paths(spark, d):
+    """From every supplier to its region."""
+    vertices, edges = _star(spark, d)
+    ends = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("S"), "s_suppkey").alias("start"), F.concat(F.lit("R"), "n_regionkey").alias("end"))
+    return G.shortest_paths(ends, edges, 3, "outgoing")
+
+
+@query(f"with recursive {_EDGES}, c(id, depth) as (select 'R0', 0 union select src, depth + 1 from c join edges on dst = c.id) select id, min(depth) as depth from c where depth > 0 group by 1")
+def graph_dependents(spark, d):
+    """Everything that depends on the first region: what its invalidation invalidates."""
+    vertices, edges = _star(spark, d)
+    return G.closure(vertices.filter("id = 'R0'"), edges.select(F.col("src").alias("id"), F.col("dst").alias("on")))
+
+
+@query(f"with {_EDGES} select id, count(*) as degree from (select src as id from edges union all select dst from edges) group by 1")
+def graph_degrees(spark, d):
+    return G.degrees(_star(spark, d)[1])
+
+
+@query(f"with {_EDGES} select src as at, dst as \"to\", type, confidence from edges where type = 'part_of' union all select dst, src, type, confidence from edges where type = 'part_of'")
+def graph_neighbours(spark, d):
+    """Nations and regions, both ways."""
+    vertices, edges = _star(spark, d)
+    return G.directed(G.valid_edges(edges.filter("type = 'part_of'"), vertices))
