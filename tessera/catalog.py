@@ -5,6 +5,6 @@ from __future__ import annotations
 from .plans import analytics, answers, knowledge, retrieval, vectors  # noqa: F401 (they register their queries)
 from .registry import QUERIES, SQL
 
-FLAGSHIP = "search_hybrid_weighted"
+FLAGSHIP = "search_bm25_documents"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

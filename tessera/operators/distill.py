@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import ALNUM, SPACE, words
-from .ranking import rounded
+from .ranking import first_rows, rounded
 
 
 def pattern(text: Column | str) -> Column:
@@ -22,8 +22,7 @@ def pairs(log: DataFrame, most: int = 50) -> DataFrame:
     Pairs are made distinct and cut per task before the shuffle, so a pattern with a third of all rows stays small."""
     rows = log.filter("text is not null and answer is not null").select(pattern("text").alias("pattern"), "text", "answer", F.col("confidence").cast("double").alias("confidence"), "ts").filter("pattern <> ''")
     first = rows.groupBy("pattern", "text", "answer").agg(F.min("ts").alias("ts"), F.min_by("confidence", "ts").alias("confidence"))
-    place = F.row_number().over(W.partitionBy("pattern").orderBy("ts", "text", "answer")) - 1
-    return first.withColumn("place", place).filter(F.col("place") < most)
+    return first_rows(first, ["pattern"], ["ts", "text", "answer"], most, "place")
 
 
 def candidates(log: DataFrame, least_frequency: int = 5, least_confidence: float = 0.85, most_pairs: int = 50) -> DataFrame:

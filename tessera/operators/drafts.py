@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import let, sentences, words
 from ..functions.vectors import clamp
@@ -90,7 +91,7 @@ def ngram_stage(content: Column, context: Column, least: float = 0.5) -> tuple[C
     return confidence, (F.size(context) == 0) | (confidence >= least)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gram_similarity(content: pd.Series, context: pd.Series) -> pd.Series:
     """A context has tens of thousands of n-grams; a window of a column expression would walk the text for each of them."""
     out = []

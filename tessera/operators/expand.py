@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ALNUM, ENDINGS, STOP_WORDS, array_ngrams, column, let, literals, stem, strip, words
-from .ranking import rounded
+from .ranking import first_rows, rounded
 
 # Synonyms.
 SYNONYMS = {
@@ -145,15 +145,13 @@ def feedback_terms(results: DataFrame, documents: int = 3, most: int = 5) -> Dat
     weighing score / (rank + 1), without stop words and the query's words; the best `most`, ties by term."""
     ts = _result_terms(results, documents).filter(~F.col("term").isin(STOP_WORDS))
     scored = ts.groupBy("query_id", "term").agg(rounded(F.sum(F.col("score") / (F.col("rank") + 1))).alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "term")) - 1
-    return scored.withColumn("place", place).filter(F.col("place") < most)
+    return first_rows(scored, ["query_id"], [F.col("score").desc(), "term"], most, "place")
 
 
 def frequent_terms(results: DataFrame, documents: int = 3, least: int = 2, most: int = 5) -> DataFrame:
     """query_id, term, n, place: terms that occur at least `least` times in the first results; the most frequent `most`."""
     counted = _result_terms(results, documents).groupBy("query_id", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("n").desc(), "term")) - 1
-    return counted.withColumn("place", place).filter(F.col("place") < most)
+    return first_rows(counted, ["query_id"], [F.col("n").desc(), "term"], most, "place")
 
 
 def reformulated(queries: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import column
 from ..functions.vectors import cosine, doubles, total
+from .ranking import first_rows
 
 
 def pool(states: Column | str, how: str = "mean") -> Column:
@@ -40,7 +41,7 @@ def average_similarity(layers: DataFrame, weights: Column | None = None) -> Data
 def divergences(layers: DataFrame, threshold: float = 0.5, most: int = 5) -> DataFrame:
     """id, layer, similarity, place: layers whose best similarity with any context is below the threshold; the lowest `most`."""
     best = layers.groupBy(F.col("left_id").alias("id"), "layer").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") < threshold)
-    return best.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("similarity", "layer")) - 1).filter(F.col("place") < most)
+    return first_rows(best, ["id"], ["similarity", "layer"], most, "place")
 
 
 def verdict(similarity: Column, diverges: Column) -> tuple[Column, Column]:

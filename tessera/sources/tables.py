@@ -39,9 +39,12 @@ def checked(docs: DataFrame, key: str, embedding: str, dimension: int, existing:
     if capacity:
         held = existing.count() if existing is not None else 0
         room = max(0, capacity - held)
-        # the keys that still fit: a top-k of at most `room` rows
-        fitting = rows.filter("status = 'ok'").select(key).orderBy(key).limit(room).withColumn("_room", F.lit(True))
-        rows = rows.join(fitting, key, "left").withColumn("status", F.when((F.col("status") != "dimension") & F.col("_room").isNull(), "capacity").otherwise(F.col("status"))).drop("_room")
+        # a top-k of at most `room` keys; its last one is where the store becomes full
+        fitting = rows.filter("status = 'ok'").select(key).orderBy(key).limit(room)
+        n, last = fitting.agg(F.count("*"), F.max(key)).first()
+        if n == room:
+            full = F.lit(True) if not room else (F.col(key) > F.lit(last)) | ((F.col(key) == F.lit(last)) & (F.col("_nth") > 1))
+            rows = rows.withColumn("status", F.when((F.col("status") != "dimension") & full, "capacity").otherwise(F.col("status")))
     return rows.drop("_fits", "_nth", "_there")
 
 
