@@ -31,10 +31,10 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 def store_records(spark: SparkSession, d: str) -> DataFrame:
     """One row (id, least, text) per record, least being the prf_min_frequency of its collection."""
     configs = table(spark, d, "expansion_configs").filter("collection is not null").groupBy("collection").agg(F.max_by("prf_min_frequency", "config_id").alias("least"))
-    default = configs.filter("collection = 'default'").select(F.col("least").alias("default_least"))
+    default = configs.select(F.col("collection").alias("fallback"), F.col("least").alias("default_least"))
     docs = one_per_key(table(spark, d, "store_docs").select("id", F.element_at("metadata", "collection").alias("collection"), "content"), "id")
     # expansion_configs is a table of fixed size, one row per collection here
-    known = docs.join(F.broadcast(configs), "collection", "left").join(F.broadcast(default.agg(F.first("default_least").alias("default_least"))))
+    known = docs.withColumn("fallback", F.lit("default")).join(F.broadcast(configs), "collection", "left").join(F.broadcast(default), "fallback", "left")
     return known.select("id", F.coalesce("least", "default_least").alias("least"), F.col("content").alias("text"))
 
 
