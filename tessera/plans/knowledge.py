@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import claims as C, graph as G
+from ..operators import claims as C, dependency, graph as G
 from ..operators.ranking import rounded
 from ..registry import query
 from ..sources.tables import table
@@ -113,6 +113,17 @@ def claims_contested(spark, d):
     return C.contested(_claims(spark, d))
 
 
+@query()
+def claims_dependency(spark, d):
+    """Subject, verb and object of every sentence."""
+    return dependency.triples(store(spark, d))
+
+
+@query()
+def claims_dependency_conflicts(spark, d):
+    return C.conflicts(dependency.as_claims(dependency.triples(store(spark, d))))
+
+
 # the graph -------------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import losses, vectors as V
-from ..operators import hidden
+from ..functions import embedding
+from ..operators import hidden, speculative
 from ..operators.ranking import rounded
 from ..registry import query
 from ..sources.tables import table
@@ -206,3 +207,33 @@ def hidden_reuse(spark, d):
     t = log(spark, d).filter("text is not null and client_id is not null").select("query_id", "text", F.lag("text").over(W.partitionBy("client_id").orderBy("ts", "query_id")).alias("cached")).filter("cached is not null")
     tokens, quality = hidden.reuse("text", "cached", F.ceil(F.length("cached") / 4).cast("int"))
     return t.select("query_id", tokens.alias("reused"), _r(quality).alias("quality")).filter("reused > 0")
+
+
+# speculative decoding and embedding ------------------------------------------------------------------------------------
+
+_SOFT = f"{_PAIRS}, s as (select vec_id, label, {_sql_soft('a', 1.0)} as t, {_sql_soft('b', 1.0)} as d from p)"
+
+
+def _soft(spark, d) -> DataFrame:
+    return _pairs(spark, d).select("vec_id", "label", V.softmax("a").alias("t"), V.softmax("b").alias("d"))
+
+
+@query(f"with {_SOFT}, c as (select *, list_transform(list_zip(t, d), lambda z: greatest(0, z[1] - z[2])) as e from s) select vec_id, t[label + 1] >= 0.8 * d[label + 1] as accepted, (list_position(e, list_max(e)) - 1)::bigint as correction from c")
+def speculative_tokens(spark, d):
+    """Whether the target accepts the token `label` of the draft, and what would replace it."""
+    at = F.col("label") + 1
+    hit = speculative.accepted(F.element_at("t", at), F.element_at("d", at))
+    return _soft(spark, d).select("vec_id", hit.alias("accepted"), speculative.correction("t", "d").alias("correction"))
+
+
+@query(f"with {_SOFT}, h as (select vec_id // 4 as step, t[label + 1] >= 0.8 * d[label + 1] as hit from s), g as (select step, count(*) filter (hit) as a, count(*) as n from h group by 1) select count(*) as steps, sum(a)::bigint as accepted, round(sum(a) / sum(n), 6) as rate, round((sum(a) + count(*) filter (a < n)) / count(*), 6) as speedup from g")
+def speculative_statistics(spark, d):
+    at = F.col("label") + 1
+    rows = _soft(spark, d).withColumn("step", F.floor(F.col("vec_id") / 4))
+    return speculative.statistics(rows, speculative.accepted(F.element_at("t", at), F.element_at("d", at)))
+
+
+@query()
+def embed_hashed(spark, d):
+    """A hashed vector for each question of the log, made once for each different text."""
+    return embedding.embed(log(spark, d).select("query_id", "text"), "text", lambda t: embedding.hashed(t, 16)).select("query_id", F.transform("embedding", lambda x: _r(x)).alias("embedding"))

@@ -182,6 +182,19 @@ def test_claims(spark):
     assert (none.status, none.confidence) == ("unknown", 0.5)
 
 
+def test_dependency_triples(spark):
+    from tessera.operators.dependency import LEMMAS, as_claims, triples, triples_of
+
+    assert triples_of("Rust provides memory safety")[0] == ("Rust", "provide", "memory", False, 0.9)
+    assert triples_of("The cache does not work")[0][1:] == ("do", None, True, 0.6)
+    assert triples_of("The parser is reliable") == [("The parser", "be", "reliable", False, 0.8)]
+    assert triples_of("The file is in the folder") == [("The file", "be", "in", False, 0.7)] or triples_of("The file is in the folder")[0][4] == 0.9
+    assert triples_of("") == triples_of("blue sky") == []
+    assert LEMMAS["stopped"] == "stop" and LEMMAS["used"] == "use" and LEMMAS["went"] == "go"
+    df = spark.createDataFrame([("d", "Sky has clouds. Sky has sun"), ("n", None), (None, "A is B")], "doc_id string, text string")
+    assert rows(claims.conflicts(as_claims(triples(df))), "first", "second", "kind") == [(0, 1, "predicate")]
+
+
 def test_entities_and_relations():
     found = graph.entities_of("Ada Lovelace works for Analytical Company. Rust uses LLVM! ok")
     assert found[0] == ("Ada Lovelace", "organization") and ("Rust", "technology") in found
@@ -267,3 +280,16 @@ def test_every_query_has_rows_or_a_schema(spark):
 
     assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_embedding_and_speculation(spark):
+    from tessera.functions import embedding
+    from tessera.operators import speculative
+
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.embedding for r in embedding.embed(df, "text", embedding.hashed).collect()}
+    assert got[1] == got[2] != got[4] and got[3] is None and sum(x * x for x in got[1]) == pytest.approx(1)
+    assert rows(embedding.token_vectors(df, "id", "text"), "id", "pos") == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    a = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    assert one(spark, speculative.correction(a(0.2, 0.8), a(0.6, 0.4))) == 1
+    assert one(spark, speculative.accepted(F.lit(0.4), F.lit(0.5))) and not one(spark, speculative.accepted(F.lit(0.3), F.lit(0.5)))
