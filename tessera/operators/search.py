@@ -5,8 +5,6 @@ product, keeps the best k for each query, and only those are shuffled."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -169,9 +167,30 @@ def with_cells(docs: DataFrame, centres: np.ndarray, vector: str = "embedding")
     return docs.mapInArrow(run, schema)
 
 
-def knn_cells(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 10, probe: int | None = None, **options) -> DataFrame:
-    """knn over the cells of each query's `probe` nearest centres (by default three fifths of them), scored exactly."""
-    probe = probe or max(1, math.ceil(0.6 * len(centres)))
+def fit_probe(indexed: DataFrame, centres: np.ndarray, k: int = 10, recall: float = 0.9, margin: float = 0.05, sample_rows: int = 256, doc: str = "doc_id", vector: str = "embedding", metric: str = "cosine") -> int:
+    """The least number of cells a query must look into for a mean recall of recall + margin, measured: the k nearest other rows
+    of at most sample_rows rows (those with the least salted key hash) are searched exactly, and the cells they lie in looked up.
+    All cells if there is nothing to measure with."""
+    rows = indexed.filter(F.col(doc).isNotNull() & (F.col("cell") >= 0))
+    asked = rows.orderBy(F.xxhash64(doc, F.lit("probe")), doc).limit(sample_rows).select(F.col(doc).alias("query_id"), vector)
+    asked = indexed.sparkSession.createDataFrame(asked.collect(), asked.schema)
+    found = knn(asked, rows, k + 1, metric, doc=doc, vector=vector).filter("query_id <> doc_id")
+    lying = rows.select(F.col(doc).alias("doc_id"), "cell").join(F.broadcast(found), "doc_id").select("query_id", "rank", "cell").collect()
+    vectors = {r[0]: r[1] for r in asked.collect() if None not in r[1]}
+    near: dict = {}
+    for r in sorted(lying, key=lambda r: r["rank"]):
+        near.setdefault(r.query_id, []).append(r.cell)
+    if not near:
+        return len(centres)
+    place = np.argsort(np.argsort(-(np.array([vectors[q] for q in near], np.float64) @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.concatenate([place[i, cells[:k]] for i, cells in enumerate(near.values())])
+    reached = np.cumsum(np.bincount(needed, minlength=len(centres))) / len(needed)
+    return int(np.argmax(reached >= min(1.0, recall + margin) - 1e-12)) + 1
+
+
+def knn_cells(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 10, probe: int | None = None, recall: float = 0.9, **options) -> DataFrame:
+    """knn over the cells of each query's `probe` nearest centres (by default as many as fit_probe measures for the recall), scored exactly."""
+    probe = probe or fit_probe(indexed, centres, k, recall, **{o: v for o, v in options.items() if o in ("doc", "vector", "metric")})
     return knn(queries, indexed.filter("cell >= 0"), k, cells=("cell", centres, probe), **options)
 
 

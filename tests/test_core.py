@@ -62,6 +62,15 @@ def test_index_recall_on_the_registered_table(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_index_recall_on_the_larger_registered_table(spark):
+    from tessera import catalog
+
+    d = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.doc_id) for r in catalog.QUERIES["knn_embeddings"](spark, d).collect()}
+    near = {(r.query_id, r.doc_id) for r in catalog.QUERIES["knn_index"](spark, d).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_maxsim_sums_best_tokens(spark):
     q = spark.createDataFrame([("q", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0])], "query_id string, pos int, vec array<double>")
     d = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.6, 0.8]), ("b", [0.0, 1.0])], "doc_id string, vec array<double>")
