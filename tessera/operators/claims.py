@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import bare_words, let, literals, sentences, strip
-from .ranking import rounded
+from ..sources.scratch import cut
+from .ranking import rounded, small
 
 # Words that make a claim, and what they mean.
 VERBS = ["is", "are", "was", "were", "has", "have", "contains", "includes"]
@@ -190,7 +191,7 @@ def conflicts(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, first, second (places of the sentences, first < second), kind of claims of one text that don't go together:
     contradiction (a claim and its negation, or the same subject and verb, once negated), predicate (opposite verbs or, for one
     verb, different objects), comparison and temporal (opposite or circular), modal (necessary and unlikely), causal (circular).
-    Of several kinds the first counts. Only claims of one text about the same names are ever joined."""
+    Of several kinds the first counts. Only claims of one text about the same names are ever joined; see `disputes` for the collection."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     c = claims.select(F.col(key), "pos", "kind", "negated", *[low(x).alias(x) for x in ("left", "operator", "right", "object")])
     # what two claims must share: an unordered pair of names, or the subject
@@ -217,6 +218,72 @@ def conflicts(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     return j.select(F.col(f"a.{key}").alias(key), A("pos").alias("first"), B("pos").alias("second"), found.alias("kind")).filter("kind is not null")
 
 
+#: The excluding predicates of each predicate.
+_AGAINST = {p: sorted({b for a, b in OPPOSITES if a == p} | {a for a, b in OPPOSITES if b == p}) for pair in OPPOSITES for p in pair}
+#: Structures of a dispute that one task pairs with all others.
+PIECE = 1000
+
+
+def _sided(claims: DataFrame, key: str) -> DataFrame:
+    """A row for each conflict a claim may be part of: conflict, about (what both sides share), side; with the claim's key, pos,
+    structure (64-bit fingerprint of its normalized parts), those parts, confidence and specificity."""
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias(c)
+    c = claims.select(key, "pos", "kind", "negated", "confidence", specificity().alias("specificity"), *[low(x) for x in ("left", "operator", "right", "object")])
+    c = c.withColumn("structure", F.xxhash64("kind", "left", "operator", "right", "object", "negated"))
+    of = lambda conflict, about, side, when: F.when(when, F.struct(F.lit(conflict).alias("conflict"), F.array(*about).alias("about"), side.cast("string").alias("side")))
+    kind, verb, plain = F.col("kind"), F.col("operator"), ~F.col("negated")
+    predicate, names = kind == "predicate", (F.least("left", "right"), F.greatest("left", "right"))
+    opposites = F.coalesce(F.element_at(F.create_map(*[x for p, qs in _AGAINST.items() for x in (F.lit(p), literals(qs))]), verb), F.array().cast("array<string>"))
+    opposites = F.array_distinct(F.concat(opposites, F.array(F.concat(F.lit("not "), verb)), F.when(F.startswith(verb, F.lit("not ")), F.array(F.substring(verb, F.lit(5), F.length(verb)))).otherwise(F.array().cast("array<string>"))))
+    opposed = F.transform(opposites, lambda q: F.struct(F.lit("predicate").alias("conflict"), F.array(F.lit("verbs"), F.col("left"), F.least(verb, q), F.greatest(verb, q)).alias("about"), verb.alias("side")))
+    sides = [
+        of("contradiction", (kind, "left", verb), F.col("negated"), predicate),
+        of("contradiction", (kind, "left", verb, "right", "object"), F.col("negated"), ~predicate),
+        of("predicate", (F.lit("objects"), "left", verb), F.col("object"), predicate & plain & (F.col("object") != "")),
+        of("modal", ("left", "right", "object"), verb, (kind == "modal") & plain & verb.isin("necessarily", "unlikely")),
+        of("causal", names, F.col("left"), (kind == "causal") & plain & (F.col("left") != F.col("right"))),
+    ]
+    for name, operators in (("comparison", ("<", ">")), ("temporal", ("before", "after"))):
+        this = (kind == name) & plain & verb.isin(*operators)
+        sides += [of(name, (F.lit("straight"), "left", "right"), verb, this), of(name, (F.lit("crossed"), verb, *names), F.col("left"), this)]
+    every = F.concat(F.array_compact(F.array(*sides)), F.when(predicate & plain, opposed).otherwise(F.array().cast("array<struct<conflict:string,about:array<string>,side:string>>")))
+    return c.select("*", F.inline(every))
+
+
+def _contested_groups(sided: DataFrame) -> DataFrame:
+    return sided.groupBy("conflict", "about").agg(F.min("side").alias("a"), F.max("side").alias("b"), F.count("*").alias("n")).filter("a <> b").select("conflict", "about", "n")
+
+
+def disputes(claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """conflict, about, side, structure, its parts, key, pos, confidence: what the whole collection's claims, of one text or of
+    different ones, don't agree on. Any two structures of one (conflict, about) with different sides are in conflict, by the rules of
+    `conflicts`, and any two in conflict share exactly one (conflict, about): no pairs are formed, so a hot subject has as many
+    rows as claims. Claims of equal structure (in lower case and trimmed) never conflict."""
+    sided = _sided(cut(claims), key)
+    groups = cut(_contested_groups(sided)).drop("n")
+    return sided.join(small(groups), ["conflict", "about"], "left_semi").select("conflict", "about", "side", "structure", "kind", "left", "operator", "right", "object", "negated", key, "pos", "confidence")
+
+
+def structure_conflicts(claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """first, second (structures as in `disputes`, by the first key and place they occur at), kind, and the sides' confidence (mean of
+    the claims) and specificity: every pair of structures of the collection in conflict, once. Copies are one structure. The
+    structures of a large dispute are dealt to several tasks."""
+    by = ["conflict", "about", "side", "structure"]
+    s = _sided(claims, key).groupBy(*by).agg(rounded(F.avg("confidence")).alias("c"), F.max("specificity").alias("s"), F.min(F.struct(key, "pos", "structure")).alias("at"))
+    s = cut(s)
+    groups = cut(_contested_groups(s)).withColumn("pieces", F.floor(F.col("n") / PIECE).cast("int") + 1).drop("n")
+    s = s.join(small(groups), ["conflict", "about"]).withColumn("about", F.xxhash64("conflict", "about"))
+    a = s.select("conflict", "about", F.pmod("structure", "pieces").cast("int").alias("piece"), *[F.col(x).alias(f"a_{x}") for x in ("side", "structure", "c", "s", "at")])
+    b = s.select("conflict", "about", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), *[F.col(x).alias(f"b_{x}") for x in ("side", "structure", "c", "s", "at")])
+    j = a.join(b, ["conflict", "about", "piece"]).filter("a_side <> b_side and a_at < b_at")
+    return j.select(F.col("a_structure").alias("first"), F.col("b_structure").alias("second"), F.col("conflict").alias("kind"), *[F.col(f"{x}_{y}").alias(f"{y}_{z}") for x, z in (("a", "first"), ("b", "second")) for y in ("c", "s")])
+
+
+def structure_resolutions(claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """first, second, action, target (a structure): `resolutions` of every pair of structure_conflicts."""
+    return structure_conflicts(claims, key).select("first", "second", F.inline(_actions("long")))
+
+
 def specificity() -> Column:
     """How much a claim says: 3 for predicates, comparisons and orders, one more for a negation; a modal one more than its inside."""
     base = F.when(F.col("kind") == "implies", 2).when(F.col("kind") == "causal", 3).when(F.col("kind") == "modal", F.when(F.col("right").isNull(), 2).otherwise(4)).otherwise(3)
@@ -228,15 +295,19 @@ def resolutions(found: DataFrame, claims: DataFrame, key: str = "doc_id") -> Dat
     specific, add_exception for predicate and temporal conflicts, modify the second claim of a predicate conflict."""
     side = lambda s: claims.select(F.col(key), F.col("pos").alias(s), F.col("confidence").alias(f"c_{s}"), specificity().alias(f"s_{s}"))
     j = found.join(side("first"), [key, "first"]).join(side("second"), [key, "second"])
-    act = lambda name, when, target: F.when(when, F.struct(F.lit(name).alias("action"), target.cast("int").alias("target")))
+    return j.select(key, "first", "second", F.inline(_actions("int")))
+
+
+def _actions(target_type: str) -> Column:
+    """What can be done about a conflict (kind, first, second with c_ and s_, the sides' confidence and specificity)."""
+    act = lambda name, when, target: F.when(when, F.struct(F.lit(name).alias("action"), target.cast(target_type).alias("target")))
     gap = F.col("c_first") - F.col("c_second")
-    actions = F.array_compact(F.array(
+    return F.array_compact(F.array(
         act("prioritize", F.abs(gap) > 0.1, F.when(gap > 0, F.col("second")).otherwise(F.col("first"))),
         act("remove", F.col("s_first") != F.col("s_second"), F.when(F.col("s_first") < F.col("s_second"), F.col("first")).otherwise(F.col("second"))),
         act("add_exception", F.col("kind").isin("temporal", "predicate"), F.col("first")),
         act("modify", F.col("kind") == "predicate", F.col("second")),
     ))
-    return j.select(key, "first", "second", F.inline(actions))
 
 
 def contested(claims: DataFrame) -> DataFrame:

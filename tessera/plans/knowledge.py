@@ -99,13 +99,14 @@ def judge_quick(spark, d):
 
 @query()
 def claim_conflicts(spark, d):
-    return C.conflicts(_claims(spark, d))
+    """Between all records, as disputes with their members."""
+    return C.disputes(_claims(spark, d))
 
 
 @query()
 def claim_resolutions(spark, d):
-    c = _claims(spark, d)
-    return C.resolutions(C.conflicts(c), c)
+    """Of every pair of structures in conflict."""
+    return C.structure_resolutions(_claims(spark, d))
 
 
 @query(f"""with {_CLAIMS} select "left" as subject, operator as verb, count(distinct object) as objects, count(*) as claims from claims where kind = 'predicate' and not negated and object != '' group by 1, 2 having count(distinct object) > 1""")
@@ -121,7 +122,8 @@ def claims_dependency(spark, d):
 
 @query()
 def claims_dependency_conflicts(spark, d):
-    return C.conflicts(dependency.as_claims(dependency.triples(store(spark, d))))
+    """Between all records, as disputes with their members."""
+    return C.disputes(dependency.as_claims(dependency.triples(store(spark, d))))
 
 
 # the graph -------------------------------------------------------------------------------------------------------------

@@ -191,6 +191,37 @@ def test_claims(spark):
     assert (none.status, none.confidence) == ("unknown", 0.5)
 
 
+def test_conflicts_between_records(spark):
+    from itertools import combinations
+
+    texts = [
+        "Sky is blue", "sky is not blue", "Sky is red. Sky is blue", "Sky is blue", "Ten is greater than two. x less y", "x more y", "y less x. x less x", "A came before B", "A came after B. B came before A",
+        "It must be late", "It unlikely be late", "rain causes mud", "mud causes rain", "rain influences mud", "If it rains, then wet", "If it rains, then not wet", "Sky has sun", "It could be late", "z before z. z before z. z after z", None,
+    ]
+    c = claims.extracted(spark.createDataFrame([(f"d{i:02}", t) for i, t in enumerate(texts)], "doc_id string, text string"))
+    opposed = spark.createDataFrame([(f"e{i}", 0, "predicate", s, v, None, o, n, k) for i, (s, v, o, n, k) in enumerate([("door", "open", None, False, 0.9), ("Door ", "closed", "now", False, 0.6), ("door", "not open", None, False, 0.7), ("door", "closed", None, True, 0.9)])], "doc_id string, pos int, kind string, left string, operator string, right string, object string, negated boolean, confidence double")
+    c = c.drop("sentence").unionByName(opposed).localCheckpoint()
+    # the rules for one text say what is wanted: all claims as one text, equal structures left out
+    whole = c.orderBy("doc_id", "pos").collect()
+    parts = lambda r: tuple((r[x] or "").strip().lower() for x in ("kind", "left", "operator", "right", "object")) + (r.negated,)
+    one_text = spark.createDataFrame([("all", i, *[r[x] for x in ("kind", "left", "operator", "right", "object", "negated", "confidence")]) for i, r in enumerate(whole)], "doc_id string, pos int, kind string, left string, operator string, right string, object string, negated boolean, confidence double")
+    wanted = {(frozenset((parts(whole[r["first"]]), parts(whole[r["second"]]))), r.kind) for r in claims.conflicts(one_text).collect()}
+    wanted = {w for w in wanted if len(w[0]) == 2}
+    assert {k for _, k in wanted} == {"contradiction", "predicate", "comparison", "temporal", "modal", "causal"}
+    groups, of, members = {}, {}, set()
+    for r in claims.disputes(c).collect():
+        groups.setdefault((r.conflict, tuple(r.about)), set()).add((r.side, parts(r)))
+        of[r.structure] = parts(r)
+        members.add((parts(r), r.doc_id, r.pos))
+    found = [(frozenset((p, q)), k) for (k, _), g in groups.items() for (a, p), (b, q) in combinations(sorted(g), 2) if a != b]
+    assert set(found) == wanted and len(found) == len(wanted)
+    assert members == {(parts(r), r.doc_id, r.pos) for r in whole if any(parts(r) in w for w, _ in wanted)}
+    pairs = claims.structure_conflicts(c).collect()
+    assert {(frozenset((of[r["first"]], of[r["second"]])), r.kind) for r in pairs} == wanted and len(pairs) == len(wanted)
+    assert claims.structure_resolutions(c).filter("target not in (first, second)").count() == 0
+    assert {frozenset((of[r["first"]], of[r["second"]])) for r in claims.structure_resolutions(c).collect()} <= {w for w, _ in wanted}
+
+
 def test_dependency_triples(spark):
     from tessera.operators.dependency import LEMMAS, as_claims, triples, triples_of
 
