@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import column
@@ -48,14 +49,40 @@ def prefix_lengths(text: Column | str, least: int = 16, step: int = 16) -> Colum
     return F.when(n > least, F.array_union(F.sequence(F.lit(least), n, F.lit(step)), F.array(n))).otherwise(F.array(n))
 
 
-def prefix_hits(new: DataFrame, cached: DataFrame, key: str = "query_id", least: int = 16, step: int = 16) -> DataFrame:
-    """key, length, kind: for each new text the longest cached text (text) that it begins with, found by the hashes of its own
-    prefixes at the lengths that occur in the cache grid, and verified: `hit` if it is the whole text, else `partial`."""
-    c = cached.select(F.col("text").alias("c")).filter("c is not null and c <> ''").distinct().withColumn("h", F.xxhash64("c")).withColumn("n", F.length("c"))
-    n = new.filter("text is not null").select(key, "text", F.explode(prefix_lengths("text", least, step)).alias("n"))
-    n = n.withColumn("h", F.xxhash64(F.expr("substring(text, 1, n)")))
-    met = n.join(c, ["h", "n"]).filter(F.startswith("text", F.col("c")))
-    return met.groupBy(key).agg(F.max("n").alias("length"), F.bool_or(F.col("n") == F.length("text")).alias("w")).select(key, "length", F.when(F.col("w"), "hit").otherwise("partial").alias("kind"))
+def prefix_hits(new: DataFrame, cached: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, length, kind: for each new text the longest cached text (text) of any length that it begins with: `hit` if it is the
+    whole text, else `partial`.
+
+    The distinct texts are sorted by ranges. In that order the cached texts a text begins with are those still open, so a
+    task keeps a stack of them; the ones that are open where a range begins are looked up once for each range."""
+    text = lambda df, is_cached: df.filter("text is not null and text <> ''").select("text", F.lit(is_cached).alias("cached"))
+    every = text(new, False).unionByName(text(cached, True)).groupBy("text").agg(F.max("cached").alias("cached"), F.min("cached").alias("only"))
+    parts = cut(every.repartitionByRange("text").withColumn("part", F.spark_partition_id()))
+    starts = parts.groupBy("part").agg(F.min("text").alias("start"))
+    begun = parts.filter("cached").select("text").join(F.broadcast(starts), F.startswith("start", F.col("text")) & (F.col("text") < F.col("start")))
+    opened: dict[int, list[str]] = {}
+    for r in begun.select("part", "text").collect():
+        opened.setdefault(r.part, []).append(r.text)
+
+    def run(batches):
+        at, stack = None, []
+        for b in batches:
+            texts, lengths = [], []
+            for x, is_cached, only, part in zip(*(c.to_pylist() for c in b.columns)):
+                if part != at:
+                    at, stack = part, sorted(opened.get(part, ()), key=len)
+                while stack and not x.startswith(stack[-1]):
+                    stack.pop()
+                if is_cached:
+                    stack.append(x)
+                if stack and not only:
+                    texts.append(x)
+                    lengths.append(len(stack[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(lengths, pa.int32())], ["text", "length"])
+
+    met = parts.select("text", "cached", "only", "part").repartition("part").sortWithinPartitions("part", "text").mapInArrow(run, "text string, length int")
+    found = new.select(key, "text").join(met, "text").select(key, "length", (F.col("length") == F.length("text")).alias("w"))
+    return found.groupBy(key).agg(F.max("length").alias("length"), F.bool_or("w").alias("w")).select(key, "length", F.when(F.col("w"), "hit").otherwise("partial").alias("kind"))
 
 
 def cache_replay(log: DataFrame, key: Column, ts: str = "ts", ttl_seconds: int = 3600) -> DataFrame:

@@ -222,6 +222,24 @@ def test_conflicts_between_records(spark):
     assert {frozenset((of[r["first"]], of[r["second"]])) for r in claims.structure_resolutions(c).collect()} <= {w for w, _ in wanted}
 
 
+def test_prefixes_of_every_length(spark):
+    cached = ["what", "what is a", "what is a vector index", "x" * 16, "x" * 45, "é", "", None, "what"]
+    new = {1: "what is a vector", 2: "what is", 3: "what is a vector index", 4: "x" * 50, 5: "x" * 20, 6: "école", 7: "", 8: None, 9: "wha", 10: "what is a"}
+    df = spark.createDataFrame(list(new.items()), "query_id int, text string")
+    got = rows(service.prefix_hits(df, spark.createDataFrame([(c,) for c in cached], "text string")), "query_id", "length", "kind")
+    assert got == [(1, 9, "partial"), (2, 4, "partial"), (3, 22, "hit"), (4, 45, "partial"), (5, 16, "partial"), (6, 1, "partial"), (10, 9, "hit")]
+
+
+def test_prefixes_of_the_registered_log_without_the_own_text(spark):
+    from tessera.plans.base import log
+
+    q = log(spark, "/root/testdata/sf0.001").select("query_id", "text").localCheckpoint()
+    cut = q.filter("length(text) > 9").select(F.expr("substring(text, 1, 3 + cast(length(text) * 0.6 as int))").alias("text"))
+    texts = {r.text for r in cut.collect()}
+    wanted = {r.query_id: max((len(c) for c in texts if r.text.startswith(c)), default=0) for r in q.filter("text is not null").collect()}
+    assert {r.query_id: r.length for r in service.prefix_hits(q, cut).collect()} == {k: n for k, n in wanted.items() if n}
+
+
 def test_dependency_triples(spark):
     from tessera.operators.dependency import LEMMAS, as_claims, triples, triples_of
 
