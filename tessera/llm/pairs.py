@@ -1,26 +1,30 @@
 """Problem 5: defective prompt and response pairs.
 
-A multi-label linear classifier over hashed word n-grams of both sides and features of the pair. It is trained on pairs made
+A multi-label linear classifier over hashed word n-grams of both whole sides and features of the pair. It is trained on pairs made
 from a bounded sample of the rows: their responses cut off, emptied, replaced by refusals, by copies of the prompt and by
-responses in another language. The rows themselves serve as sound pairs, in a second round only those in which the first
-round's classifier saw no defect. Thresholds are set on made pairs that the classifier wasn't trained on."""
+responses in another language. The rows themselves serve as sound pairs. Two models fitted on the same sample supply features: one
+tells a sentence's language by character n-grams, one how much a sentence declines by word n-grams. The latter starts from
+sentences made by a small grammar; in a second round it also learns the sentences of those rows that the first round's
+classifier took for refusals, so the collection's own wordings need not be in the grammar. Probabilities are calibrated (Platt) and
+thresholds set on made pairs that the classifier wasn't trained on."""
 
 from __future__ import annotations
 
 import random
 import re
-import unicodedata
 from collections import Counter
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import one_per_key, words
+from .common import mix, one_per_key, words
 
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "wrong_language")
-DIMENSIONS = 1 << 17
+DIMENSIONS = 1 << 18
 
 # Frequent small words by language.
 SMALL_WORDS = {
@@ -46,81 +50,236 @@ LANGUAGE_NAMES = {
 }
 # What stands for a missing value.
 PLACEHOLDERS = ["none", "null", "nil", "nan", "n/a", "na", "n.a.", "tbd", "todo", "tba", "empty", "<empty>", "(empty)", "(blank)", "(none)", "(null)", "[empty]", "[blank]", "<blank>", "<null>", "<none>", "undefined", "no answer", "no response", "not available", "missing", "unknown", "placeholder", "[]", "{}", "()", "\"\"", "''", "?", "??", "...", "…", "-", "--", "—", "xxx", "#n/a", "void", "blank", "to be done", "to do", "no data", "keine antwort", "sans réponse", "sin respuesta", "vide", "leer", "vacío", "нет ответа", "нет", "なし", "未定"]
-# Parts of refusals by language: how they may begin, what they say, how they may end.
-REFUSALS = {
-    "en": (
-        ["", "", "", "Sorry,", "Sorry, but", "I'm sorry.", "Thank you for asking.", "Sorry, this is something", "I'm sorry, but", "I am sorry, but", "I apologize, but", "Unfortunately,", "I'm afraid", "I am afraid that", "Thanks for asking.", "Thank you for the question, but", "As an assistant,", "As an AI language model,", "Regrettably,", "My apologies,"],
-        ["I cannot answer this question", "I can't answer that", "I am unable to answer", "I'm not able to help with that", "I do not know the answer", "I don't know", "I have no information about {x}", "I do not have enough information to answer", "I don't have enough information about this", "I cannot help with this request", "I can't say anything about {x}", "I must decline this request", "it is not possible for me to respond to that", "I am not in a position to answer", "I won't answer that", "there is nothing I can say about {x}", "I would rather not answer", "I cannot provide an answer to that", "I can't help you with {x}", "I'm unable to comment on {x}", "I cannot assist with that", "I can't help with that", "I would rather not answer", "I do not know the answer to that", "I won't be able to assist with this request", "I am unable to give an answer here", "I'm not able to discuss {x}", "I must decline to answer", "I can't say anything about {x} because the sources are not available to me", "I cannot comment on this", "I have to decline", "I'm unable to help with this at this time"],
-        ["", "", "", "Please ask someone else.", "Please try another question.", "Please contact the support.", "I lack the sources.", "The sources are missing.", "Is there anything else I can help with?", "Is there anything else you would like to know?", "You may want to consult the {x} notes.", "Try a different question.", "Please consult an expert.", "I hope you understand."],
-    ),
-    "fr": (
-        ["", "", "Désolé,", "Désolé.", "Je le regrette.", "Merci pour la question.", "Merci d'avoir demandé.", "Désolée, mais", "Je suis désolé, mais", "Malheureusement,", "Je regrette, mais", "Merci pour la question, mais", "En tant qu'assistant,", "Je m'excuse, mais"],
-        ["je ne peux pas répondre à cette question", "je ne sais pas", "je n'ai pas assez d'informations pour répondre", "je ne dispose pas d'informations suffisantes", "je ne suis pas en mesure de répondre", "il m'est impossible de répondre", "je ne peux rien dire sur {x}", "je ne peux pas vous aider", "je n'ai aucune information sur {x}", "je dois refuser cette demande", "je préfère ne pas répondre"],
-        ["", "", "Veuillez demander à quelqu'un d'autre.", "Les sources me manquent.", "Adressez-vous à une autre personne.", "Veuillez poser une autre question.", "Demandez à une autre personne."],
-    ),
-    "de": (
-        ["", "", "Leider", "Es tut mir leid.", "Danke für die Frage.", "Danke der Nachfrage.", "Es tut mir leid, aber", "Tut mir leid,", "Entschuldigung,", "Bedauerlicherweise", "Danke für die Frage, aber", "Als Assistent", "Verzeihung, aber"],
-        ["kann ich diese Frage nicht beantworten", "ich kann diese Frage nicht beantworten", "ich weiß es nicht", "ich kann dazu nichts sagen", "kann ich dazu nichts sagen", "ich kann nichts über {x} sagen", "ich habe nicht genug Informationen, um zu antworten", "habe ich dazu keine Informationen", "ich bin nicht in der Lage zu antworten", "es ist mir nicht möglich, darauf zu antworten", "ich kann Ihnen dabei nicht helfen", "das kann ich nicht beantworten", "ich muss diese Anfrage ablehnen", "darauf habe ich keine Antwort", "dabei kann ich nicht helfen", "leider fehlen mir die Angaben, um darauf zu antworten"],
-        ["", "", "Bitte fragen Sie jemand anderen.", "Mir fehlen die Quellen.", "Bitte stellen Sie eine andere Frage.", "Bitte wenden Sie sich an eine andere Person.", "Mir fehlen die Angaben."],
-    ),
-    "es": (
-        ["", "", "Lo siento,", "Lo siento, pero", "Lo lamento.", "Lo siento.", "Gracias por preguntar.", "Lamentablemente,", "Desafortunadamente,", "Gracias por la pregunta, pero", "Como asistente,", "Perdón,", "Me temo que"],
-        ["no puedo responder a esa pregunta", "no puedo responder a esta pregunta", "no lo sé", "no tengo información suficiente para responder", "no tengo información sobre {x}", "no puedo decir nada sobre {x}", "no puedo ayudarle con eso", "no me es posible responder", "no estoy en condiciones de contestar", "debo rechazar esta solicitud", "prefiero no responder"],
-        ["", "", "Por favor, pregunte a otra persona.", "Me faltan las fuentes.", "Por favor, haga otra pregunta.", "Consulte a un experto."],
-    ),
-    "ru": (["", "", "К сожалению,", "Извините,", "Простите, но"], ["я не могу ответить на этот вопрос", "я не знаю", "у меня нет информации об этом", "у меня недостаточно сведений для ответа", "я не могу помочь с этим", "мне нечего сказать об этом"], ["", "", "Пожалуйста, спросите кого-нибудь другого.", "Мне не хватает источников."]),
-    "ja": (["", "", "申し訳ありませんが、", "すみませんが、", "残念ながら、"], ["その質問にはお答えできません", "回答できません", "わかりません", "情報が足りないため答えられません", "お手伝いできません"], ["", "", "他の人に聞いてください。"]),
-}
-# What a decorated copy or answer may begin with, and marks put around it.
-LEADS = ["", "", "", "Answer: ", "Question: ", "Q: ", "You asked: ", "You want to know: ", "Asked: ", "A: ", "> ", "Re: ", "The question is: ", "Réponse : ", "Antwort: ", "Respuesta: "]
-WRAPS = [("", ""), ("", ""), ("\"", "\""), ("'", "'"), ("“", "”"), ("«", "»"), ("*", "*"), ("**", "**"), ("(", ")"), ("> ", "")]
-
-_LANGUAGE_OF = {}
+# A grammar of declining by language; alternatives are parted by bars, {name} stands for another rule, {x} for a name in the prompt.
+DECLINING = {
+    "en": {
+        "lead": "||Sorry,|Sorry, but|I am sorry, but|I'm sorry.|My apologies.|Unfortunately,|Regrettably,|I'm afraid|Thanks, but|Thank you.|As a model,|Sadly,",
+        "say": "I cannot {do} {what}|I can't {do} {what}|I could not {do} {what}|I am unable to {do} {what}|I'm unable to {do} {what}|I am not able to {do} {what}|I'm not able to {do} {what}|I won't {do} {what}|I will not {do} {what}|I must decline to {do} {what}|I have to decline {what}|I must decline|I prefer not to {do} {what}|I would prefer not to {do} {what}|it is impossible for me to {do} {what}|I do not know {know}|I don't know {know}|I have no {lack}|I do not have {lack}|I don't have {lack}|I lack {lack}|I am missing {lack}|I can say nothing about {x}|I can't offer {lack}|nothing about {x} is known to me",
+        "do": "answer|help with|help you with|assist with|respond to|reply to|comment on|discuss|talk about|explain|address|say anything about|say|tell you anything on|provide an answer to|give an answer to",
+        "what": "this|that|it|your question|the question|this question|this request|such requests|{x}|that topic",
+        "know": "|that|this|enough|enough about this|the answer|the answer to that|anything about {x}|how to answer",
+        "lack": "any information|information about {x}|information on this|enough information|the information for this|an answer|the answer|an opinion on {x}|knowledge of {x}|access to this|the means to answer|the data|details of {x}",
+        "tail": "||||now|at the moment|today|for you|here|with what I have|for lack of data|as I have no access to it",
+        "close": "||||Please try again later.|Please consult a specialist.|Please look elsewhere.|You could check another place.|You may find it elsewhere.|Perhaps someone else can help.|Can I help with anything else?|Is there anything else?|I apologize.|Please rephrase it.|Another person may know.|I hope that is all right.",
+    },
+    "fr": {
+        "lead": "||Désolé,|Désolée,|Je suis désolé, mais|Je suis navré.|Pardon, mais|Hélas,|Malheureusement,|Merci, mais|Merci.|Je m'excuse.",
+        "say": "je ne peux pas {do}|je ne puis {do}|je ne saurais {do}|je ne suis pas en mesure de {do}|je ne suis pas capable de {do}|il m'est impossible de {do}|je refuse de {do}|je dois refuser|je dois refuser de {do}|je ne souhaite pas {do}|je préfère ne pas {do}|je ne sais pas|je ne sais rien de {x}|je n'ai pas {lack}|je n'ai aucune {lack2}|je ne dispose pas {lack}|je ne peux rien dire de {x}|je ne peux pas {do}",
+        "do": "répondre|répondre à cela|répondre à cette question|répondre à votre demande|vous aider|vous aider avec cela|dire cela|commenter {x}|donner une réponse|fournir une réponse|expliquer cela|parler de {x}|aider",
+        "lack": "de réponse|d'informations|assez d'informations|les informations pour cela|de données sur {x}|la réponse|l'accès à cela",
+        "lack2": "information|information sur {x}|réponse|donnée|idée|connaissance de {x}",
+        "tail": "|||maintenant|pour l'instant|ici|faute de données",
+        "close": "|||Essayez plus tard.|Cherchez ailleurs, s'il vous plaît.|Veuillez consulter un spécialiste.|Quelqu'un d'autre le sait peut-être.|Puis-je vous aider autrement ?|Veuillez reformuler.|Vous pouvez vérifier ailleurs.",
+    },
+    "de": {
+        "lead": "||Entschuldigung,|Verzeihung,|Es tut mir leid, aber|Es tut mir leid.|Tut mir leid,|Leider|Bedauere,|Danke, aber|Danke.|Bedauerlicherweise",
+        "say": "ich kann {what} nicht {do}|kann ich {what} nicht {do}|ich darf {what} nicht {do}|ich möchte {what} nicht {do}|ich werde {what} nicht {do}|ich bin nicht imstande, {what} zu {do}|ich bin nicht in der Lage, {what} zu {do}|es ist mir unmöglich, {what} zu {do}|es ist mir nicht möglich, {what} zu {do}|ich weiß das nicht|ich weiß es nicht|ich weiß nichts über {x}|weiß ich das nicht|ich habe {lack}|habe ich {lack}|mir fehlen {lack2}|ich muss das ablehnen|ich lehne das ab|ich kann dazu nichts sagen|kann ich dazu nichts sagen|zu {x} kann ich nichts sagen|ich kann damit nicht helfen|dabei kann ich nicht helfen",
+        "what": "das|dies|es|die Frage|diese Frage|Ihre Frage|Ihre Anfrage|diese Anfrage|darauf",
+        "do": "beantworten|erklären|sagen|kommentieren|antworten|lösen|bearbeiten",
+        "lack": "keine Antwort|keine Antwort darauf|keine Informationen|keine Informationen dazu|keine Angaben über {x}|nicht genug Informationen|keine Kenntnis von {x}|keinen Zugang dazu",
+        "lack2": "die Daten|die Informationen|Kenntnisse über {x}|Einzelheiten dazu",
+        "tail": "|||jetzt|im Moment|hier|ohne weitere Daten",
+        "close": "|||Versuchen Sie es später.|Bitte suchen Sie anderswo.|Fragen Sie bitte einen Fachmann.|Vielleicht weiß es jemand anders.|Kann ich sonst helfen?|Bitte formulieren Sie um.|Sie können anderswo nachsehen.",
+    },
+    "es": {
+        "lead": "||Lo siento,|Lo siento, pero|Lo siento.|Perdone,|Disculpe, pero|Lamentablemente,|Por desgracia,|Gracias, pero|Gracias.|Me disculpo.",
+        "say": "no puedo {do}|no podría {do}|no soy capaz de {do}|no estoy en condiciones de {do}|me es imposible {do}|no me es posible {do}|no quiero {do}|prefiero no {do}|me niego a {do}|debo rechazar esto|debo negarme a {do}|no sé|no lo sé|no sé nada de {x}|no tengo {lack}|carezco de {lack2}|no dispongo de {lack2}|no puedo decir nada de {x}|nada puedo decir sobre {x}",
+        "do": "responder|responder a eso|responder a esta pregunta|contestar|contestar a su pregunta|ayudar|ayudarle|ayudarle con eso|decir eso|comentar {x}|dar una respuesta|explicar eso|hablar de {x}",
+        "lack": "respuesta|información|información sobre {x}|datos|datos suficientes|idea|acceso a eso|la respuesta",
+        "lack2": "información|datos sobre {x}|información suficiente|conocimientos de {x}|medios para eso",
+        "tail": "|||ahora|por ahora|aquí|por falta de datos",
+        "close": "|||Inténtelo más tarde.|Busque en otro lugar, por favor.|Consulte a un especialista.|Quizás otra persona lo sepa.|¿Puedo ayudar en algo más?|Por favor, formule de otro modo.|Puede mirar en otra parte.",
+    },
+    "ru": {"lead": "||К сожалению,|Извините,|Простите, но", "say": "я не могу {do}|я не в состоянии {do}|я не знаю|у меня нет {lack}|мне нечего сказать", "do": "ответить|помочь|ответить на это|сказать это|обсуждать {x}", "lack": "ответа|сведений|данных о {x}|информации", "tail": "||сейчас", "close": "||Попробуйте позже.|Обратитесь к специалисту."},
+    "ja": {"lead": "||申し訳ありませんが、|すみません、|残念ながら、", "say": "{what}お答えできません|{what}答えられません|{what}わかりません|{what}回答を控えます|{what}情報がありません|お手伝いできません", "what": "|それには|この質問には|その件は|{x}については", "tail": "|", "close": "||他をお調べください。|また後でお試しください。"},
+}
+# What a decorated copy may begin with, and marks put around it.
+LEADS = ["Question: ", "Q: ", "> ", "Answer: ", "A: ", "Re: ", "- ", "# "]
+WRAPS = [("", ""), ("", ""), ("", ""), ("\"", "\""), ("'", "'"), ("“", "”"), ("«", "»"), ("*", "*"), ("**", "**"), ("(", ")"), ("`", "`")]
+# Yes and no.
+YES_NO = ["yes", "no", "Yes.", "No.", "oui", "non", "Oui.", "Non.", "ja", "nein", "Ja.", "Nein.", "sí", "no", "Sí.", "да", "нет", "はい", "いいえ"]
+# Scripts that tell a language, as ranges of code points.
+SCRIPTS = [("ru", 0x400, 0x52F), ("ja", 0x3040, 0x30FF), ("el", 0x370, 0x3FF), ("he", 0x590, 0x5FF), ("ar", 0x600, 0x6FF), ("hi", 0x900, 0x97F), ("th", 0xE00, 0xE7F), ("ko", 0xAC00, 0xD7AF), ("zh", 0x4E00, 0x9FFF)]
+
+_VOTES: dict[str, list[str]] = {}
 for _lang, _ws in SMALL_WORDS.items():
     for _w in _ws.split():
-        _LANGUAGE_OF.setdefault(_w, []).append(_lang)
+        _VOTES.setdefault(_w, []).append(_lang)
 _NAMED = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names}
 _CJK_NAMES = [(name, lang) for name, lang in _NAMED.items() if name.endswith("語")]
 _PLACEHOLDERS = frozenset(PLACEHOLDERS)
-_REFUSAL_WORDS = {w for parts in REFUSALS.values() for part in parts for t in part for w in words(t.replace("{x}", " "))}
 _ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+\S")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？\n]*")
+_CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_INVISIBLE = re.compile(r"[\s\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
+_ALNUM = re.compile(r"[^\W_]")
+_OTHER_SCRIPT = re.compile(r"[^\W\d_\u0000-\u036f]+")
+_STOPS = tuple(".!?。！？")
+
+
+# languages -----------------------------------------------------------------------------------------------------------
 
 
-def language_of(text: str) -> tuple[str, float]:
-    """The most likely language of a stretch ('' if nothing tells) and how much speaks for it."""
+def script_of(text: str) -> str:
+    """The language that at least half the letters' script tells, or ''. Ideographs with any kana are Japanese."""
+    if text.isascii() or not (odd := _OTHER_SCRIPT.findall(text)):
+        return ""
+    seen: Counter = Counter()
+    for run in odd:
+        for c in run:
+            seen[next((lang for lang, a, b in SCRIPTS if a <= ord(c) <= b), "")] += 1
+    if seen["ja"]:
+        seen["ja"] += seen.pop("zh", 0)
+    lang, n = max(seen.items(), key=lambda x: (x[1], x[0]))
+    return lang if lang and 2 * n >= sum(map(str.isalpha, text)) else ""
+
+
+def _small_words(ws: list[str]) -> Counter:
     votes: Counter = Counter()
-    for c in text:
-        if c > "ͯ":
-            o = ord(c)
-            if 0x400 <= o <= 0x52F:
-                votes["ru"] += 0.25
-            elif 0x3040 <= o <= 0x30FF:
-                votes["ja"] += 0.6
-            elif 0x4E00 <= o <= 0x9FFF:
-                votes["ja"] += 0.3
-    for w in words(text):
-        if langs := _LANGUAGE_OF.get(w):
-            for lang in langs:
-                votes[lang] += 1 / len(langs)
-    if "¿" in text or "¡" in text or "ñ" in text:
-        votes["es"] += 1
-    if "ß" in text:
-        votes["de"] += 1
-    if not votes:
-        return "", 0.0
-    lang, n = max(votes.items(), key=lambda x: (x[1], x[0]))
-    return lang, n
-
-
-def _languages(text: str) -> Counter:
-    """Language -> letters of the sentences in it."""
-    shares: Counter = Counter()
-    for s in _SENTENCE.findall(text):
-        lang, n = language_of(s)
-        if n >= 0.5:
-            shares[lang] += len(s)
-    return shares
+    for w in ws:
+        for lang in (langs := _VOTES.get(w, ())):
+            votes[lang] += 1 / len(langs)
+    return votes
+
+
+@dataclass
+class Languages:
+    """Naive Bayes over character n-grams (one to three) of words. Fitted on sentences whose small words leave no doubt; votes of
+    small words count on top, and alone where nothing was fitted."""
+
+    names: list[str] = field(default_factory=list)
+    grams: dict[str, list[float]] = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
+
+    @staticmethod
+    def _grams(word: str):
+        w = f" {word} "
+        return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    @classmethod
+    def fit(cls, texts: list[str], least_words: int = 200) -> Languages:
+        counts: dict[str, Counter] = {}
+        n: Counter = Counter()
+        for text in texts:
+            for s in _SENTENCE.findall(text):
+                votes = _small_words(ws := words(s)).most_common(2)
+                if script_of(s) or not votes or votes[0][1] < 2 or (len(votes) > 1 and votes[1][1] > votes[0][1] / 2):
+                    continue
+                lang = votes[0][0]
+                n[lang] += len(ws)
+                counts.setdefault(lang, Counter()).update(g for w in ws if w.isalpha() for g in cls._grams(w))
+        names = sorted(lang for lang in counts if n[lang] >= least_words)
+        every = {g for lang in names for g, k in counts[lang].items() if k > 1}
+        size = {lang: sum(counts[lang].values()) + 0.5 * len(every) for lang in names}
+        logs = {}
+        for g in every:
+            x = [np.log((counts[lang][g] + 0.5) / size[lang]) for lang in names]
+            mean = sum(x) / len(x)
+            logs[g] = [float(v - mean) for v in x]
+        return cls(names, logs)
+
+    def _word(self, w: str) -> np.ndarray:
+        if (x := self.known.get(w)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = [self.grams[g] for g in self._grams(w) if g in self.grams] if w.isalpha() else []
+            # n-grams overlap: a word counts as a third of theirs
+            x = self.known[w] = np.sum(found, axis=0) / 3 if found else np.zeros(len(self.names))
+        return x
+
+    def of(self, text: str) -> tuple[str, float]:
+        """(language, how much speaks for it over the next one); ('', 0) if nothing tells."""
+        if lang := script_of(text):
+            return lang, 10.0
+        ws = words(text)
+        votes = _small_words(ws)
+        score = {lang: 2.0 * v for lang, v in votes.items()}
+        if self.names and ws:
+            x = np.sum([self._word(w) for w in ws], axis=0)
+            low = float(x.min()) if len(x) > 1 else 0.0
+            score = {lang: score.get(lang, 0.0) + low for lang in score} | {lang: score.get(lang, 0.0) + float(v) for lang, v in zip(self.names, x)}
+        if not score:
+            return "", 0.0
+        first, *others = sorted(score.items(), key=lambda x: (-x[1], x[0]))
+        margin = first[1] - (others[0][1] if others else 0.0)
+        return (first[0], margin) if margin > 0.5 else ("", 0.0)
+
+
+# n-grams -------------------------------------------------------------------------------------------------------------
+
+#: Numbers below this belong to the pair's own features, the others to n-grams, which learn more slowly.
+_PAIR_PART = 1 << 13
+_MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+class Grams:
+    """Numbers of the distinct word n-grams (one to three, with marks for both ends) of a sentence or a whole text."""
+
+    def __init__(self):
+        self.hashes: dict[str, int] = {}
+
+    def __call__(self, ws: list[str], side: int, most: int = 3) -> np.ndarray:
+        if not ws:
+            return np.zeros(0, np.int64)
+        known = self.hashes
+        if len(known) > 400_000:
+            known.clear()
+        h = np.empty(len(ws) + 2, np.uint64)
+        h[0], h[-1] = 1, 2
+        for i, w in enumerate(ws, 1):
+            if (x := known.get(w)) is None:
+                x = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h[i] = x
+        h = h + np.uint64(side)
+        made = [h[1:-1]]
+        last = h
+        for n in range(1, most):
+            last = mix(last[:-1] * _MULTIPLY[n] + h[n:])
+            made.append(last)
+        ids = np.unique(mix(np.concatenate(made)) % np.uint64(DIMENSIONS - _PAIR_PART))
+        return ids.astype(np.int64) + _PAIR_PART
+
+
+class Declining:
+    """How much a sentence declines to answer: mean log-odds of its n-grams in sentences that do, against others."""
+
+    def __init__(self, odds: np.ndarray):
+        self.odds = odds
+
+    @classmethod
+    def fit(cls, made: list[tuple[float, np.ndarray]], responses: list[list[np.ndarray]], rounds: int = 5) -> tuple[Declining, np.ndarray]:
+        """(the model, whether each response has a sentence that declines), from sentences (weight, n-grams) that decline and the
+        sentences of responses of unknown kind, by expectation maximization: a response one of whose sentences declines lends its
+        sentences to the declining side, the others (what else it says) with half a vote."""
+        base, total, most = np.zeros(DIMENSIONS), sum(w for w, _ in made), np.full(len(responses), -9.0)
+        for w, ids in made:
+            base[ids] += w
+        flat = np.concatenate([ids for r in responses for ids in r] or [np.zeros(0, np.int64)])
+        length = np.array([len(ids) for r in responses for ids in r], np.int64)
+        of = np.repeat(np.arange(len(responses)), [len(r) for r in responses])
+        # a response's sentences as one side or the other, by their weights
+        weight, out = np.zeros(len(length)), None
+        for _ in range(rounds):
+            w = np.repeat(weight, length)
+            yes = base + 2 * np.bincount(flat, w, DIMENSIONS)
+            no = np.bincount(flat, 1.0 - np.minimum(1, 2 * w), DIMENSIONS)
+            odds = np.log((yes + 0.5) / (total + 2 * weight.sum() + 1)) - np.log((no + 0.5) / (len(length) - weight.sum() + 1))
+            # what was seen a few times says little, above all that it isn't a way to decline
+            out = cls((np.clip(odds, -5, 5) * (yes + no) / (yes + no + 5)).astype(np.float32))
+            if not len(length):
+                break
+            start = np.cumsum(length) - length
+            score = np.where(length > 0, np.add.reduceat(np.append(out.odds[flat], 0), start) / np.maximum(length, 1), 0)
+            most = np.full(len(responses), -9.0)
+            np.maximum.at(most, of, score)
+            weight = np.where(most[of] > 0.8, np.where(score > 0.3, 1.0, 0.5), 0.0)
+        return out, most > 0.8
+
+    def of(self, ids: np.ndarray) -> float:
+        return float(self.odds[ids].mean()) if len(ids) else 0.0
+
+
+# features ------------------------------------------------------------------------------------------------------------
 
 
 def _bucket(x: float, steps: tuple) -> int:
@@ -135,135 +294,215 @@ def _end(text: str) -> str:
     if last in ".!?。！？…":
         return "abbreviation" if re.search(r"\d[.]$", t) and not re.search(r"\d{4}[.]$", t) else "stop"
     if last in "\"'”»)]}*`」":
-        return "closed-stop" if t.rstrip("\"'”»)]}*`」")[-1:] in tuple(".!?。！？…") else "closed"
+        return "closed-stop" if t.rstrip("\"'”»)]}*`」")[-1:] in _STOPS else "closed"
     if last in ",;:-–—(/[{&+=":
         return "hanging"
     return "digit" if last.isdigit() else "letter" if last.isalpha() else "other"
 
 
-def pair_features(prompt: str | None, response: str | None) -> list[str]:
-    """Names of the (binary) features of a pair. Nulls count as empty texts."""
-    p, r = prompt or "", response or ""
-    t = r.strip()
-    bare = "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc", "Zs"))
-    rw, pw = words(t), words(p)
-    f = ["bias"]
-    # empty
-    solid = t.lower().strip(".!?\"'`*_<>[](){}:; \u200b\ufeff")
-    nothing = not any(c.isalnum() for c in bare)
-    held = nothing or bare.lower() in _PLACEHOLDERS or t.lower() in _PLACEHOLDERS or solid in _PLACEHOLDERS
-    if nothing:
-        f.append("nothing")
-    if held:
-        f.append("placeholder")
-    size = _bucket(len(rw), (1, 2, 3, 5, 8, 13, 21, 40))
-    f.append(f"size={size}")
-    # how it ends
-    end = _end(r)
-    lines = [x for x in t.split("\n") if x.strip()] or [""]
-    item = bool(_ITEM.match(lines[-1]))
-    sentences = len(re.findall(r"[.!?。！？](?:\s|$)", t))
-    fragment = len(words(re.split(r"[.!?。！？]\s|\n", t)[-1])) if end not in ("stop", "closed-stop") else 0
-    open_quote = any(t.count(a) % 2 if a == b else t.count(a) > t.count(b) for a, b in (("\"", "\""), ("“", "”"), ("«", "»"), ("(", ")"), ("[", "]"), ("{", "}")))
-    fence = t.count("```")
-    kind = "item" if item else "code" if fence and fence % 2 == 0 and t.endswith("```") else "text"
-    f += [f"end={end}", f"end={end}&{kind}", f"end={end}&{kind}&size={size}", f"end={end}&{kind}&sentences={min(sentences, 3)}", f"fragment={min(fragment, 8)}&{kind}"]
-    if open_quote and not held:
-        f.append(f"open&{kind}")
-    if fence % 2:
-        f.append("open-fence")
-    if rw and kind == "text" and end not in ("stop", "closed-stop"):
-        f += [f"asked={' '.join(pw[:2])}&open-end&{min(size, 4)}", f"asked={' '.join(pw[:1])}&open-end&{min(size, 4)}", f"last={rw[-1]}&open-end"]
-    if not held and re.fullmatch(r"[-*•+]\s*", lines[-1].strip() + " "):
-        f.append("bare-bullet")
-    # copies
-    if rw and pw and not held:
-        a, b = Counter(rw), Counter(pw)
-        common = sum((a & b).values())
-        out, back = common / len(rw), common / len(pw)
-        rest = len(rw) - common
-        o, k = _bucket(out, (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1)), _bucket(back, (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1))
-        f += [f"copied={o}", f"back={k}", f"copied={o}&back={k}", f"rest={min(rest, 8)}&back={k}"]
-        if len(pw) > 3 and min(out, back) >= 0.7 and len(rw) >= 3:
-            f.append("mostly-copy")
-        if len(pw) > 3 and back >= 0.7 and set(rw) <= set(pw):
-            f.append("only-copy")
-    # refusal
-    if rw and not held:
-        share = sum(w in _REFUSAL_WORDS for w in rw) / len(rw)
-        f += [f"refusing={_bucket(share, (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1))}&size={size}", f"refusing={_bucket(share, (0.5, 0.7, 0.85))}"]
-    head = ["^", *rw[:16]]
-    f += [f"w={w}" for w in set(head)] + [f"w2={a} {b}" for a, b in set(zip(head, head[1:]))] + [f"w3={a} {b} {c}" for a, b, c in set(zip(head, head[1:], head[2:]))]
-    if sentences >= 3 or len(rw) > 24:
-        f.append("long-answer")
-    # language
-    if not held and bare:
-        mine = _languages(t)
-        asked, strength = language_of(p)
-        low = p.lower()
-        wanted = {_NAMED[w] for w in pw if w in _NAMED} | {lang for name, lang in _CJK_NAMES if name in low}
-        total = sum(mine.values())
-        foreign = sum(n for lang, n in mine.items() if lang != asked and lang not in wanted)
-        if total and asked:
-            main = max(mine.items(), key=lambda x: (x[1], x[0]))[0]
-            s = _bucket(foreign / total, (0.01, 0.25, 0.5, 0.75, 1))
-            state = "same" if main == asked else "wanted" if main in wanted else "other"
-            sure = "sure" if language_of(t)[1] >= 2 else "unsure"
-            f += [f"language={state}", f"foreign={s}", f"language={state}&foreign={s}&{sure}", f"language={state}&{sure}&size={size}"]
-        else:
-            f.append("language=unknown")
-    return f
-
-
-#: Numbers below this belong to the pair's own features, the others to n-grams, which learn more slowly: a word alone says
-#: little about most defects.
-_PAIR_PART = 1 << 13
+@dataclass
+class Rows:
+    """Sparse rows: feature numbers, their values, and where each row begins."""
 
+    flat: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
 
-def _number(name: str) -> int:
-    h = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
-    return _PAIR_PART + h % (DIMENSIONS - _PAIR_PART) if name.startswith(("w=", "w2=", "w3=")) else h & (_PAIR_PART - 1)
+    def part(self, a: int, b: int) -> Rows:
+        ends = np.append(self.starts, len(self.flat))
+        return Rows(self.flat[ends[a] : ends[b]], self.values[ends[a] : ends[b]], self.starts[a:b] - ends[a])
 
 
 class Features:
-    """Feature numbers of many pairs."""
+    """Feature numbers of pairs, given the two models of the sample."""
+
+    def __init__(self, languages: Languages | None = None):
+        self.languages, grams = languages or Languages(), Grams()
+        # sentences and prompts recur; what is kept is bounded
+        self.of = lru_cache(20_000)(self.languages.of)
+        self.grams = lru_cache(20_000)(lambda text, side, most: grams(words(text), side, most))
+        self.names: dict[str, int] = {}
+
+    def _number(self, name: str) -> int:
+        if (k := self.names.get(name)) is None:
+            if len(self.names) > 200_000:
+                self.names.clear()
+            k = self.names[name] = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) & (_PAIR_PART - 1)
+        return k
+
+    def shares(self, text: str) -> tuple[Counter, Counter]:
+        """Language -> letters of the sentences in it, and how much speaks for these."""
+        out, sure = Counter(), Counter()
+        for s in _SENTENCE.findall(text):
+            lang, margin = self.of(s)
+            if margin >= 1:
+                out[lang] += len(s)
+                sure[lang] += margin
+        return out, sure
+
+    def pair(self, prompt: str | None, response: str | None, declining: Declining | None) -> tuple[list[str], list[np.ndarray]]:
+        """(names of the pair's own features, numbers of n-grams of both whole sides). Nulls count as empty texts."""
+        p, r = prompt or "", response or ""
+        t = r.strip()
+        bare = _INVISIBLE.sub("", t)
+        rw, pw = words(t), words(p)
+        f = ["bias"]
+        # empty
+        solid = t.lower().strip(".!?\"'`*_<>[](){}:; ​﻿")
+        nothing = not _ALNUM.search(bare)
+        held = nothing or bare.lower() in _PLACEHOLDERS or t.lower() in _PLACEHOLDERS or solid in _PLACEHOLDERS
+        if nothing:
+            f.append("nothing")
+        if held:
+            f.append("placeholder")
+        size = _bucket(len(rw), (1, 2, 3, 5, 8, 13, 21, 40))
+        f.append(f"size={size}")
+        # how it ends
+        end = _end(r)
+        lines = [x for x in t.split("\n") if x.strip()] or [""]
+        item = bool(_ITEM.match(lines[-1]))
+        sentences = len(re.findall(r"[.!?。！？](?:\s|$)", t))
+        fragment = len(words(re.split(r"[.!?。！？]\s|\n", t)[-1])) if end not in ("stop", "closed-stop") else 0
+        open_quote = any(t.count(a) % 2 if a == b else t.count(a) > t.count(b) for a, b in (("\"", "\""), ("“", "”"), ("«", "»"), ("(", ")"), ("[", "]"), ("{", "}")))
+        fence = t.count("```")
+        kind = "item" if item else "code" if fence and fence % 2 == 0 and t.endswith("```") else "text"
+        f += [f"end={end}", f"end={end}&{kind}", f"end={end}&{kind}&size={size}", f"end={end}&{kind}&sentences={min(sentences, 3)}", f"fragment={min(fragment, 8)}&{kind}"]
+        if open_quote and not held:
+            f.append(f"open&{kind}")
+        if fence % 2:
+            f.append("open-fence")
+        if rw and kind == "text" and end not in ("stop", "closed-stop"):
+            f += [f"asked={' '.join(pw[:2])}&open-end&{min(size, 4)}", f"asked={' '.join(pw[:1])}&open-end&{min(size, 4)}", f"last={rw[-1]}&open-end"]
+        if not held and re.fullmatch(r"[-*•+]\s*", lines[-1].strip() + " "):
+            f.append("bare-bullet")
+        # copies
+        if rw and pw and not held:
+            a, b = Counter(rw), Counter(pw)
+            common = sum((a & b).values())
+            out, back = common / len(rw), common / len(pw)
+            rest = len(rw) - common
+            o, k = _bucket(out, (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1)), _bucket(back, (0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1))
+            f += [f"copied={o}", f"back={k}", f"copied={o}&back={k}", f"rest={min(rest, 8)}&back={k}"]
+            if len(pw) > 3 and min(out, back) >= 0.7 and len(rw) >= 3:
+                f.append("mostly-copy")
+            if len(pw) > 3 and back >= 0.7 and set(rw) <= set(pw):
+                f.append("only-copy")
+        # declining, by sentence; and n-grams of both sides
+        grams = [self.grams(p, 7, 2)]
+        parts = [(len(s), self.grams(s, 0, 3)) for s in _SENTENCE.findall(t)]
+        grams += [g for _, g in parts]
+        if rw and not held and declining is not None:
+            said = [(n, declining.of(g)) for n, g in parts if len(g)]
+            total = max(1, sum(n for n, _ in said))
+            score = sum(n * s for n, s in said) / total
+            share = sum(n for n, s in said if s > 0.5) / total
+            least, most = min(s for _, s in said), max(s for _, s in said)
+            steps = (-1.5, -0.75, -0.25, 0, 0.25, 0.5, 0.75, 1, 1.5, 2)
+            f += [f"declining={_bucket(share, (0.01, 0.3, 0.5, 0.7, 0.9, 1))}", f"declines={_bucket(score, steps)}", f"declines={_bucket(score, steps)}&size={size}", f"least={_bucket(least, steps)}", f"least={_bucket(least, steps)}&most={_bucket(most, (0, 0.5, 1, 1.5))}", f"most={_bucket(most, steps)}&sentences={min(len(said), 4)}"]
+        if sentences >= 3 or len(rw) > 24:
+            f.append("long-answer")
+        # language
+        if not held and bare:
+            mine, strength = self.shares(_CODE.sub(" ", t))
+            asked, _ = self.of(p)
+            low = p.lower()
+            wanted = {_NAMED[w] for w in pw if w in _NAMED} | {lang for name, lang in _CJK_NAMES if name in low}
+            total = sum(mine.values())
+            foreign = sum(n for lang, n in mine.items() if lang != asked and lang not in wanted)
+            if total and asked:
+                main = max(mine.items(), key=lambda x: (x[1], x[0]))[0]
+                s = _bucket(foreign / total, (0.01, 0.25, 0.5, 0.75, 1))
+                state = "same" if main == asked else "wanted" if main in wanted else "other"
+                sure = _bucket(strength[main], (2, 5))
+                f += [f"language={state}", f"foreign={s}", f"language={state}&foreign={s}&{sure}", f"language={state}&{sure}&size={size}"]
+            else:
+                f.append("language=unknown")
+        return f, grams
+
+    def __call__(self, pairs) -> Rows:
+        """The features of pairs (prompt, response, Declining). The n-grams of a side have length one together, so that a long text's
+        many words don't drown what the pair as such tells."""
+        flat, values, starts, at = [], [], [], 0
+        for p, r, declining in pairs:
+            names, grams = self.pair(p, r, declining)
+            own, asked, said = np.array([self._number(x) for x in names], np.int64), grams[0], np.concatenate(grams[1:]) if len(grams) > 1 else grams[0][:0]
+            starts.append(at)
+            at += len(own) + len(asked) + len(said)
+            flat += [own, asked, said]
+            values += [np.ones(len(own)), np.full(len(asked), 1 / max(1, len(asked)) ** 0.5), np.full(len(said), 1 / max(1, len(said)) ** 0.5)]
+        return Rows(np.concatenate(flat) if flat else np.zeros(0, np.int64), (np.concatenate(values) if values else np.zeros(0)).astype(np.float32), np.array(starts, np.int64))
+
+
+# the classifier ------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    """weights: one column a defect; slope, offset: Platt's; limits: least calibrated probability of each defect."""
+
+    weights: np.ndarray
+    slope: np.ndarray
+    offset: np.ndarray
+    limits: np.ndarray
+    declining: Declining | None = None
+    languages: Languages = field(default_factory=Languages)
+
+
+def _logits(weights: np.ndarray, rows: Rows) -> np.ndarray:
+    return np.add.reduceat(weights[rows.flat] * rows.values[:, None], rows.starts, axis=0) if len(rows.starts) else np.zeros((0, len(DEFECTS)))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _fit(rows: Rows, labels: np.ndarray, epochs: int = 12, batch: int = 512, rate: float = 0.3, shrink: float = 1e-6) -> np.ndarray:
+    """Logistic regressions, one per defect, by AdaGrad over batches of pairs. Features of a single pair are left out."""
+    n = np.bincount(rows.flat, minlength=DIMENSIONS)
+    use = np.nonzero(n > 1)[0]
+    place = np.full(DIMENSIONS, len(use), np.int64)
+    place[use] = np.arange(len(use))
+    w, g2 = np.zeros((len(use) + 1, labels.shape[1]), np.float32), np.full((len(use) + 1, labels.shape[1]), 1e-6, np.float32)
+    # the last row of w belongs to what is left out and stays 0
+    step = np.append(np.where(use < _PAIR_PART, rate, rate / 4), 0).astype(np.float32)[:, None]
+    parts = []
+    for k in range(0, len(labels), batch):
+        part = rows.part(k, min(k + batch, len(labels)))
+        touched, back = np.unique(place[part.flat], return_inverse=True)
+        row = np.repeat(np.arange(len(part.starts)), np.diff(np.append(part.starts, len(part.flat))))
+        parts.append((touched, back, part.values[:, None], part.starts, row, labels[k : k + batch]))
+    for _ in range(epochs):
+        for touched, back, values, starts, row, truth in parts:
+            mine = w[touched]
+            error = (_sigmoid(np.add.reduceat(mine[back] * values, starts, axis=0)) - truth) / len(truth)
+            each = error[row] * values
+            g = np.stack([np.bincount(back, each[:, c], len(touched)) for c in range(truth.shape[1])], 1) + shrink * mine
+            g2[touched] += g * g
+            w[touched] = mine - step[touched] * g / np.sqrt(g2[touched])
+    weights = np.zeros((DIMENSIONS, labels.shape[1]), np.float32)
+    weights[use] = w[:-1]
+    return weights
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, pairs) -> tuple[np.ndarray, np.ndarray]:
-        """(flat feature numbers, where each pair's begin)."""
-        flat, starts = [], []
-        for p, r in pairs:
-            starts.append(len(flat))
-            for name in pair_features(p, r):
-                if (k := self.known.get(name)) is None:
-                    if len(self.known) > 400_000:
-                        self.known.clear()
-                    k = self.known[name] = _number(name)
-                flat.append(k)
-        return np.array(flat, np.int64), np.array(starts, np.int64)
-
-
-def _scores(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[flat], starts, axis=0), -30, 30))) if len(starts) else np.zeros((0, len(DEFECTS)))
-
-
-def _fit(flat: np.ndarray, starts: np.ndarray, labels: np.ndarray, rounds: int = 70, rate: float = 0.6, shrink: float = 2e-5) -> np.ndarray:
-    """Logistic regressions, one per defect, by AdaGrad over all pairs."""
-    weights = np.zeros((DIMENSIONS, labels.shape[1]))
-    use, place = np.unique(flat, return_inverse=True)
-    rate = np.where(use < _PAIR_PART, rate, rate / 4)[:, None]
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    w, g2 = weights[use], np.full((len(use), labels.shape[1]), 1e-8)
+
+def _platt(z: np.ndarray, truth: np.ndarray, rounds: int = 30) -> tuple[float, float]:
+    """(slope, offset) of the probability sigmoid(slope z + offset), by Newton's method with Platt's softened targets."""
+    hit, miss = truth.sum(), len(truth) - truth.sum()
+    if not hit or not miss:
+        return 1.0, 0.0
+    target = np.where(truth, (hit + 1) / (hit + 2), 1 / (miss + 2))
+    x = np.stack([z, np.ones(len(z))], 1)
+    a = np.array([1.0, 0.0])
     for _ in range(rounds):
-        z = np.add.reduceat(w[place], starts, axis=0)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(starts)
-        g = np.stack([np.bincount(place, error[row, k], len(use)) for k in range(labels.shape[1])], 1) + shrink * w / len(use)
-        g2 += g * g
-        w -= rate * g / np.sqrt(g2)
-    weights[use] = w
-    return weights
+        p = _sigmoid(x @ a)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        change = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (a - [1.0, 0.0]))
+        a = a - np.clip(change, -2, 2)
+        if np.abs(change).max() < 1e-6:
+            break
+    return (float(a[0]), float(a[1])) if a[0] > 0 else (1.0, 0.0)
+
+
+# made pairs ----------------------------------------------------------------------------------------------------------
 
 
 def _cut_off(text: str, rng: random.Random) -> str | None:
@@ -279,12 +518,22 @@ def _cut_off(text: str, rng: random.Random) -> str | None:
     return made
 
 
+def _lead(prompt: str, rng: random.Random) -> str:
+    """Something a copy or an answer may begin with: nothing, a mark, or a few words and a colon."""
+    x = rng.random()
+    if x < 0.4:
+        return ""
+    if x < 0.7:
+        return rng.choice(LEADS)
+    return " ".join(rng.choice(prompt.split() or ["x"]) for _ in range(rng.randrange(1, 5))).capitalize().strip("?.!") + rng.choice([": ", ": ", " - ", " "])
+
+
 def _copied(prompt: str, rng: random.Random) -> str | None:
     t = prompt.strip()
     ws = t.split()
     if len(ws) < 3:
         return None
-    way = rng.randrange(7)
+    way = rng.randrange(8)
     if way == 1:
         t = t.lower()
     elif way == 2:
@@ -300,133 +549,177 @@ def _copied(prompt: str, rng: random.Random) -> str | None:
         t = f"{t} {t}"
     elif way == 6:
         t = t.lower().strip("?¿.! ")
+    elif way == 7:
+        t = t.upper()
     a, b = rng.choice(WRAPS)
-    return rng.choice(LEADS) + a + t + b
-
-
-def _refused(prompt: str, rng: random.Random) -> str:
-    lang = language_of(prompt)[0]
-    begin, say, close = REFUSALS[lang if lang in REFUSALS and rng.random() < 0.9 else rng.choice(list(REFUSALS))]
-    names = [w.strip("?.,!¿") for w in prompt.split()[1:] if w[:1].isupper()]
-    b, s, c = rng.choice(begin), rng.choice(say).replace("{x}", " ".join(names[:2]) or "that"), rng.choice(close).replace("{x}", rng.choice(prompt.split() or [""]))
-    if not b or b.endswith("."):
-        s = s[:1].upper() + s[1:]
+    return _lead(prompt, rng) + a + t + b
+
+
+def _expand(rules: dict[str, str], text: str, x: str, rng: random.Random) -> str:
+    while m := re.search(r"\{(\w+)\}", text):
+        made = x if m[1] == "x" else rng.choice(rules[m[1]].split("|"))
+        text = text[: m.start()] + made + text[m.end() :]
+    return text
+
+
+def declined(prompt: str, lang: str, rng: random.Random, half: int | None = None) -> str:
+    """A refusal made by the grammar of a language; of its sayings only one half if `half` is 0 or 1."""
+    if lang not in DECLINING or rng.random() < 0.1:
+        lang = rng.choice(list(DECLINING))
+    rules = DECLINING[lang]
+    names = [w.strip("?.,!¿:") for w in prompt.split()[1:] if w[:1].isupper()] or [w for w in prompt.split() if len(w) > 4] or ["…"]
+    x = " ".join(names[: rng.randrange(1, 3)])
+    sayings = rules["say"].split("|")
+    say = _expand(rules, rng.choice(sayings if half is None else sayings[half::2]), x, rng)
+    lead, tail, close = (rng.choice(rules[k].split("|")) for k in ("lead", "tail", "close"))
+    if not lead or lead.endswith("."):
+        say = say[:1].upper() + say[1:]
     if rng.random() < 0.3:
-        s = s.replace("'", "’")
-    if rng.random() < 0.15:
-        s += rng.choice({"en": [" at this time", " because the sources are not available to me", " right now"], "de": [" zurzeit"], "fr": [" pour le moment"], "es": [" por el momento"]}.get(lang, [""]))
-    return f"{rng.choice(LEADS) if rng.random() < 0.2 else ''}{b} {s}{'。' if lang == 'ja' else '.'} {c}".strip()
+        say = say.replace("'", "’")
+    stop = "。" if lang == "ja" else rng.choice([".", ".", ".", "!", ""]) if not close else "."
+    return f"{_lead(prompt, rng) if rng.random() < 0.15 else ''}{lead} {say}{' ' * bool(tail)}{tail}{stop} {close}".strip()
 
 
-def made_pairs(sound: list[tuple[str, str]], rng: random.Random, responses: list[str]) -> list[tuple[str | None, str | None, int]]:
-    """(prompt, response, number of the defect, or -1) from sound pairs, some of them kept with harmless changes; responses
-    in other languages are taken from `responses`."""
+def made_pairs(sound: list[tuple[str, str]], rng: random.Random, responses: list[str], features: Features) -> list[tuple[str | None, str | None, int, int]]:
+    """(prompt, response, number of the defect or -1, half of the grammar it uses) from sound pairs, some of them kept with
+    harmless changes; responses in other languages are taken from `responses`."""
     by_language: dict[str, list[str]] = {}
     for r in responses:
-        ws = words(r)
-        if "ja" not in _languages(r) and (len(ws) < 6 or sum(w in _REFUSAL_WORDS for w in ws) > 0.7 * len(ws)):
-            continue
-        if len(shares := _languages(r)) == 1:
-            by_language.setdefault(next(iter(shares)), []).append(r)
-    languages = [x for x in by_language if x]
+        if len((shares := features.shares(r))[0]) == 1 and max(shares[1].values()) >= 3 and (len(words(r)) >= 5 or script_of(r)):
+            by_language.setdefault(next(iter(shares[0])), []).append(r)
     out: list = []
+
+    def add(p, r, k):
+        out.append((p, r, k, rng.randrange(2)))
+
     for p, r in sound:
-        out.append((p, r, -1))
+        add(p, r, -1)
+        mine = features.of(p)[0]
         if (t := _cut_off(r, rng)) is not None:
-            out.append((p, t, 1))
+            add(p, t, 1)
         if rng.random() < 0.5 and (t := _cut_off(r, rng)) is not None:
-            out.append((p, t, 1))
-        if "```" in r and r.count("```") == 2:
+            add(p, t, 1)
+        if r.count("```") == 2:
             body = r[: r.rfind("```")].rstrip()
-            out.append((p, body[: max(body.find("```") + 4, len(body) - rng.randrange(1, 20))], 1))
-        if rng.random() < 0.6:
-            out.append((p, _refused(p, rng), 2))
+            add(p, body[: max(body.find("```") + 4, len(body) - rng.randrange(1, 20))], 1)
+        if rng.random() < 0.7:
+            half = rng.randrange(2)
+            out.append((p, declined(p, mine, rng, half), 2, half))
         if rng.random() < 0.6 and (t := _copied(p, rng)) is not None:
-            out.append((p, t, 3))
+            add(p, t, 3)
         if rng.random() < 0.3:
             blank = rng.choice([None, "", " ", "\n", "​", ".", "…", "?", "-", "--", "—", "***", *PLACEHOLDERS])
-            out.append((p, blank if blank is None or rng.random() < 0.5 else rng.choice([blank.upper(), blank.capitalize(), f" {blank}\n", blank + "."]), 0))
-        mine = language_of(p)[0]
-        others = [x for x in languages if x != mine and not any(_NAMED.get(w) == x for w in words(p))]
-        for _ in range(1 if mine and others else 0):
+            add(p, blank if blank is None or rng.random() < 0.5 else rng.choice([blank.upper(), blank.capitalize(), f" {blank}\n", blank + "."]), 0)
+        named = {_NAMED[w] for w in words(p) if w in _NAMED}
+        others = [x for x in by_language if x != mine and x not in named]
+        if mine and others:
             other = rng.choice(by_language[rng.choice(others)])
-            foreign = other if rng.random() < 0.7 or ". " not in r else r[: r.find(". ") + 2] + " ".join(rng.choice(by_language[rng.choice(others)]) for _ in range(1))
-            if len(foreign) > len(r[: r.find(". ") + 2]) * 2 or foreign is other:
-                out.append((p, foreign, 4))
+            first = r[: r.find(". ") + 2] if ". " in r else ""
+            if rng.random() < 0.7 or not first:
+                add(p, other, 4)
+            elif len(other) > 2 * len(first):
+                add(p, first + other, 4)
         # sound, though it looks like a defect
         x = rng.random()
-        if x < 0.18:
+        if x < 0.15:
             a, b = rng.choice(WRAPS)
-            out.append((p, f"{rng.choice(LEADS)}{a}{p.strip()}{b} {r}", -1))
-        elif x < 0.25:
-            out.append((p, rng.choice([y for y in LEADS if y]) + r, -1))
-        elif x < 0.3:
-            out.append((p, f"{_refused(p, rng)} {r}", -1))
-        elif x < 0.35:
-            out.append((p, rng.choice(["I am not fully certain, but ", "I may be wrong, but ", "As far as I know, ", "Sorry for the delay. ", "Unfortunately "]) + r, -1))
-        elif mine and others and x < 0.42:
+            add(p, f"{_lead(p, rng)}{a}{p.strip()}{b} {r}", -1)
+        elif x < 0.22:
+            add(p, _lead(p, rng) + r, -1)
+        elif x < 0.32:
+            half = rng.randrange(2)
+            no = declined(p, mine, rng, half)
+            out.append((p, f"{no} {r}" if rng.random() < 0.7 else f"{r} {no}", -1, half))
+        elif mine and others and x < 0.4:
             target = rng.choice(others)
             if target in LANGUAGE_NAMES:
-                name = LANGUAGE_NAMES[target][0].capitalize()
-                out.append((rng.choice([f"Translate into {name}: {r}", f"Say this in {name}: {r}", f"{name}, please: {r}", f"{p} Answer in {name}.", f"Give the {name} version of this sentence. {r}"]), rng.choice(by_language[target]), -1))
-        elif x < 0.46:
-            out.append((p, f"{r.strip()}\n```\nlet x = {rng.randrange(200)};\nlet y = {rng.randrange(200)};\n```", -1))
+                name = rng.choice(LANGUAGE_NAMES[target])
+                add(rng.choice([f"{name}: {p}", f"{p} ({name})", f"{name} – {r}", f"{p} {name}?"]), rng.choice(by_language[target]), -1)
+        elif x < 0.44:
+            add(p, f"{r.strip()}\n```\n{rng.choice('abxyz')} = {rng.randrange(200)}\n{rng.choice('abxyz')} = {rng.randrange(200)}\n```", -1)
         elif x < 0.54:
             names = [w.strip("?.,!¿") for w in p.split()[1:] if w[:1].isupper()]
-            short = rng.choice([" ".join(names[:2]), " ".join(rng.choice(sound)[1].split()[:1]), str(rng.randrange(1, 2030)), "yes", "No.", "Yes.", "no", f"About {rng.randrange(300)}", f"x_k={rng.randrange(99)}", "oui", "ja", "sí", "nein", "non"])
-            q = rng.choice(["Which setting limits this?", "Name the keeper of {x}.", "How many of them does it hold?", "Is the one older than the other?", "Did {x} found it?", "In which year did {x} move?", p]).replace("{x}", " ".join(names[:2]))
-            out += [(q, short, -1)] * bool(short)
-        elif x < 0.58:
-            out.append((p, "\n".join(f"{rng.choice('-*')} {' '.join(r.split()[k : k + 2]).strip('.,')}" for k in range(0, 2 * rng.randrange(2, 5), 2)), -1))
+            short = rng.choice([" ".join(names[:2]), " ".join(rng.choice(sound)[1].split()[: rng.randrange(1, 3)]).strip(",;:-"), str(rng.randrange(1, 2030)), rng.choice(YES_NO), rng.choice(YES_NO), f"{rng.choice(words(r) or ['x'])} {rng.randrange(300)}", f"{rng.choice('abk')}={rng.randrange(99)}"])
+            if short:
+                add(p, short, -1)
+        elif x < 0.6:
+            add(p, "\n".join(f"{rng.choice('-*')} {' '.join(r.split()[k : k + 2]).strip('.,')}" for k in range(0, 2 * rng.randrange(2, 5), 2)), -1)
     return out
 
 
 #: Features that make a row unfit as an example of a sound pair before there is a classifier.
-_DOUBTFUL = {"only-copy", "mostly-copy", "placeholder", "nothing", "open-fence", "refusing=2", "refusing=3", "language=other", *(f"end={e}&text&size={n}" for e in ("letter", "hanging", "closed", "digit") for n in range(4, 9))}
+_DOUBTFUL = {"only-copy", "mostly-copy", "placeholder", "nothing", "open-fence", "language=other", *(f"end={e}&text&size={n}" for e in ("letter", "hanging", "closed", "digit") for n in range(4, 9))}
 
 
-def train(rows: list[tuple[str | None, str | None]], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from sampled rows. Without usable rows nothing is ever flagged but what has no letters."""
-    features = Features()
+def train(rows: list[tuple[str | None, str | None]], seed: int = 5, first_rows: int = 1200) -> Model:
+    """The model of sampled rows. Without usable rows nothing is ever flagged but what has no letters. The first round, which only
+    finds the sample's own refusals and doubtful rows, uses at most first_rows sound rows."""
     rng = random.Random(seed)
-    sound = [(p, r) for p, r in rows if p and r and _DOUBTFUL.isdisjoint(pair_features(p, r))]
-    weights, limits = np.zeros((DIMENSIONS, len(DEFECTS))), np.full(len(DEFECTS), 0.5)
-    weights[_number("bias")] -= 5.0
-    weights[_number("nothing"), 0] += 10.0
+    languages = Languages.fit([x for row in rows for x in row if x])
+    features = Features(languages)
+    n = len(DEFECTS)
+    weights = np.zeros((DIMENSIONS, n), np.float32)
+    weights[features._number("bias")] -= 5.0
+    weights[features._number("nothing"), 0] += 10.0
+    model = Model(weights, np.ones(n), np.zeros(n), np.full(n, 0.5), None, languages)
+    whole = [(p, r) for p, r in rows if p and r]
+    sound = [(p, r) for p, r in whole if _DOUBTFUL.isdisjoint(features.pair(p, r, None)[0])]
     if len(sound) < 20:
-        return weights, limits
-    for _ in range(2):
-        made = made_pairs(sound, rng, [r for _, r in rows if r])
+        return model
+    ids = lambda t: [g for x in _SENTENCE.findall(t) if len(g := features.grams(x, 0, 3))]
+    plain = [ids(r) for _, r in whole]
+    spoken = Counter()
+    for (_, r), parts in zip(whole, plain):
+        spoken[languages.of(r)[0]] += len(parts)
+    # as many sentences of each language decline as the sample has of it
+    grammar: list[list] = [[], []]
+    for lang in DECLINING:
+        made = [[g for _ in range(400) for g in ids(declined(rng.choice(sound)[0], lang, rng, half))] for half in (0, 1)]
+        for half in (0, 1):
+            grammar[half] += [(max(20, spoken[lang]) / len(made[half]), g) for g in made[half]]
+    # a half's refusals are judged by what the other half teaches, as wordings nobody listed will be
+    halves = [Declining.fit(grammar[1 - h], plain)[0] for h in (0, 1)]
+    model.declining, declines = Declining.fit(grammar[0] + grammar[1], plain)
+    doubted = {x for x, d in zip(whole, declines) if d}
+    sound = [x for x in sound if x not in doubted] or sound
+    taken, refused_pairs = sound[:first_rows], []
+    for last in (False, True):
+        made = made_pairs(taken, rng, [r for _, r in whole], features)
+        made += [(p, r, 2, rng.randrange(2)) for p, r in refused_pairs]
         rng.shuffle(made)
-        flat, starts = features((p, r) for p, r, _ in made)
-        labels = np.zeros((len(made), len(DEFECTS)))
-        for i, (_, _, k) in enumerate(made):
+        made_rows = features((p, r, halves[h]) for p, r, _, h in made)
+        labels = np.zeros((len(made), n), np.float32)
+        for i, (_, _, k, _) in enumerate(made):
             if k >= 0:
                 labels[i, k] = 1
         split = len(made) * 4 // 5
-        weights = _fit(flat[: starts[split]], starts[:split], labels[:split])
-        held = _scores(weights, flat[starts[split] :], starts[split:] - starts[split])
-        for k in range(len(DEFECTS)):
-            tried = np.linspace(0.2, 0.8, 25)
+        model.weights = _fit(made_rows.part(0, split), labels[:split])
+        z = _logits(model.weights, made_rows.part(split, len(made)))
+        for k in range(n):
             truth = labels[split:, k] > 0
-            f1 = [2 * (hit := ((held[:, k] >= x) & truth).sum()) / max(1, hit + (held[:, k] >= x).sum() + truth.sum() - hit) for x in tried]
+            model.slope[k], model.offset[k] = _platt(z[:, k], truth)
+            p = _sigmoid(model.slope[k] * z[:, k] + model.offset[k])
+            tried = np.linspace(0.2, 0.8, 25)
+            f1 = [2 * (hit := ((p >= x) & truth).sum()) / max(1, hit + (p >= x).sum() + truth.sum() - hit) for x in tried]
             best = np.nonzero(np.array(f1) >= max(f1) - 1e-12)[0]
-            limits[k] = tried[best[len(best) // 2]]
-        flat, starts = features(sound)
-        sound = [x for x, s in zip(sound, _scores(weights, flat, starts)) if (s < limits).all()] or sound
-    return weights, limits
-
-
-def defects(rows: list, model: tuple[np.ndarray, np.ndarray], features: Features) -> list[tuple[str | None, float]]:
-    """(defect or None, its probability) for pairs; of several defects the one farthest above its threshold."""
-    weights, limits = model
-    flat, starts = features(rows)
-    out = []
-    for s in _scores(weights, flat, starts):
-        over = (s - limits) / (1 - limits)
-        k = int(over.argmax())
-        out.append((DEFECTS[k], float(s[k])) if over[k] >= 0 else (None, float(s.max())))
-    return out
+            model.limits[k] = tried[best[len(best) // 2]]
+        if not last:
+            found = defects(whole, model, features)
+            refused_pairs = [x for x, (d, _) in zip(whole, found) if d == "refusal"]
+            # of the doubted rows those that turn out sound without doubt are examples again
+            fine = [x for x, (d, p) in zip(whole, found) if not d and (x not in doubted or p < 0.1)]
+            kept = set(sound) | doubted
+            taken = [x for x in fine if x in kept] or sound
+    return model
+
+
+def defects(rows: list, model: Model, features: Features | None = None) -> list[tuple[str | None, float]]:
+    """(defect or None, its calibrated probability) for pairs; of several defects the one farthest above its threshold."""
+    features = features or Features(model.languages)
+    probability = _sigmoid(model.slope * _logits(model.weights, features((p, r, model.declining) for p, r in rows)) + model.offset)
+    over = (probability - model.limits) / (1 - model.limits)
+    best = over.argmax(1) if len(rows) else []
+    return [(DEFECTS[k], float(s[k])) if o[k] >= 0 else (None, float(s.max())) for k, o, s in zip(best, over, probability)]
 
 
 def defective_pairs(df: DataFrame, key: str = "example_id", prompt: str = "input", response: str = "output", sample_rows: int = 3_000) -> DataFrame:
@@ -435,14 +728,14 @@ def defective_pairs(df: DataFrame, key: str = "example_id", prompt: str = "input
     null keys are dropped, repeated keys count once; an empty table gives no rows."""
     rows = one_per_key(df.select(F.col(key).alias("key"), F.col(prompt).alias("prompt"), F.col(response).alias("response")), "key")
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(sample_rows).collect()  # bounded by sample_rows
-    weights, limits = train([(r["prompt"], r["response"]) for r in sample])
-    model = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), limits))
+    sent = df.sparkSession.sparkContext.broadcast(train([(r["prompt"], r["response"]) for r in sample]))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
-        features = Features()
+        model = sent.value
+        features = Features(model.languages)
         for b in batches:
-            found = defects(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())), model.value, features)
+            found = defects(list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())), model, features)
             hit = [i for i, (d, _) in enumerate(found) if d]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array([found[i][0] for i in hit], pa.string()), pa.array([found[i][1] for i in hit], pa.float64())], ["key", "defect", "probability"])
 

@@ -100,7 +100,7 @@ def test_similar_classes_join_chains(spark):
 # defective pairs -----------------------------------------------------------------------------------------------------
 
 
-def test_defects_on_held_out_pairs():
+def _sound_pairs():
     rng = random.Random(2)
     words_ = ["river", "cache", "index", "solver", "graph", "vector", "budget", "query", "token", "filter"]
     fr = ["rivière", "moteur", "graphe", "requête", "réponse"]
@@ -111,9 +111,14 @@ def test_defects_on_held_out_pairs():
         if i % 6 == 0:
             x, y = rng.choice(fr), rng.choice(fr)
             sound.append((f"Que fait la {x} quand les {y}s manquent ?", f"La {x} garde alors les {y}s et les {x}s. Elle est dans le {y} depuis {1900 + i}."))
+    return sound
+
+
+def test_defects_on_held_out_pairs():
+    sound = _sound_pairs()
     model = pairs.train(sound[:500])
-    made = pairs.made_pairs(sound[500:], random.Random(9), [r for _, r in sound])
-    found = pairs.defects([(p, r) for p, r, _ in made], model, pairs.Features())
+    made = pairs.made_pairs(sound[500:], random.Random(9), [r for _, r in sound], pairs.Features(model.languages))
+    found = pairs.defects([(p, r) for p, r, _, _ in made], model)
     for k, name in enumerate(pairs.DEFECTS):
         true = [m[2] == k for m in made]
         said = [d == name for d, _ in found]
@@ -121,6 +126,37 @@ def test_defects_on_held_out_pairs():
         assert hit >= 0.8 * sum(true) and hit >= 0.8 * sum(said), (name, hit, sum(true), sum(said))
 
 
+#: Ways to decline whose wording the grammar doesn't have; some are among the trained rows unmarked, some are not.
+UNLISTED = ["My instructions forbid a reply to such things. Kindly write to the office.", "Sorry, but giving a reply to this goes beyond what I am here for.", "I'm afraid this lies outside of my remit.", "Unfortunately I was not told about that.", "Regrettably, I am not the right one to ask about it.", "I'm unable to share that. Kindly write to the office."]
+NOTES = ["The filter cannot answer queries that hold no token. It returns an empty list.", "Unfortunately the cache was lost, and the index counts 31 tokens since.", "The solver is unable to read the graph before the vector was rebuilt."]
+
+
+def test_refusals_in_wordings_that_no_list_holds():
+    sound = _sound_pairs()
+    rows_ = sound[:500] + [(sound[i][0], UNLISTED[i % 3]) for i in range(15)] + [(sound[i][0], pairs.declined(sound[i][0], "en", random.Random(i)) + " Kindly write to the office.") for i in range(10)]
+    model = pairs.train(rows_)
+    found = [d for d, _ in pairs.defects([(sound[550 + i][0], r) for i, r in enumerate(UNLISTED + NOTES)], model)]
+    assert sum(d == "refusal" for d in found[: len(UNLISTED)]) >= 4 and "refusal" not in found[len(UNLISTED) :], found
+
+
+def test_what_comes_late_in_a_long_response_counts():
+    f = pairs.Features()
+    long = " ".join(f"w{i}" for i in range(300))
+    a, b = (f([("q?", t, None)]) for t in (f"{long} one.", f"{long} two."))
+    assert set(a.flat) != set(b.flat)
+    assert set(f([(f"{long} one", "x", None)]).flat) != set(f([(f"{long} two", "x", None)]).flat)
+
+
+def test_calibrated_probabilities_are_near_the_shares():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 2, 20000)
+    truth = rng.random(20000) < 1 / (1 + np.exp(-(0.5 * z - 1)))
+    slope, offset = pairs._platt(z, truth)
+    assert slope == pytest.approx(0.5, abs=0.05) and offset == pytest.approx(-1, abs=0.1)
+
+
 def test_defective_pairs_on_odd_rows(spark):
     df = spark.createDataFrame([(1, "Q?", None), (1, "Q?", None), (2, "Q?", "  "), (3, None, "N/A"), (None, "x", ""), (4, None, None)], "example_id long, input string, output string")
     assert rows(pairs.defective_pairs(df), "example_id", "defect")[:2] == [(1, "empty"), (2, "empty")]
