@@ -1,18 +1,18 @@
-"""Shared pieces: word splitting, 64-bit mixing, and cutting lineage in the cluster's shared folder."""
+"""Shared pieces: word splitting, 64-bit mixing, one row per key."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import cut  # noqa: F401 (used by the other modules)
+
+#: Repeated keys whose hashes may be broadcast.
+REPEATED = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 #: The same classes for Java and DuckDB regular expressions.
 WORD_CLASS = r"[\p{L}\p{N}]"
@@ -69,32 +69,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_own: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local runs) one of our own, removed at exit."""
-    global _own
-    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        return folder
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _own, ignore_errors=True)
-    return f"file://{_own}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per key (repeated deliveries hold the same values). Partial aggregation on the map side leaves a key that
-    holds a third of all rows with one row per map task. Rows with a null key are no records and are dropped."""
-    return df.filter(df[key].isNotNull()).dropDuplicates([key])
+    """One row per key (repeated deliveries hold the same values). Rows with a null key are no records and are dropped.
+
+    Only keys are shuffled, to see which repeat: rows of other keys stay where they are, and rows of repeated keys are reduced
+    to one, on the map side first, so a key that holds a third of all rows has one row per map task left. Where more keys repeat than
+    may be broadcast, all rows are."""
+    rows = df.filter(df[key].isNotNull())
+    repeated = cut(rows.select(F.xxhash64(key).alias("_h")).groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1").select("_h"))
+    n = repeated.limit(REPEATED + 1).count()
+    if n > REPEATED:
+        return rows.dropDuplicates([key])
+    if not n:
+        return rows
+    known = F.broadcast(repeated)  # at most REPEATED numbers
+    marked = rows.withColumn("_h", F.xxhash64(key))
+    alone = marked.join(known, "_h", "left_anti").drop("_h")
+    return alone.unionByName(marked.join(known, "_h", "left_semi").drop("_h").dropDuplicates([key]))

@@ -31,15 +31,14 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 def store_records(spark: SparkSession, d: str) -> DataFrame:
     """One row (id, least, text) per record, least being the prf_min_frequency of its collection."""
     configs = table(spark, d, "expansion_configs").filter("collection is not null").groupBy("collection").agg(F.max_by("prf_min_frequency", "config_id").alias("least"))
-    default = configs.select(F.col("collection").alias("fallback"), F.col("least").alias("default_least"))
+    default = configs.filter("collection = 'default'").first()  # one row of a table of fixed size
     docs = one_per_key(table(spark, d, "store_docs").select("id", F.element_at("metadata", "collection").alias("collection"), "content"), "id")
-    # expansion_configs is a table of fixed size, one row per collection here
-    known = docs.withColumn("fallback", F.lit("default")).join(F.broadcast(configs), "collection", "left").join(F.broadcast(default), "fallback", "left")
-    return known.select("id", F.coalesce("least", "default_least").alias("least"), F.col("content").alias("text"))
+    known = docs.join(F.broadcast(configs), "collection", "left")
+    return known.select("id", F.coalesce("least", F.lit(default["least"] if default else None).cast("int")).alias("least"), F.col("content").alias("text"))
 
 
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    return term_divergence(store_records(spark, d))
+    return term_divergence(store_records(spark, d)).withColumn("score", F.round("score", 9))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +46,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return marked_vocabulary(table(spark, d, "store_docs")).drop("term_id")
+    return marked_vocabulary(table(spark, d, "store_docs"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

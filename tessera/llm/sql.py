@@ -22,11 +22,14 @@ _WINDOWS = "select {key}, unnest(list_transform(range(1, len(ws) - 8), lambda i:
 SQL = {
     "p1_found": f"{_P1} select query_pattern from p, t group by query_pattern, total having count(*) >= 0.002 * total",
     "p2_found": f"{_P2} select id, term from tf join r using (id) join stats using (term) where tf >= least and records between 2 and 15",
+    "p2_scores": f"""{_P2}, n as (select sum(tf)::double as total from tf), l as (select id, count(*) as length from uses group by id),
+s as (select id, term, tf, records, occurrences / total as q, length from tf join r using (id) join l using (id) join stats using (term), n where tf >= least and records between 2 and 15),
+p as (select *, (tf + 2000.0::double * q) / (length + 2000.0::double) as p from s) select id, term, tf, records, round(p * ln(p / q), 9) as score from p""",
     "p3_found": f"""with {_RECORDS}, uses as (select id, unnest({_TERMS.format("content")}) as term from records), n as (select count(distinct id) as n from records),
 stats as (select term, count(distinct id) as records from uses group by term)
 select term, case when records >= 0.5 * n then 'common' else 'rare' end as mark from stats, n where records = 1 or records >= 0.5 * n""",
     "p3_vocabulary": f"""with {_RECORDS}, uses as (select id, unnest({_TERMS.format("content")}) as term from records), n as (select count(distinct id) as n from records)
-select term, count(*) as occurrences, count(distinct id) as records, case when count(distinct id) >= 0.5 * n then 'common' when count(distinct id) <= 1 then 'rare' end as mark, n as records_total
+select term, row_number() over (order by term) - 1 as term_id, count(*) as occurrences, count(distinct id) as records, case when count(distinct id) >= 0.5 * n then 'common' when count(distinct id) <= 1 then 'rare' end as mark, n as records_total
 from uses, n group by term, n""",
     "p4_found": f"""with {_RECORDS}, t as (select id, {_TERMS.format("content")} as ts from records),
 s as (select id, list_distinct(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) as s from t where len(ts) >= 20),
