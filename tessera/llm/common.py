@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,6 +71,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bits of a `bitmap`: 8 MB, whatever the input.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(numbers: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP_BITS places for the numbers of a one-column frame of longs: what isn't in it needn't be shuffled. Tasks send
+    compressed blocks, which are merged where they meet; at most BITMAP_BITS / 8 bytes reach the driver."""
+    schema = "block int, bits binary"
+
+    def coded(parts):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for _, x in parts], pa.binary())], ["block", "bits"])
+
+    def build(batches):
+        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        yield coded([(k, x) for k, x in enumerate(bits.reshape(64, -1)) if x.any()])
+
+    def merge(batches):
+        total: dict = {}
+        for b in batches:
+            for k, x in zip(*(x.to_pylist() for x in b.columns)):
+                y = np.frombuffer(zlib.decompress(x), np.uint8)
+                total[k] = total[k] | y if k in total else y
+        yield coded(list(total.items()))
+
+    bits = np.zeros((64, BITMAP_BITS // 8 // 64), np.uint8)
+    for r in numbers.mapInArrow(build, schema).repartition("block").mapInArrow(merge, schema).collect():
+        bits[r["block"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return bits.ravel()
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each number (64 bits) may be among those of the bitmap."""
+    at = numbers.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -92,14 +92,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the items they hold: how many ten-word windows match, and where the first one is."""
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """Documents with the items they hold word for word: how many ten-word windows are equal, and where the first one is."""
+    found = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.filter("distance = 0").select("doc_id", "item_id", F.col("exact_windows").alias("windows"), F.col("exact_first").alias("first_word"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).select("doc_id", "item_id")
 
 
+def p8_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold about a whole item, with at most two words changed, added or left out."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=None, edits=2, recall=0.95).select("doc_id", "item_id", "distance")
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     """Each text's class: equal classes look the same."""
     return look_alike_classes(table(spark, d, "documents")).select("doc_id", F.col("form.f1").alias("form_high"), F.col("form.f2").alias("form_low"))
@@ -109,4 +115,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p8_edited, p9_found, p9_forms)}

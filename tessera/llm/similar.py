@@ -14,13 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Splitter, cut, mix
+from .common import Splitter, bitmap, cut, in_bitmap, mix
 
 SLOTS, SLOT_BLOCK = 1 << 23, 1 << 17
 BLOCK = 64
 #: A list longer than this is met in pieces, pair by pair of pieces.
 HOT = 20_000
-FILTER_BITS = 1 << 26
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _LOW40 = np.uint64((1 << 40) - 1)
 
@@ -254,41 +253,15 @@ def candidate_links(lists: DataFrame, threshold: float, extra: int) -> DataFrame
     return pairs.groupBy("fp_a", "fp_b").agg(F.sum("shared").alias("shared")).filter(F.col("shared") > extra)
 
 
-def _filter_of(fps: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (8 MB) of the fingerprints: those not in it needn't be shuffled."""
-
-    def build(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        parts = bits.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["block", "bits"])
-
-    def merge(batches):
-        total: dict = {}
-        for b in batches:
-            for k, x in zip(*(x.to_pylist() for x in b.columns)):
-                y = np.frombuffer(zlib.decompress(x), np.uint8)
-                total[k] = total[k] | y if k in total else y
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "bits"])
-
-    bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
-    for r in fps.mapInArrow(build, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():  # at most FILTER_BITS / 8 bytes
-        bits[r["block"]] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return bits.ravel()
-
-
 def _sets_of(sets: DataFrame, fps: DataFrame) -> DataFrame:
     """fp, n, shingles of the given fingerprints, once each."""
-    bits = sets.sparkSession.sparkContext.broadcast(_filter_of(fps))
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap(fps))
 
     def run(batches):
         table, seen = bits.value, set()
         for b in batches:
             x = b.column(0).to_numpy()
-            at = x.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            some = np.nonzero((table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)[0]
+            some = np.nonzero(in_bitmap(table, x))[0]
             new = []
             for i in some.tolist():
                 if (y := int(x[i])) not in seen:

@@ -17,7 +17,8 @@ stats as (select term, count(*) as records, sum(tf) as occurrences from tf group
 """
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_WINDOWS = "select {key}, unnest(list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i : i + 9], ' '))) as passage from (select {key}, {words} as ws from {table} where {key} is not null and text is not null)"
+_WINDOWS = "select distinct {key}, i - 1 as place, array_to_string(ws[i : i + 9], ' ') as passage from (select {key}, {words} as ws from {table} where {key} is not null and text is not null), unnest(range(1, len(ws) - 8)) r(i)"
+_P8 = f"select doc_id, item_id, d.place from ({_WINDOWS.format(key='doc_id', words=_WORDS, table='documents')}) d join ({_WINDOWS.format(key='item_id', words=_WORDS, table='eval_items')}) i using (passage)"
 
 SQL = {
     "p1_found": f"{_P1} select query_pattern from p, t group by query_pattern, total having count(*) >= 0.002 * total",
@@ -38,6 +39,7 @@ o as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, count(*) as o f
 select id_a, id_b from o where o >= 0.6 * (n_a + n_b - o) - 1e-9""",
     "p6_found": rf"""with long as (select distinct id, content from store_docs where id is not null and length(content) > 2000)
 select distinct id, case when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from long""",
-    "p8_found": f"select distinct doc_id, item_id from ({_WINDOWS.format(key='doc_id', words=_WORDS, table='documents')}) join ({_WINDOWS.format(key='item_id', words=_WORDS, table='eval_items')}) using (passage)",
+    "p8_found": f"select distinct doc_id, item_id from ({_P8})",
+    "p8_report": f"select doc_id, item_id, count(distinct place) as windows, min(place) as first_word from ({_P8}) group by 1, 2",
     "p7_found": "select doc_id from documents where doc_id is not null and strlen(text) + 1 > 4096",
 }
