@@ -80,6 +80,11 @@ def _estimates(sketch: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray
     return np.median(each, axis=0)
 
 
+def noise(sketch: np.ndarray) -> float:
+    """The spread of the cells that hold no heavy value, on the worst level: by the median, which the few heavy cells don't move."""
+    return float((np.median(np.abs(sketch), axis=2) / 0.6745).max())
+
+
 def descend(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Hashes whose estimate is at least `least` on every level of prefixes, and their estimates."""
     child = np.arange(1 << BITS, dtype=np.uint64)
@@ -91,14 +96,29 @@ def descend(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return heavy, estimate
 
 
-def heavy_hitters(values: DataFrame, share: float = 0.002, rows: int = 5, width: int = 8192) -> DataFrame:
+def fitted_sketch(hashes: DataFrame, share: float, rows: int = 5, width: int | None = None, most_width: int = 1 << 20) -> tuple[np.ndarray, int]:
+    """A sketch whose noise is at most an eighth of the least count that is looked for, and the number of rows. The width begins at
+    16 / share and is raised to what the noise asks for, which falls with its root; an error where that is beyond most_width (a share
+    of so few rows that a sketch can't tell it)."""
+    width = width or 1 << max(10, int(np.ceil(np.log2(16 / share))))
+    while True:
+        if width > most_width:
+            raise ValueError(f"a share of {share} needs a sketch of {width} cells, more than most_width = {most_width}")
+        sketch, n = hash_sketch(hashes, rows, width)
+        over = 8 * noise(sketch) / max(1.0, share * n)
+        if over <= 1:
+            return sketch, n
+        width <<= max(1, int(np.ceil(2 * np.log2(over))))
+
+
+def heavy_hitters(values: DataFrame, share: float = 0.002, rows: int = 5, width: int | None = None) -> DataFrame:
     """Values (the frame's only column) that hold at least `share` of its rows: value, estimate (of the sketch), n (exact),
     rows_total. Nulls are left out of both; an empty frame gives no rows. Ties don't matter: it is a threshold, not a
-    limit. The descent admits estimates from half the share on, so that the sketch's error loses nothing; at most about
-    2/share hashes are looked for in the second scan."""
+    limit. The descent admits estimates from half the share on, four times the noise below it, so that the sketch's error loses
+    nothing; at most about 2/share hashes are looked for in the second scan."""
     name = values.columns[0]
     value = values.select(F.col(f"`{name}`").alias("value")).filter("value is not null")
-    sketch, n = hash_sketch(value.select(F.xxhash64("value").alias("h")), rows, width)
+    sketch, n = fitted_sketch(value.select(F.xxhash64("value").alias("h")), share, rows, width)
     found, estimate = descend(sketch, max(1.0, share * n / 2)) if n else (np.zeros(0, np.uint64), np.zeros(0))
     spark = values.sparkSession
     guess = spark.createDataFrame([(int(h), int(e)) for h, e in zip(found.view(np.int64), estimate)], "h long, estimate long")

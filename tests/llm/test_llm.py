@@ -34,6 +34,17 @@ def test_sketch_estimates_are_near(spark):
     assert abs(got.estimate - got.n) < 100
 
 
+def test_small_shares_widen_the_sketch(spark):
+    values = [(f"r{i}",) for i in range(20000)] + [(f"h{i}",) for i in range(40) for _ in range(25)]
+    df = spark.createDataFrame(values, "value string")
+    got = {r.value: r.n for r in frequent.heavy_hitters(df, 0.001, width=1024).collect()}
+    assert got == {f"h{i}": 25 for i in range(40)}
+    sketch, n = frequent.fitted_sketch(df.select(F.xxhash64("value").alias("h")), 0.001, width=1024)
+    assert sketch.shape[2] > 1024 and 8 * frequent.noise(sketch) <= 0.001 * n
+    with pytest.raises(ValueError):
+        frequent.fitted_sketch(df.select(F.xxhash64("value").alias("h")), 0.00005, most_width=1 << 12)
+
+
 def test_query_pattern(spark):
     df = spark.createDataFrame([("  Hello, WORLD!! x_y ",), (None,), ("?!",)], "t string")
     assert [r[0] for r in df.select(frequent.query_pattern("t")).collect()] == ["hello world xy", None, ""]
@@ -184,6 +195,23 @@ def test_pieces_round_trip_and_bounds(spark):
     assert all(p.start + len(p.text) == len(texts["blank"]) or p.text.endswith(" ") for p in out["blank"])
 
 
+def test_redelivered_records_are_cut_once(spark):
+    df = spark.createDataFrame([("a", "word " * 900)] * 3 + [("b", "x"), (None, "y"), ("c", None)], "id string, content string")
+    p = pieces.split_pieces(df)
+    assert p.count() == p.distinct().count() and {r.id for r in p.collect()} == {"a", "b"}
+    assert rows(pieces.rebuilt(p), "id", "text") == [("a", "word " * 900), ("b", "x")]
+    assert pieces.split_pieces(df.limit(0)).count() == 0
+
+
+def test_one_per_key_whether_keys_are_broadcast_or_not(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"t{k}") for k in [1, 1, 1, 2, 3, 3, None, 4]], "id long, t string")
+    expected = [(1, "t1"), (2, "t2"), (3, "t3"), (4, "t4")]
+    assert rows(common.one_per_key(df, "id"), "id", "t") == expected
+    monkeypatch.setattr(common, "REPEATED", 1)
+    assert rows(common.one_per_key(df, "id"), "id", "t") == expected
+    assert common.one_per_key(df.limit(0), "id").count() == 0
+
+
 # packing -------------------------------------------------------------------------------------------------------------
 
 
