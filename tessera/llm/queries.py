@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import one_per_key, table
 from .frequent import heavy_hitters, query_pattern
 from .leaks import leaked_items
-from .lookalike import look_alike_classes, look_alike_pairs
+from .lookalike import look_alike_members, look_alike_pairs, with_canonical
 from .packing import pack
 from .pairs import defective_pairs
 from .pieces import rebuilt, split_pieces
@@ -130,12 +130,17 @@ def p8_edited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Each text's class: equal classes look the same."""
-    return look_alike_classes(table(spark, d, "documents")).select("doc_id", F.col("form.f1").alias("form_high"), F.col("form.f2").alias("form_low"))
+    """Each text's class of equal looks: its representative, how many different texts it has, and the copies of this one."""
+    return look_alike_members(table(spark, d, "documents"))
+
+
+def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in the one form, case folded."""
+    return with_canonical(table(spark, d, "documents").select("doc_id", "text"), to="canonical").select("doc_id", "canonical")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p6_rebuilt, p7_found, p7_containers, p7_placed, p7_fill, p8_found, p8_report, p8_edited, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_vocabulary, p4_found, p4_classes, p5_found, p5_flags, p6_found, p6_pieces, p6_rebuilt, p7_found, p7_containers, p7_placed, p7_fill, p8_found, p8_report, p8_edited, p9_found, p9_forms, p9_canonical)}

@@ -340,6 +340,28 @@ def test_look_alike_pairs(spark):
     assert rows(lookalike.with_canonical(df.filter("doc_id = 2"), fold=True), "canonical") == [("pass",)]
 
 
+def test_confusable_letters_come_from_the_public_table(spark):
+    letters = lookalike.confusables(spark)
+    assert len(letters) > 120 and letters["Ꭺ"] == "A" and letters["с"] == "c" and all(x.isascii() and x.isalpha() for x in letters.values())
+    form = lookalike.Canonical(letters, fold=False)
+    assert form("ᎪᏢᏢLE раѕѕ") == "APPLE pass" and form("Straße") == "Straße" and lookalike.Canonical(letters)("Straße ΟĿ") == "strasse ol·"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(codec="utf-8") | st.sampled_from(" \n\t\u0301\u200b\u00a0\uac00\u11a8\u1161\u1100"), max_size=20))
+def test_stretches_apart_are_as_the_whole(text):
+    table = lookalike._table(frozenset(lookalike.SAME_LOOK.items()))
+    whole = unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text.translate(table)).translate(table))
+    assert lookalike.canonical(text, False) == whole
+
+
+def test_look_alike_members(spark):
+    df = spark.createDataFrame([(3, "pass"), (1, "раss"), (2, "pass"), (5, "Pass"), (6, None), (7, ""), (None, "pass")], "doc_id long, text string")
+    assert rows(lookalike.look_alike_members(df), "doc_id", "representative", "texts", "copies") == [(1, 1, 2, 1), (2, 1, 2, 2), (3, 1, 2, 2), (5, 5, 1, 1)]
+    assert rows(lookalike.look_alike_members(df, fold=True), "doc_id", "representative")[-1] == (5, 1)
+    assert lookalike.look_alike_members(df.limit(0)).count() == 0
+
+
 def test_queries_run_on_the_smallest_tables(spark):
     from tessera.llm import queries, sql
 
