@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Splitter, bitmap, cut, in_bitmap, mix
+from .common import Splitter, bitmap, cut, in_bitmap, mix, one_per_key
 
-SLOTS, SLOT_BLOCK = 1 << 23, 1 << 17
+#: Slots of the table of frequencies: about half as many as there are shingles, within these bounds (a task counts in four bytes a slot).
+LEAST_SLOTS, MOST_SLOTS, SLOT_BLOCK = 1 << 20, 1 << 25, 1 << 17
 BLOCK = 64
 #: A list longer than this is met in pieces, pair by pair of pieces.
 HOT = 20_000
@@ -90,19 +91,22 @@ def _flat(batch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return _unpack(b"".join(parts)), np.array([len(x) // 5 for x in parts], np.int64)
 
 
-def _slot(made: np.ndarray) -> np.ndarray:
-    return (made & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slot(made: np.ndarray, slots: int) -> np.ndarray:
+    return (made & np.uint64(slots - 1)).astype(np.int64)
 
 
 def document_frequencies(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by SLOTS slots of its hash, in eighths of a power of two (0: none, 1: one): a table of
-    fixed size (8 MB) over all sets. It only orders shingles; slots that are shared cost selectivity, never a pair."""
+    """How many sets hold a shingle, by slots of its hash, in eighths of a power of two (0: none, 1: one): a table of bounded size (at
+    most 32 MB) over all sets. It only orders shingles and tells where hot ones may be; slots that are shared cost selectivity, never a pair."""
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << int(np.ceil(np.log2(max(2, entries) / 2)))))
 
     def count(batches):
-        total = np.zeros(SLOTS, np.uint32)
+        total = np.zeros(slots, np.uint32)
         for b in batches:
             made, _ = _flat(b, 0)
-            total += np.bincount(_slot(made), minlength=SLOTS).astype(np.uint32)
+            at, n = np.unique(_slot(made, slots), return_counts=True)
+            total[at] += n.astype(np.uint32)
         total = total.reshape(-1, SLOT_BLOCK)
         use = np.nonzero(total.any(1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([zlib.compress(total[i].tobytes(), 1) for i in use], pa.binary())], ["block", "counts"])
@@ -116,25 +120,55 @@ def document_frequencies(sets: DataFrame) -> np.ndarray:
         coded = [zlib.compress(np.where(x > 0, 1 + np.round(8 * np.log2(np.maximum(x, 1))), 0).astype(np.uint8).tobytes(), 1) for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(coded, pa.binary())], ["block", "counts"])
 
-    table = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
-    for r in sets.select("shingles").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary").collect():  # at most SLOTS bytes
+    table = np.zeros((slots // SLOT_BLOCK, SLOT_BLOCK), np.uint8)
+    for r in sets.select("shingles").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, counts binary").collect():  # at most a byte a slot
         table[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return table.ravel()
 
 
+def hot_shingles(sets: DataFrame, table: np.ndarray, frequencies) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in more than HOT sets, sorted, and in how many: those of the slots that count more are counted one by
+    one, each task's first. There are at most as many as all shingles together divided by HOT."""
+    least = 1 + 8 * np.log2(HOT)
+    if not (table >= least - 1).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def count(batches):
+        coded, held = frequencies.value, []
+        rows = 0
+
+        def flush():
+            made, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+        for b in batches:
+            made, _ = _flat(b, 0)
+            held.append(made[coded[_slot(made, len(coded))] >= least - 1])
+            rows += len(held[-1])
+            if rows > 2_000_000:
+                yield flush()
+                held, rows = [], 0
+        if held:
+            yield flush()
+
+    found = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).orderBy("shingle").collect()
+    made, n = np.array([r["shingle"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    return made, n
+
+
 def needed(threshold: float, a, b):
     """Least overlap of sets of sizes a and b whose Jaccard similarity is at least the threshold."""
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def index_lists(sets: DataFrame, frequencies, threshold: float, extra: int) -> DataFrame:
+def index_lists(sets: DataFrame, frequencies, hot, threshold: float, extra: int) -> DataFrame:
     """Entries (cell, fp, place) for each set's prefix: its rarest shingles, so many that sets which reach the threshold share
     at least 1 + extra of them; place holds size, position and side. A shingle whose slot counts one set needs no list. A
-    shingle that is in more than HOT sets has a cell for each pair of pieces of its list, so that no list grows without
-    bound. Sets met before in the task aren't put in again."""
+    shingle that is in more than HOT sets (`hot`: those and their counts) has a cell for each pair of pieces of its list, so that no
+    list grows without bound. Sets met before in the task aren't put in again."""
 
     def run(batches):
-        coded, seen = frequencies.value, set()
+        coded, seen, (hot_made, hot_n) = frequencies.value, set(), hot.value
         for b in batches:
             fps = b.column(0).to_numpy()
             new = []
@@ -148,7 +182,7 @@ def index_lists(sets: DataFrame, frequencies, threshold: float, extra: int) -> D
             made, n = _flat(b, 1)
             fps = b.column(0).to_numpy()
             row = np.repeat(np.arange(len(n)), n)
-            c = coded[_slot(made)]
+            c = coded[_slot(made, len(coded))]
             order = np.lexsort((made, c, row))
             row, made, c = row[order], made[order], c[order]
             pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -156,7 +190,10 @@ def index_lists(sets: DataFrame, frequencies, threshold: float, extra: int) -> D
             keep = (pos < prefix[row]) & (c > 1)
             row, made, c, pos = row[keep], made[keep], c[keep], pos[keep]
             place = (n[row] << 32) | (pos << 1)
-            pieces = np.ceil(2.0 ** ((c.astype(np.float64) - 1) / 8) / HOT).astype(np.int64)
+            pieces = np.ones(len(made), np.int64)
+            if len(hot_made):
+                near = np.minimum(np.searchsorted(hot_made, made), len(hot_made) - 1)
+                pieces = np.where(hot_made[near] == made, -(-hot_n[near] // HOT), 1)
             cold = pieces <= 1
             parts = [((made[cold] << np.uint64(1)).view(np.int64), fps[row[cold]], place[cold])]
             for g in np.unique(pieces[~cold]):
@@ -318,8 +355,10 @@ def similar_sets(docs: DataFrame, key: str, text: str, threshold: float = 0.8, w
     with fewer terms than `width`, have no set. A key that occurs with several texts has several sets."""
     spark = docs.sparkSession
     sets = cut(record_sets(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null"), width, least_terms))
-    frequencies = spark.sparkContext.broadcast(document_frequencies(sets))
-    candidates = cut(candidate_links(index_lists(sets, frequencies, threshold, extra), threshold, extra))
+    table = document_frequencies(sets)
+    frequencies = spark.sparkContext.broadcast(table)
+    hot = spark.sparkContext.broadcast(hot_shingles(sets, table, frequencies))
+    candidates = cut(candidate_links(index_lists(sets, frequencies, hot, threshold, extra), threshold, extra))
     return sets.select("key", "fp").distinct(), cut(verified_links(candidates, sets, threshold))
 
 
@@ -333,13 +372,13 @@ def similar_pairs(docs: DataFrame, key: str = "id", text: str = "content", **opt
     return all_links.join(a, "fp_a").join(b, "fp_b").filter(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of the graph of links (fp_a, fp_b), for nodes with a link. Each round every node takes
     the least label around it and then that label's own label, so the number of rounds grows with the logarithm of the
     longest chain; each round's labels are written, and its message to the driver is one count."""
     edges = cut(links.select(F.col("fp_a").alias("node"), F.col("fp_b").alias("other")).unionByName(links.select(F.col("fp_b").alias("node"), F.col("fp_a").alias("other"))).distinct())
     labels = cut(edges.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         taken = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("hop"))
@@ -348,14 +387,22 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = new
         if not changed:
             return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def similar_classes(docs: DataFrame, key: str = "id", text: str = "content", **options) -> DataFrame:
-    """One row per record with a set: key, class (the set fingerprint that stands for its class: records joined by any chain
-    of links), links (number of different similar sets), copies (records with an equal set, itself included)."""
-    members, links = similar_sets(docs, key, text, **options)
+    """One row per record: key, class (the least key of its class: records joined by any chain of links or equal sets), links (number
+    of different similar sets), copies (records with an equal set, itself included). Records without a set (too few terms, null texts)
+    are classes of equal texts; null texts are one class. Keys that repeat are one record; null keys have no row."""
+    records = one_per_key(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    members, links = similar_sets(records, "key", "text", **options)
     degree = links.select(F.col("fp_a").alias("fp")).unionByName(links.select(F.col("fp_b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("links"))
-    copies = members.groupBy("fp").agg(F.count("*").alias("copies"))
-    found = copies.join(degree, "fp", "left").join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
-    return members.join(found, "fp").select(F.col("key").alias(key), F.coalesce("component", "fp").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    copies = members.groupBy("fp").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
+    found = copies.join(degree, "fp", "left").join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found = cut(found)
+    names = found.groupBy("component").agg(F.min("least").alias("class"))
+    with_set = members.join(found.join(names, "component"), "fp").select("key", "class", F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    rest = records.join(members.select("key"), "key", "left_anti").select("key", F.md5(F.col("text").cast("binary")).alias("same"), F.octet_length("text").alias("size"))
+    rest = cut(rest)
+    alone = rest.groupBy("same", "size").agg(F.min("key").alias("class"), F.count("*").alias("copies"))
+    paired = rest.join(alone, rest["same"].eqNullSafe(alone["same"]) & rest["size"].eqNullSafe(alone["size"])).select("key", "class", F.lit(0).cast("long").alias("links"), "copies")
+    return with_set.unionByName(paired).withColumnRenamed("key", key)

@@ -20,6 +20,12 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _WINDOWS = "select distinct {key}, i - 1 as place, array_to_string(ws[i : i + 9], ' ') as passage from (select {key}, {words} as ws from {table} where {key} is not null and text is not null), unnest(range(1, len(ws) - 8)) r(i)"
 _P8 = f"select doc_id, item_id, d.place from ({_WINDOWS.format(key='doc_id', words=_WORDS, table='documents')}) d join ({_WINDOWS.format(key='item_id', words=_WORDS, table='eval_items')}) i using (passage)"
 
+_P4 = f"""with recursive {_RECORDS}, t as (select id, {_TERMS.format("content")} as ts from records),
+s as (select id, list_distinct(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) as s from t where len(ts) >= 20),
+x as (select id, len(s) as n, unnest(s) as g from s),
+o as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, count(*) as o from x a join x b on a.g = b.g and a.id < b.id and a.n >= 0.59 * b.n and b.n >= 0.59 * a.n group by all),
+pairs as (select id_a, id_b from o where o >= 0.6 * (n_a + n_b - o) - 1e-9)"""
+
 SQL = {
     "p1_found": f"{_P1} select query_pattern from p, t group by query_pattern, total having count(*) >= 0.002 * total",
     "p1_counts": f"{_P1} select query_pattern, count(*) as n, total as rows_total, true as near from p, t group by query_pattern, total having count(*) >= 0.002 * total",
@@ -33,11 +39,13 @@ select term, case when records >= 0.5 * n then 'common' else 'rare' end as mark
     "p3_vocabulary": f"""with {_RECORDS}, uses as (select id, unnest({_TERMS.format("content")}) as term from records), n as (select count(distinct id) as n from records)
 select term, row_number() over (order by term) - 1 as term_id, count(*) as occurrences, count(distinct id) as records, case when count(distinct id) >= 0.5 * n then 'common' when count(distinct id) <= 1 then 'rare' end as mark, n as records_total
 from uses, n group by term, n""",
-    "p4_found": f"""with {_RECORDS}, t as (select id, {_TERMS.format("content")} as ts from records),
-s as (select id, list_distinct(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) as s from t where len(ts) >= 20),
-x as (select id, len(s) as n, unnest(s) as g from s),
-o as (select a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b, count(*) as o from x a join x b on a.g = b.g and a.id < b.id and a.n >= 0.59 * b.n and b.n >= 0.59 * a.n group by all)
-select id_a, id_b from o where o >= 0.6 * (n_a + n_b - o) - 1e-9""",
+    "p4_found": f"{_P4} select id_a, id_b from pairs",
+    "p4_classes": f"""{_P4}, u as (select id, coalesce(array_to_string(list_sort(s), chr(1)), 'text ' || md5(content), 'null') as same from records left join s using (id)),
+e as (select id_a as a, id_b as b from pairs union select id_b, id_a from pairs union select x.id, y.id from u x join u y on x.same = y.same),
+reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+k as (select u.id, count(distinct v.same) filter (v.same != u.same) as links from u left join pairs p on u.id in (p.id_a, p.id_b) left join u v on v.id = case when p.id_a = u.id then p.id_b else p.id_a end group by 1),
+c as (select same, count(*) as copies from u group by 1)
+select id, min(b) as class, any_value(links) as links, any_value(copies) as copies from reach join k on k.id = reach.a join u using (id) join c using (same) group by id""",
     "p6_found": rf"""with long as (select distinct id, content from store_docs where id is not null and length(content) > 2000)
 select distinct id, case when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from long""",
     "p6_rebuilt": rf"""with {_RECORDS}, c as (select id, content, case when length(content) <= 2000 then 'whole' when list_max(list_transform(regexp_split_to_array(content, '[{_SPACE}.!?。！？]+'), lambda x: length(x))) > 2000 then 'forced' else 'natural' end as cut from records where content is not null)

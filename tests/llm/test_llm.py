@@ -102,8 +102,11 @@ def test_similar_classes_join_chains(spark):
     w = [f"w{i}" for i in range(60)]
     texts = [("a", " ".join(w[:30])), ("b", " ".join(w[5:35])), ("c", " ".join(w[10:40])), ("d", " ".join(w[10:40])), ("x", " ".join(f"z{i}" for i in range(30)))]
     got = {r.id: r for r in similar.similar_classes(spark.createDataFrame(texts, "id string, content string"), threshold=0.6, width=3, least_terms=20).collect()}
-    assert len({got[k]["class"] for k in "abcd"}) == 1 and got["x"]["class"] != got["a"]["class"]
+    assert {got[k]["class"] for k in "abcd"} == {"a"} and got["x"]["class"] == "x"
     assert (got["a"].links, got["b"].links, got["c"].copies, got["x"].links) == (1, 2, 2, 0)
+    short = spark.createDataFrame([*texts, ("s2", "two words"), ("s1", "two words"), ("n2", None), ("n1", None), (None, "x"), ("e", ""), ("a", texts[0][1])], "id string, content string")
+    got = {r.id: (r["class"], r.links, r.copies) for r in similar.similar_classes(short, threshold=0.6, width=3, least_terms=20).collect()}
+    assert len(got) == 10 and got["s2"] == got["s1"] == ("s1", 0, 2) and got["n2"] == got["n1"] == ("n1", 0, 2) and got["e"] == ("e", 0, 1)
     empty = spark.createDataFrame([], "id string, content string")
     assert similar.similar_classes(empty).count() == 0 and similar.similar_pairs(empty).count() == 0
 
