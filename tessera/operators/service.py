@@ -13,17 +13,33 @@ from .ranking import rounded
 def nearest_rank(rows: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """group, percent, value: the element at place max(n p - 1, 1) / 100 (whole part, from 0) of the group's sorted values.
 
-    Rows are sorted by range partitions; the partitions' counts tell in which one a place lies, and only there it is looked up,
-    so no group is gathered. Null groups and values are left out."""
-    slim = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    Equal values of a group are counted first, so that a value any number of rows share is one row. The different values are sorted by
+    range partitions; the partitions' counts tell in which one a place lies, and only there it is looked up, so no group is
+    gathered. Null groups and values are left out."""
+    slim = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("m"))
     spread = cut(slim.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
-    counts = spread.groupBy("g", "part").agg(F.count("*").alias("n"))
+    counts = spread.groupBy("g", "part").agg(F.sum("m").alias("n"))
     w = W.partitionBy("g").orderBy("part")
     counts = counts.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy("g")))
     wanted = counts.select("g", "part", "before", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), F.floor(F.greatest(F.col("total") * p - 1, F.lit(1)) / 100).alias("at")) for p in percents])).alias("x"))
     wanted = wanted.select("g", "part", "x.percent", (F.col("x.at") - F.col("before")).alias("k"), "n").filter("k >= 0 and k < n")
-    placed = spread.join(wanted.select("g", "part").distinct(), ["g", "part"], "left_semi").withColumn("k", F.row_number().over(W.partitionBy("g", "part").orderBy("v")) - 1)
-    return placed.join(wanted, ["g", "part", "k"]).select(F.col("g").alias(group), "percent", F.col("v").alias(value))
+    upto = F.sum("m").over(W.partitionBy("g", "part").orderBy("v"))
+    placed = spread.join(wanted.select("g", "part").distinct(), ["g", "part"], "left_semi").withColumn("upto", upto)
+    return placed.join(wanted, ["g", "part"]).filter("k < upto and k >= upto - m").select(F.col("g").alias(group), "percent", F.col("v").alias(value))
+
+
+def previous(rows: DataFrame, group: str, order: list[str], value: str, to: str, seconds: int = 86_400) -> DataFrame:
+    """rows with the `value` of the group's row before, by `order` (the first of it a timestamp), in the column `to`; null for the first.
+
+    A group is cut into spans of so many seconds, each sorted by itself; a span's first row takes the last value of the spans before,
+    which are one row each. So a group that holds a third of all rows is spread over as many tasks as it has spans."""
+    span = F.floor(F.unix_timestamp(order[0]) / seconds)
+    spanned = rows.withColumn("_span", span).withColumn("_last", F.struct(*order, value))
+    inside = spanned.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(W.partitionBy(group, "_span").orderBy(*order)))
+    ends = spanned.groupBy(group, "_span").agg(F.max("_last").alias("_last"))
+    carried = ends.select(group, "_span", F.lag(F.struct(F.col(f"_last.{value}").alias("v"))).over(W.partitionBy(group).orderBy("_span")).alias("_carried"))
+    joined = inside.join(carried, (inside[group] == carried[group]) & inside["_span"].eqNullSafe(carried["_span"])).select(*[inside[c] for c in rows.columns], "_before", "_carried")
+    return joined.withColumn(to, F.coalesce("_before", "_carried")["v"]).drop("_before", "_carried")
 
 
 def summary(rows: DataFrame, group: str, value: str, ok: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import claims as C, dependency, graph as G
@@ -140,27 +142,32 @@ def graph_relations(spark, d):
 
 
 def _star(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The star schema as a property graph: order -> customer -> nation -> region, supplier -> nation."""
+    """The star schema as a property graph: order -> customer -> nation -> region, supplier -> nation, and by lineitem order -> part and
+    part -> supplier, once for each pair."""
     tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     t = lambda n: table(spark, d, n)
-    v = lambda df, k, c, name: df.select(tag(k, c).alias("id"), F.col(name).cast("string").alias("name"), F.lit(k).alias("type"))
-    vertices = v(t("region"), "R", "r_regionkey", "r_name").unionByName(v(t("nation"), "N", "n_nationkey", "n_name")).unionByName(v(t("customer"), "C", "c_custkey", "c_name")).unionByName(v(t("supplier"), "S", "s_suppkey", "s_name")).unionByName(v(t("orders"), "O", "o_orderkey", "o_orderkey"))
-    e = lambda df, a, b, kind, c: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
-    edges = (
-        e(t("nation"), tag("N", "n_nationkey"), tag("R", "n_regionkey"), "part_of", 0.9)
-        .unionByName(e(t("customer"), tag("C", "c_custkey"), tag("N", "c_nationkey"), "located_in", 0.8))
-        .unionByName(e(t("supplier"), tag("S", "s_suppkey"), tag("N", "s_nationkey"), "located_in", 0.8))
-        .unionByName(e(t("orders"), tag("O", "o_orderkey"), tag("C", "o_custkey"), "created_by", 0.7))
-    )
-    return vertices, edges
+    v = lambda n, k, c, name: t(n).select(tag(k, c).alias("id"), F.col(name).cast("string").alias("name"), F.lit(k).alias("type"))
+    vertices = [v("region", "R", "r_regionkey", "r_name"), v("nation", "N", "n_nationkey", "n_name"), v("customer", "C", "c_custkey", "c_name"), v("supplier", "S", "s_suppkey", "s_name"), v("orders", "O", "o_orderkey", "o_orderkey"), v("part", "P", "p_partkey", "p_name")]
+    e = lambda df, a, b, kind, c: df.select(tag(*a).alias("src"), tag(*b).alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
+    edges = [
+        e(t("nation"), ("N", "n_nationkey"), ("R", "n_regionkey"), "part_of", 0.9),
+        e(t("customer"), ("C", "c_custkey"), ("N", "c_nationkey"), "located_in", 0.8),
+        e(t("supplier"), ("S", "s_suppkey"), ("N", "s_nationkey"), "located_in", 0.8),
+        e(t("orders"), ("O", "o_orderkey"), ("C", "o_custkey"), "created_by", 0.7),
+        e(t("lineitem").select("l_orderkey", "l_partkey").distinct(), ("O", "l_orderkey"), ("P", "l_partkey"), "uses", 0.95),
+        e(t("lineitem").select("l_partkey", "l_suppkey").distinct(), ("P", "l_partkey"), ("S", "l_suppkey"), "created_by", 0.9),
+    ]
+    return reduce(DataFrame.unionByName, vertices), reduce(DataFrame.unionByName, edges)
 
 
 _EDGES = """edges as (select 'N' || n_nationkey as src, 'R' || n_regionkey as dst, 'part_of' as type, 0.9::double as confidence from nation union all select 'C' || c_custkey, 'N' || c_nationkey, 'located_in', 0.8 from customer
-union all select 'S' || s_suppkey, 'N' || s_nationkey, 'located_in', 0.8 from supplier union all select 'O' || o_orderkey, 'C' || o_custkey, 'created_by', 0.7 from orders),
-vertices as (select 'R' || r_regionkey as id, 'R' as type from region union all select 'N' || n_nationkey, 'N' from nation union all select 'C' || c_custkey, 'C' from customer union all select 'S' || s_suppkey, 'S' from supplier union all select 'O' || o_orderkey, 'O' from orders)"""
+union all select 'S' || s_suppkey, 'N' || s_nationkey, 'located_in', 0.8 from supplier union all select 'O' || o_orderkey, 'C' || o_custkey, 'created_by', 0.7 from orders
+union all select distinct 'O' || l_orderkey, 'P' || l_partkey, 'uses', 0.95 from lineitem union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'created_by', 0.9 from lineitem),
+vertices as (select 'R' || r_regionkey as id, 'R' as type from region union all select 'N' || n_nationkey, 'N' from nation union all select 'C' || c_custkey, 'C' from customer union all select 'S' || s_suppkey, 'S' from supplier union all select 'O' || o_orderkey, 'O' from orders union all select 'P' || p_partkey, 'P' from part)"""
 
 
-def _walk(start: str, step: str, hops: int, condition: str = "true") -> str:
+def _walk(start: str, step: str, hops: int, condition: str = "true", edges: str = "edges") -> str:
+    step = step.replace("from edges", f"from {edges}")
     return f"""with recursive {_EDGES}, steps as ({step}), w(start, "end", hops, confidence, path) as (select id, id, 0, 1.0::double, [id] from vertices where {start} union all select w.start, s.t, hops + 1, w.confidence * s.c, list_append(path, s.t) from w join steps s on s.a = w."end" where hops < {hops} and not list_contains(path, s.t) and {condition})"""
 
 
@@ -168,11 +175,11 @@ _OUT = "select src as a, dst as t, confidence as c from edges"
 _BOTH = f"{_OUT} union all select dst, src, confidence from edges"
 
 
-@query(f"""{_walk("type = 'O'", _OUT, 3)} select start, "end", hops, round(confidence, 6) as confidence, path from w""")
+@query(f"""{_walk("type = 'P'", _OUT, 3)} select start, "end", hops, round(confidence, 6) as confidence, path from w""")
 def graph_paths(spark, d):
-    """Where every order leads."""
+    """Where every part comes from: its suppliers, their nations, and these nations' regions."""
     vertices, edges = _star(spark, d)
-    return G.traverse(vertices.filter("type = 'O'"), vertices, edges, 3, "outgoing")
+    return G.traverse(vertices.filter("type = 'P'"), vertices, edges, 3, "outgoing")
 
 
 @query(f"""{_walk("type = 'R'", _BOTH, 2, "w.confidence * s.c >= 0.75")} select start, "end", hops, round(confidence, 6) as confidence, path from w""")
@@ -183,17 +190,25 @@ def graph_paths_confident(spark, d):
 
 @query(f"""{_walk("type = 'R'", _BOTH, 3)} select start, "end" as id, min(hops) as hops from w where "end" != start and "end" not like 'N%' group by 1, 2""")
 def graph_within_hops(spark, d):
-    """Customers, suppliers and orders within three steps of a region; nations are passed through."""
+    """Customers, suppliers, orders and parts within three steps of a region; nations are passed through."""
     vertices, edges = _star(spark, d)
-    return G.within_hops(vertices.filter("type = 'R'"), vertices, edges, 3, "both", ["C", "S", "O", "R"])
+    return G.within_hops(vertices.filter("type = 'R'"), vertices, edges, 3, "both", ["C", "S", "O", "P", "R"])
 
 
-@query(f"""{_walk("type = 'S'", _OUT, 2)}, b as (select * from w where hops = 2) select start, "end", hops, path from b""")
+@query(f"""{_walk("type = 'S'", _BOTH, 2)} select start, "end", min(hops) as hops, arg_min(path, (hops, path)) as path from w where hops > 0 and "end" like 'S%' group by 1, 2""")
 def graph_shortest_paths(spark, d):
-    """From every supplier to its region."""
+    """From every supplier to the suppliers that share a part or the nation with it; of several such paths the least."""
+    vertices, edges = _star(spark, d)
+    near = G.within_hops(vertices.filter("type = 'S'"), vertices, edges, 2, "both", ["S"])
+    return G.shortest_paths(near.select("start", F.col("id").alias("end")), edges, 2, "both")
+
+
+@query(f"""{_walk("type = 'N'", _BOTH, 3, edges="edges where type in ('located_in', 'part_of')")} select start, "end", hops, round(confidence, 6) as confidence, path from w where "end" like 'N%'""")
+def graph_cycles(spark, d):
+    """From nation to nation: over the region, never twice through a vertex, as customers and suppliers lead back to where they came from."""
     vertices, edges = _star(spark, d)
-    ends = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("S"), "s_suppkey").alias("start"), F.concat(F.lit("R"), "n_regionkey").alias("end"))
-    return G.shortest_paths(ends, edges, 3, "outgoing")
+    found = G.traverse(vertices.filter("type = 'N'"), vertices, edges, 3, "both", edge_types=["located_in", "part_of"])
+    return found.filter(F.startswith("end", F.lit("N")))
 
 
 @query(f"with recursive {_EDGES}, c(id, depth) as (select 'R0', 0 union select src, depth + 1 from c join edges on dst = c.id) select id, min(depth) as depth from c where depth > 0 group by 1")

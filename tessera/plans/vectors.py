@@ -8,6 +8,7 @@ from ..functions import losses, vectors as V
 from ..functions import embedding
 from ..operators import hidden, speculative
 from ..operators.ranking import rounded
+from ..operators.service import previous
 from ..registry import query
 from ..sources.tables import table
 from .base import LOG, log
@@ -202,9 +203,8 @@ u as (select *, ceil(least(n, strlen(cached)) / 4)::int as tokens, ceil(length(c
 )
 def hidden_reuse(spark, d):
     """What a question could reuse of the states of its client's question before."""
-    from pyspark.sql import Window as W
-
-    t = log(spark, d).filter("text is not null and client_id is not null").select("query_id", "text", F.lag("text").over(W.partitionBy("client_id").orderBy("ts", "query_id")).alias("cached")).filter("cached is not null")
+    asked = log(spark, d).filter("text is not null and client_id is not null").select("query_id", "client_id", "ts", "text")
+    t = previous(asked, "client_id", ["ts", "query_id"], "text", "cached").filter("cached is not null")
     tokens, quality = hidden.reuse("text", "cached", F.ceil(F.length("cached") / 4).cast("int"))
     return t.select("query_id", tokens.alias("reused"), _r(quality).alias("quality")).filter("reused > 0")
 

@@ -240,6 +240,39 @@ def test_prefixes_of_the_registered_log_without_the_own_text(spark):
     assert {r.query_id: r.length for r in service.prefix_hits(q, cut).collect()} == {k: n for k, n in wanted.items() if n}
 
 
+def test_traversal_with_cycles_ties_and_hubs(spark, monkeypatch):
+    pairs = [("A", "B"), ("B", "C"), ("C", "A"), ("A", "D"), ("D", "C"), ("A", "A")] + [("A", f"h{i}") for i in range(20)]
+    e = spark.createDataFrame([(a, b, "x", 1.0) for a, b in pairs], "src string, dst string, type string, confidence double")
+    v = spark.createDataFrame([(x, x, "T") for x in sorted({x for p in pairs for x in p})], "id string, name string, type string")
+    start = v.filter("id = 'A'")
+    expected = None
+    for hub in (50_000, 4):
+        monkeypatch.setattr(graph, "HUB", hub)
+        paths = sorted(tuple(r.path) for r in graph.traverse(start, v, e, 3, "outgoing").collect())
+        assert paths == sorted([("A",), ("A", "B"), ("A", "B", "C"), ("A", "D"), ("A", "D", "C"), *(("A", f"h{i}") for i in range(20))])
+        ends = spark.createDataFrame([("A", "C"), ("A", "A"), ("C", "h3")], "start string, end string")
+        got = {(r.start, r.end): (r.hops, tuple(r.path)) for r in graph.shortest_paths(ends, e, 3, "outgoing").collect()}
+        assert got == {("A", "C"): (2, ("A", "B", "C")), ("A", "A"): (0, ("A",)), ("C", "h3"): (2, ("C", "A", "h3"))}
+        assert len(graph.within_hops(start, v, e, 2, "both").collect()) == 23
+        expected = expected or paths
+        assert paths == expected
+
+
+def test_closure_of_a_chain_longer_than_any_limit_and_of_a_cycle(spark):
+    deps = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(57)] + [("n1", "n3")], "id string, on string")
+    got = {r.id: r.depth for r in graph.closure(spark.createDataFrame([("n0",)], "id string"), deps).collect()}
+    assert got == {f"n{i}": i for i in range(1, 58)}
+
+
+def test_percentiles_of_equal_values_and_previous_rows_over_spans(spark):
+    df = spark.createDataFrame([("g", 1.0)] * 50 + [("g", 2.0)] * 49 + [("g", 9.0)] + [("h", 5.0), (None, 1.0), ("h", None)], "g string, v double")
+    assert rows(service.nearest_rank(df, "g", "v"), "g", "percent", "v") == [("g", 50, 1.0), ("g", 95, 2.0), ("g", 99, 2.0), ("h", 50, 5.0), ("h", 95, 5.0), ("h", 99, 5.0)]
+    t0 = dt.datetime(2025, 1, 1)
+    log = [("a", i, t0 + dt.timedelta(hours=7 * i), f"t{i}" if i % 3 else None) for i in range(20)] + [("b", 99, None, "x"), ("b", 100, t0, "y")]
+    got = {r.q: r.p for r in service.previous(spark.createDataFrame(log, "c string, q int, ts timestamp, t string"), "c", ["ts", "q"], "t", "p").collect()}
+    assert all(got[i] == (None if i == 0 else log[i - 1][3]) for i in range(20)) and got[100] == "x" and got[99] is None
+
+
 def test_dependency_triples(spark):
     from tessera.operators.dependency import LEMMAS, as_claims, triples, triples_of
 
