@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, answers, knowledge, retrieval, vectors  # noqa: F401 (they register their queries)
+from .plans import analytics, answers, knowledge, retrieval, states, vectors  # noqa: F401 (they register their queries)
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "search_bm25_documents"

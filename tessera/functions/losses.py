@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .text import column, let
-from .vectors import EPSILON, cosine, dot, log_softmax, mse, norm, softmax, total
+from .vectors import EPSILON, cosine, dot, log_softmax, mse, norm, normalize, softmax, total
 
 GREATEST = 1.7976931348623157e308
 
@@ -85,3 +85,21 @@ def gram(features: Column) -> Column:
 
 def gram_loss(teacher: Column, student: Column) -> Column:
     return mse(gram(teacher), gram(student))
+
+
+def attention_transfer(teacher: Column | str, student: Column | str, temperature: float = 1.0) -> Column:
+    """Mean over the maps both have (arrays of arrays) of the mean squared difference of their softened distributions; 0 without maps."""
+    t, s = column(teacher), column(student)
+    n = F.least(F.size(t), F.size(s))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(s, F.lit(1), n), lambda x, y: feature("mse", softmax(x, temperature), softmax(y, temperature)))
+    return F.when(n > 0, total(pairs) / n).otherwise(F.lit(0.0))
+
+
+def feature_distillation(teacher: Column | str, student: Column | str, weights: list[float], kind: str = "mse", normalized: bool = True) -> Column:
+    """Weighted mean of the feature losses of mapped layers (the i-th of both, arrays of arrays); layers that one side lacks don't count."""
+    t, s = column(teacher), column(student)
+    unit = (lambda v: normalize(v)) if normalized else (lambda v: v)
+    parts = [(F.when((F.size(t) > i) & (F.size(s) > i), feature(kind, unit(t[i]), unit(s[i]))), w) for i, w in enumerate(weights)]
+    weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
+    value = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), F.lit(0.0))
+    return F.when(weight > EPSILON, value / weight).otherwise(F.lit(0.0))

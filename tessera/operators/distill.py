@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import ALNUM, SPACE, words
+from ..sources.scratch import cut
 from .ranking import first_rows, rounded
 
 
@@ -25,6 +26,53 @@ def pairs(log: DataFrame, most: int = 50) -> DataFrame:
     return first_rows(first, ["pattern"], ["ts", "text", "answer"], most, "place")
 
 
+def expired(p: DataFrame, as_of: str, seconds: int) -> DataFrame:
+    """Pairs collected longer ago than that."""
+    return p.filter(F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("ts") > seconds)
+
+
+def exported(p: DataFrame, least_confidence: float = 0.0) -> DataFrame:
+    """Pairs as training examples (input, output, confidence); without a confidence it counts as 0."""
+    c = F.coalesce("confidence", F.lit(0.0))
+    return p.filter(c >= least_confidence).select(F.col("text").alias("input"), F.col("answer").alias("output"), rounded(c).alias("confidence"))
+
+
+def pair_statistics(p: DataFrame) -> DataFrame:
+    """pairs, patterns, confidence (mean; null counts as 0), pairs_per_pattern; zeros without pairs."""
+    per = p.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.coalesce("confidence", F.lit(0.0))).alias("c"))
+    mean = lambda a, b: rounded(F.coalesce(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), F.lit(0.0)))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count("*").alias("patterns"), mean("c", "n").alias("confidence"), rounded(F.coalesce(F.avg("n"), F.lit(0.0))).alias("pairs_per_pattern"))
+
+
+def similar_patterns(patterns: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """first, second (first < second), similarity of different patterns (column pattern) whose word sets have shared / united of at
+    least the threshold. Words are ordered by how few patterns have them; sets that reach the threshold share one of their rarest, as
+    many as the threshold asks for, so only patterns with one of these in common, and of sizes that can do, are compared."""
+    p = cut(patterns.select("pattern").distinct().select("pattern", F.array_distinct(words("pattern")).alias("ws")).filter(F.size("ws") > 0))
+    each = p.select("pattern", F.explode("ws").alias("w"))
+    rare = each.groupBy("w").agg(F.count("*").alias("n"))
+    ordered = each.join(rare, "w").groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws"))
+    size = F.size("ws")
+    prefix = ordered.select("pattern", "ws", size.alias("k"), F.posexplode(F.slice("ws", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("at", "w"))
+    prefix = cut(prefix)
+    side = lambda s: prefix.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("pattern", "ws", "k", "at")])
+    met = side("a").join(side("b"), "w").filter((F.col("pattern_a") < F.col("pattern_b")) & (F.least("k_a", "k_b") >= threshold * F.greatest("k_a", "k_b") - 1e-9))
+    # only where the first common word is met, so that a pair comes once
+    common = F.array_intersect("ws_a", "ws_b")
+    met = met.filter(common[0] == F.col("w")).withColumn("o", F.size(common))
+    similarity = F.col("o") / (F.col("k_a") + F.col("k_b") - F.col("o"))
+    return met.filter(similarity >= threshold - 1e-9).select(F.col("pattern_a").alias("first"), F.col("pattern_b").alias("second"), rounded(similarity).alias("similarity"))
+
+
+def model_sizes(spark: SparkSession, start: tuple[float, int, int], end: tuple[float, int, int], stages: int, decay: float | None = None) -> DataFrame:
+    """stage, parameters (millions), layers, hidden: the sizes at the bounds of stages from one model to a smaller one, in equal steps, or
+    with `decay` in steps that shrink."""
+    t = F.when(F.lit(stages) == 0, 1.0).otherwise(F.col("id") / F.lit(max(stages, 1)))
+    left = 1 - t if decay is None else F.pow(F.lit(1.0 - decay), t)
+    at = lambda i: F.lit(float(end[i])) + F.lit(float(start[i] - end[i])) * left
+    return spark.range(stages + 1).select(F.col("id").alias("stage"), rounded(at(0)).alias("parameters"), F.round(at(1)).cast("int").alias("layers"), F.round(at(2)).cast("int").alias("hidden"))
+
+
 def candidates(log: DataFrame, least_frequency: int = 5, least_confidence: float = 0.85, most_pairs: int = 50) -> DataFrame:
     """pattern, frequency, pairs (at most most_pairs), confidence (mean of the kept pairs; 0 without any), first_seen, last_seen,
     ready, priority = 0.4 frequency + 35 confidence + 0.25 pairs. Questions with an empty pattern are left out."""

@@ -166,3 +166,10 @@ def aggregated(values: str, method: str) -> Column:
     weighted = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x) / (F.size(v) * (F.size(v) + 1) / 2)
     pick = {"average": mean(v), "minimum": F.array_min(v), "maximum": F.array_max(v), "weighted": weighted, "last": F.element_at(v, -1)}[method]
     return F.when(F.size(v) > 0, pick).otherwise(F.lit(0.5))
+
+
+def supported(draft: Column | str, context: Column | str) -> Column:
+    """How far a draft's long words (over three bytes, lower case) are the context's: half plus half their share; a half where either has none."""
+    long = lambda x: F.array_distinct(F.filter(words(F.lower(x)), lambda w: F.octet_length(w) > 3))
+    mine, theirs = long(draft), long(context)
+    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), 0.5).otherwise(0.5 + 0.5 * F.size(F.array_intersect(mine, theirs)) / F.size(mine))

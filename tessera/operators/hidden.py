@@ -79,3 +79,58 @@ def reuse(new: Column | str, cached: Column | str, length: Column, least: int =
     can = (p >= least) & (F.startswith(a, b) | F.startswith(b, a)) & (length >= tokens)
     quality = 0.7 * p / F.greatest(F.octet_length(a), F.lit(1)) + 0.3 * p / F.greatest(F.octet_length(b), F.lit(1))
     return F.when(can, F.least(tokens, length)).otherwise(F.lit(0)), F.when(can, F.least(F.lit(1.0), quality)).otherwise(F.lit(0.0))
+
+
+def _tokens(characters: Column) -> Column:
+    return F.ceil(characters / 4).cast("int")
+
+
+def length_reuse(new: Column | str, cached: Column | str, length: Column, most_ratio: float = 2.0, least_overlap: float = 0.3) -> tuple[Column, Column]:
+    """(tokens, quality) of texts of about one length, in bytes, that begin alike: 0.4 of the likeness in length, 0.6 of the common beginning's
+    share of the shorter."""
+    a, b = F.greatest(F.octet_length(column(new)), F.lit(1)), F.greatest(F.octet_length(column(cached)), F.lit(1))
+    p = common_prefix(new, cached)
+    overlap = p / F.least(a, b)
+    can = (F.greatest(a / b, b / a) <= most_ratio) & (overlap >= least_overlap)
+    quality = F.least(F.lit(1.0), (1 - F.abs(a - b) / F.greatest(a, b)) * 0.4 + overlap * 0.6)
+    return F.when(can, F.least(_tokens(p), length)).otherwise(F.lit(0)), F.when(can, quality).otherwise(F.lit(0.0))
+
+
+def semantic_reuse(norm: Column, length: Column, threshold: float = 0.85) -> tuple[Column, Column]:
+    """(tokens, quality) by the pooled state alone: all tokens, with the threshold as quality if its norm is between 0.1 and 10, 0.8 of it
+    otherwise; nothing without a pooled state (null norm)."""
+    quality = F.when((norm > 0.1) & (norm < 10), F.lit(threshold)).otherwise(F.lit(threshold * 0.8))
+    return F.when(norm.isNotNull(), length).otherwise(F.lit(0)), F.when(norm.isNotNull(), quality).otherwise(F.lit(0.0))
+
+
+def hybrid_reuse(parts: list[tuple[Column, Column, float]]) -> tuple[Column, Column]:
+    """(tokens, quality) of weighted strategies (tokens, quality, weight): of those that can reuse anything the tokens of the heaviest (the
+    most of equal ones) and the weighted mean of the qualities."""
+    best = F.greatest(*[F.when(q > 0, F.struct(F.lit(w).alias("w"), t.cast("int").alias("t"))) for t, q, w in parts])
+    weight = sum((F.when(q > 0, w).otherwise(0.0) for _, q, w in parts), F.lit(0.0))
+    quality = sum((F.when(q > 0, q * w).otherwise(0.0) for _, q, w in parts), F.lit(0.0))
+    return F.coalesce(best["t"], F.lit(0)), F.when(weight > 0, quality / weight).otherwise(F.lit(0.0))
+
+
+def adaptive_reuse(new: Column | str, cached: Column | str, by_prefix: tuple, by_length: tuple, by_meaning: tuple) -> tuple[Column, Column]:
+    """The prefix strategy if over half of the shorter text (in bytes) is common, else that of lengths if none is twice the other, else that of meaning."""
+    a, b = F.octet_length(column(new)), F.octet_length(column(cached))
+    shorter, ratio = F.least(a, b), F.greatest(a, F.lit(1)) / F.greatest(b, F.lit(1))
+    begin = (shorter > 0) & (common_prefix(new, cached) / F.greatest(shorter, F.lit(1)) > 0.5)
+    return tuple(F.when(begin, x).when(ratio.between(0.5, 2.0), y).otherwise(z) for x, y, z in zip(by_prefix, by_length, by_meaning))
+
+
+def sliced(matrix: Column | str, dimension: int, start: int, end: int) -> Column:
+    """Rows (dimension 0) or columns (1) start to end - 1 of a matrix (array of arrays); null where it has no such range."""
+    m = column(matrix)
+    size = F.size(m) if dimension == 0 else F.size(m[0])
+    cut = F.slice(m, start + 1, end - start) if dimension == 0 else F.transform(m, lambda r: F.slice(r, start + 1, end - start))
+    return F.when(F.lit(start < end) & (size >= end), cut)
+
+
+def concatenated(a: Column | str, b: Column | str, dimension: int) -> Column:
+    """Two matrices, one below (dimension 0) or beside (1) the other; null where the other dimension differs."""
+    x, y = column(a), column(b)
+    if dimension == 0:
+        return F.when(F.size(x[0]) == F.size(y[0]), F.concat(x, y))
+    return F.when(F.size(x) == F.size(y), F.zip_with(x, y, lambda r, s: F.concat(r, s)))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import words
+from ..functions.text import column, words
 from ..functions.vectors import cosine
 from .ranking import rounded, top_k
 
@@ -60,6 +60,11 @@ def pair_score(query_text: Column | str, text: Column | str, base: float = 0.5)
     return base + F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0)) * (1 - base)
 
 
+def pair_bm25(query_text: Column | str, text: Column | str, average: float = 100.0, k1: float = 1.2, b: float = 0.75) -> Column:
+    """BM25 of a single pair, for documents of so many words on average. Null texts count as empty."""
+    return _bm25(F.coalesce(column(query_text), F.lit("")), F.coalesce(column(text), F.lit("")), F.lit(average), k1, b)
+
+
 def scaled(results: DataFrame, factor: float, k: int = 10, threshold: float = 0.0) -> DataFrame:
     """A reranker that multiplies scores."""
     return finalized(results.withColumn("score", rounded(F.col("score") * factor)), k, threshold)

@@ -59,6 +59,14 @@ def fingerprint(text: Column | str, summary_length: int = 50) -> Column:
     return F.struct(F.xxhash64(t).alias("hash"), F.octet_length(t).alias("bytes"), F.substring(t, 1, summary_length).alias("summary"))
 
 
+def rolling_hash(text: Column | str, base: int = 31) -> Column:
+    """hash = hash * base + code point, over a text's characters, modulo 2 ** 64; 0 for an empty text. So the hash of a text and one
+    more character follows from the text's."""
+    codes = F.transform(F.filter(F.split(column(text), ""), lambda c: c != ""), lambda c: F.ascii(c))
+    step = lambda acc, c: ((acc * F.lit(base).cast("decimal(4,0)") + c.cast("decimal(10,0)")) % F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.aggregate(codes, F.lit(0).cast("decimal(20,0)"), step)
+
+
 def prefix_lengths(text: Column | str, least: int = 16, step: int = 16) -> Column:
     """least, least + step, ... and the text's own length; only the latter for a text not longer than `least`."""
     n = F.length(column(text))

@@ -122,6 +122,39 @@ def distill_inactive(spark, d):
     return D.inactive(D.candidates(log(spark, d)), "2026-01-01 00:00:00", 90 * 86400).select("pattern")
 
 
+@query(f"with {_PAIRS}, per as (select pattern, count(*) as n, sum(coalesce(confidence, 0)) as c from pairs group by 1) select sum(n)::bigint as pairs, count(*) as patterns, round(sum(c) / sum(n), 6) as confidence, round(avg(n), 6) as pairs_per_pattern from per")
+def qa_statistics(spark, d):
+    return D.pair_statistics(D.pairs(log(spark, d)))
+
+
+@query(f"with {_PAIRS} select text as input, answer as output, round(confidence, 6) as confidence from pairs where confidence >= 0.7")
+def qa_export(spark, d):
+    """Pairs sure enough to train on."""
+    return D.exported(D.pairs(log(spark, d)), 0.7)
+
+
+@query(f"with {_PAIRS} select pattern, count(*) as pairs, round(avg(coalesce(confidence, 0)), 6) as confidence from pairs group by 1")
+def qa_pattern_confidence(spark, d):
+    return D.pairs(log(spark, d)).groupBy("pattern").agg(F.count("*").alias("pairs"), rounded(F.avg(F.coalesce("confidence", F.lit(0.0)))).alias("confidence"))
+
+
+@query(f"with {_PAIRS} select pattern, text, answer from pairs where epoch(timestamptz '2025-12-01 00:00:00+00') - floor(epoch(ts)) > 7776000")
+def qa_expired(spark, d):
+    """Pairs more than ninety days old."""
+    return D.expired(D.pairs(log(spark, d)), "2025-12-01 00:00:00", 90 * 86400).select("pattern", "text", "answer")
+
+
+_SIMILAR = f"""{LOG}, ps as (select distinct {_PATTERN} as pattern from log where text is not null), w as (select pattern, list_distinct(string_split(pattern, ' ')) as ws from ps where pattern != ''),
+r as (select unnest(ws) as w, count(*) as n from w group by 1), o as (select pattern, w.ws, list(x.w order by n, x.w) as o from w, unnest(w.ws) x(w) join r on r.w = x.w group by 1, 2), f as (select pattern, ws, unnest(o[1 : len(ws) - ceil(0.9 * len(ws) - 1e-9)::int + 1]) as w from o),
+met as (select distinct a.pattern as first, b.pattern as second, a.ws as x, b.ws as y from f a join f b using (w) where a.pattern < b.pattern), similar_pairs as (select first, second, len(list_intersect(x, y)) / len(list_distinct(x || y)) as similarity from met)"""
+
+
+@query(f"with {_SIMILAR} select first, second, round(similarity, 6) as similarity from similar_pairs where similarity >= 0.9 - 1e-9")
+def query_patterns_similar(spark, d):
+    """Patterns nine tenths of whose words are the same."""
+    return D.similar_patterns(log(spark, d).filter("text is not null").select(D.pattern("text").alias("pattern")), 0.9)
+
+
 _EVAL = f"{EXAMPLES}, x as (select *, len(list_distinct({sql_words('lower(input)')} || {sql_words('lower(output)')})) as u, len(list_intersect(list_distinct({sql_words('lower(input)')}), list_distinct({sql_words('lower(output)')}))) as i from (select coalesce(input, '') as input, coalesce(output, '') as output from examples)), h as (select *, case when u > 0 then i / u >= 0.85 else true end as hit from x), c as (select count(*) as n, count(*) filter (hit) as tp, count(*) filter (not hit and output != '') as fp, count(*) filter (not hit and input != '') as fn from h)"
 
 

@@ -91,6 +91,11 @@ def draft_verify(spark, d):
     return v.select("query_id", F.size("ran").alias("stages"), "verification", rounded(drafts.aggregated("ran", "weighted")).alias("weighted"), "verdict")
 
 
+@query(f"with {_STAGES}, v as (select query_id, {_sql_long('lower(content)', 3)} as mine, {_sql_long(f'lower({_CONTEXT})', 3)} as theirs from drafts) select query_id, round(case when len(mine) = 0 or len(theirs) = 0 then 0.5 else 0.5 + 0.5 * len(list_intersect(mine, theirs)) / len(mine) end, 6)::double as supported from v")
+def draft_supported(spark, d):
+    return _drafts(spark, d).select("query_id", rounded(drafts.supported("content", F.array_join("context", " "))).alias("supported"))
+
+
 # calibration: the answers' confidences against the judgments of their questions ---------------------------------------
 
 

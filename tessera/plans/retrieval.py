@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import ENDINGS, STOP_WORDS, SUFFIXES, stem, terms
 from ..operators import expand, feedback, filters as flt, fusion, rerank, search, sparse
 from ..operators.ranking import rounded, top_k
 from ..registry import query
+from ..sources.scratch import shared_folder
 from ..sources.tables import table
 from .base import ASKED, JUDGMENTS, LOG, SQL_ALNUM, STORE, judgments, log, sql_strings, sql_strip, sql_terms, sql_top, sql_words, store, store_queries
 
@@ -77,18 +80,38 @@ def knn_embeddings(spark, d):
     return search.knn(docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), docs)
 
 
+_INDICES: dict[tuple[str, str], search.VectorIndex] = {}
+
+
+def _index(spark, d) -> search.VectorIndex:
+    """The index of a folder's vectors, built at its first use in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDICES:
+        _INDICES[key] = search.VectorIndex.build(_vectors(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _INDICES[key]
+
+
 @query()
 def knn_index(spark, d):
     """By the inverted-file index over all rows; its recall is measured in the tests."""
-    docs = _vectors(spark, d)
-    centres = search.fit_cells(docs)
-    return search.knn_cells(docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), search.with_cells(docs, centres), centres)
+    return _index(spark, d).search(_vectors(spark, d).filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
-@query()
+@query(f"with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as doc_id, round(list_dot_product(q, embedding::double[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) + 0.0 as score from q, embeddings), k as ({sql_top('s', 10)}) select query_id, count(*) as wanted, true as reached from k group by 1")
+def knn_index_recall(spark, d):
+    """Of how many nearest vectors each query's are found: whether the mean over all queries is at least 0.9, beside the number wanted."""
+    exact = knn_embeddings(spark, d).select("query_id", "doc_id")
+    found = knn_index(spark, d).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    each = exact.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("hits"))
+    mean = each.agg((F.sum("hits") >= 0.9 * F.sum("wanted")).alias("reached"))
+    return each.select("query_id", "wanted").join(F.broadcast(mean))  # one row
+
+
+@query("select count(*) as rows, true as even from embeddings")
 def knn_index_statistics(spark, d):
-    docs = _vectors(spark, d)
-    return search.cell_statistics(search.with_cells(docs, search.fit_cells(docs)))
+    """All rows lie in a cell, and none holds more than a quarter of them where there are sixteen or more."""
+    s = _index(spark, d).statistics()
+    return s.select("rows", ((F.col("most") <= 0.25 * F.col("rows")) | (F.col("cells") < 16)).alias("even"))
 
 
 def _tokens(df: DataFrame, key: str, width: int = 16) -> DataFrame:
@@ -258,6 +281,12 @@ def _keyword_sql(source: str, to: str, k: int = 10) -> str:
 {to} as ({sql_top(to + '_s', k, '*')})"""
 
 
+@query(f"""with {_RESULTS}, w as (select query_id, doc_id, {sql_words('lower(query_text)')} as ts, {sql_words('lower(text)')} as ws from results) select query_id, doc_id, round(coalesce(list_sum(list_transform(list_filter(ts, lambda t: list_contains(ws, t)), lambda t: len(list_filter(ws, lambda w: w = t)) * 2.2 / (len(list_filter(ws, lambda w: w = t)) + 1.2 * (0.25 + 0.75 * len(ws) / 100.0)))), 0), 6)::double as score from w""")
+def rerank_pair_bm25(spark, d):
+    """Every result scored as a pair of texts."""
+    return _results(spark, d).select("query_id", "doc_id", rounded(rerank.pair_bm25("query_text", "text")).alias("score"))
+
+
 def _semantic_sql(source: str, to: str, k: int = 10) -> str:
     cos = "case when list_dot_product(vector, vector) > 0 and list_dot_product(query_vector, query_vector) > 0 then list_dot_product(vector, query_vector) / sqrt(list_dot_product(vector, vector) * list_dot_product(query_vector, query_vector)) else 0 end"
     return f"{to}_s as (select * exclude (score, rank), round(0.5 * score + 0.5 * {cos}, 6) as score from {source}), {to} as ({sql_top(to + '_s', k, '*')})"

@@ -71,6 +71,33 @@ def test_index_recall_on_the_larger_registered_table(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_index_kept_in_a_folder(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)] + [(1000, None), (1001, [1.0]), (None, [0.0] * 8)], "doc_id long, embedding array<float>")
+    q = df.filter("doc_id < 5").withColumnRenamed("doc_id", "query_id")
+    search.VectorIndex.build(df, str(tmp_path / "i"))
+    index = search.VectorIndex.open(spark, str(tmp_path / "i"))
+    assert index.rows().count() == 402 and index.statistics().first().rows == 400
+    found = index.search(q, 3)
+    assert found.filter("rank = 0 and doc_id = query_id").count() == 5
+    index.remove(df.filter("doc_id in (0, 1)"))
+    assert index.search(q, 3).filter("doc_id in (0, 1)").count() == 0 and search.VectorIndex.open(spark, str(tmp_path / "i")).rows().count() == 400
+    index.add(spark.createDataFrame([(7000, [float(v) for v in x[2]])], "doc_id long, embedding array<float>"))
+    assert index.search(q, 3).filter("query_id = 2 and doc_id = 7000").count() == 1
+    new = index.optimize()
+    assert new.version != index.version and new.rows().count() == 401 and search.VectorIndex.open(spark, str(tmp_path / "i")).version == new.version
+    empty = search.VectorIndex.build(df.limit(0), str(tmp_path / "e"))
+    assert empty.search(q, 3).count() == 0
+
+
+def test_queries_in_several_blocks(spark, docs, monkeypatch):
+    q = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(25)] + [(77, [2.0]), (78, None)], "query_id long, embedding array<float>")
+    whole = rows(search.knn(q, docs, 2), "query_id", "doc_id", "score", "rank")
+    monkeypatch.setattr(search, "BLOCK", 4)
+    assert rows(search.knn(q, docs, 2), "query_id", "doc_id", "score", "rank") == whole and len(whole) == 51
+
+
 def test_maxsim_sums_best_tokens(spark):
     q = spark.createDataFrame([("q", 0, [1.0, 0.0]), ("q", 1, [0.0, 1.0])], "query_id string, pos int, vec array<double>")
     d = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.6, 0.8]), ("b", [0.0, 1.0])], "doc_id string, vec array<double>")
