@@ -280,8 +280,8 @@ def structure_conflicts(claims: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def structure_resolutions(claims: DataFrame, key: str = "doc_id") -> DataFrame:
-    """first, second, action, target (a structure): `resolutions` of every pair of structure_conflicts."""
-    return structure_conflicts(claims, key).select("first", "second", F.inline(_actions("long")))
+    """first, second, kind, action, target (a structure): `resolutions` of every pair of structure_conflicts."""
+    return structure_conflicts(claims, key).select("first", "second", "kind", F.inline(_actions("long")))
 
 
 def specificity() -> Column:
@@ -314,3 +314,110 @@ def contested(claims: DataFrame) -> DataFrame:
     """subject, verb, objects (different ones), claims: what the collection says differently about one subject, without forming pairs."""
     p = claims.filter("kind = 'predicate' and not negated and object != ''")
     return p.groupBy(F.col("left").alias("subject"), F.col("operator").alias("verb")).agg(F.count_distinct("object").alias("objects"), F.count("*").alias("claims")).filter("objects > 1")
+
+
+# Words that make a claim of a pattern's kind, wherever they stand in a sentence.
+PATTERNS = {"predicate": ["is", "are", "was", "were"], "comparison": ["greater", "less", "more", "fewer", "equal"], "conditional": ["if", "when", "then"]}
+
+
+def patterned(texts: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """key, pos, place, sentence, kind, operator (the first of the kind's words that the sentence contains, even inside a word), confidence 0.6:
+    a claim for each kind of PATTERNS, whose subject or raw text is the sentence; of a text the first `most`."""
+    s = texts.filter(F.col(text).isNotNull()).select(key, F.posexplode(sentences(text)).alias("pos", "sentence"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind"), F.get(F.filter(literals(ws), lambda w: F.contains(F.lower("sentence"), w)), F.lit(0)).alias("operator")) for i, (k, ws) in enumerate(PATTERNS.items())])
+    rows = s.select(key, "pos", "sentence", F.inline(F.filter(kinds, lambda x: x["operator"].isNotNull()))).withColumn("confidence", F.lit(0.6))
+    if most is not None:
+        from .ranking import first_rows
+
+        rows = first_rows(rows, [key], ["pos", "place"], most, "_n").drop("_n")
+    return rows
+
+
+def grouped(claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per claim structure of the collection (parts in lower case, trimmed): n, texts, first (the least (key, pos))."""
+    whole = [F.coalesce(F.lower(F.trim(p)), F.lit("")).alias(p) for p in PARTS if p != "negated"]
+    return claims.select(key, "pos", "negated", *whole).groupBy(*PARTS).agg(F.count("*").alias("n"), F.count_distinct(key).alias("texts"), F.min(F.struct(key, "pos")).alias("first"))
+
+
+def consistent(texts: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, claims, contested (structures of its own that another of its own contradicts), consistent: whether each text's claims can hold
+    together. Claims are put to sides as in `disputes`, within each text: no pairs are formed."""
+    sided = _sided(claims, key)
+    groups = sided.groupBy(key, "conflict", "about").agg(F.min("side").alias("a"), F.max("side").alias("b")).filter("a <> b").select(key, "conflict", "about")
+    against = sided.join(groups, [key, "conflict", "about"], "left_semi").groupBy(key).agg(F.count_distinct("structure").alias("contested"))
+    n = claims.groupBy(key).agg(F.count("*").alias("claims"))
+    out = texts.select(key).join(n, key, "left").join(against, key, "left").fillna(0, ["claims", "contested"])
+    return out.withColumn("consistent", F.col("contested") == 0)
+
+
+# What is said of a result by status.
+STATUS = {
+    "verified": ("VERIFIED: All claims in the response have been logically verified.", "✓ Verified"),
+    "falsified": ("FALSIFIED: One or more claims in the response are logically inconsistent or contradicted by the evidence.", "✗ Falsified"),
+    "unknown": ("UNKNOWN: The verification could not definitively confirm or deny all claims.", "? Unknown"),
+}
+
+
+def _share(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f%%", (x * 100).cast("double"))
+
+
+def summary(status: Column, claims: Column, verified: Column, falsified: Column, confidence: Column) -> Column:
+    """One sentence about a judged text."""
+    sure = _share(confidence, 0)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return (
+        F.when(status == "verified", text("All ", claims, " claims verified successfully with ", sure, " confidence."))
+        .when(status == "falsified", text(falsified, " of ", claims, " claims falsified. Only ", verified, " claims verified. Confidence: ", sure))
+        .otherwise(text("Verification inconclusive. ", verified, " of ", claims, " claims verified. Confidence: ", sure))
+    )
+
+
+def described() -> Column:
+    """A claim's structure for readers."""
+    join = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("kind")
+    of = lambda name: F.concat(F.lit(f"{name} ("), "operator", F.lit(")"))
+    plain = (
+        F.when(kind == "predicate", join("Predicate:", F.col("left"), F.col("operator"), F.when(F.col("object") != "", F.col("object"))))
+        .when(kind == "comparison", join("Comparison:", F.col("left"), F.col("operator"), F.col("right")))
+        .when(kind == "temporal", join("Temporal:", F.col("left"), F.col("operator"), F.col("right")))
+        .when(kind == "causal", of("Causal"))
+        .when(kind == "modal", of("Modal"))
+        .otherwise("Implication")
+    )
+    return F.when(F.col("negated"), "Negation").otherwise(plain)
+
+
+def counterexample() -> Column:
+    """Why a falsified claim can't hold; null for kinds that say nothing about it."""
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    said = F.concat_ws(" ", "left", "operator", "right")
+    return (
+        F.when(F.col("negated"), F.lit(None).cast("string"))
+        .when(F.col("kind") == "comparison", join("The comparison '", said, "' cannot be satisfied with the given constraints."))
+        .when(F.col("kind") == "temporal", join("The temporal relationship '", said, "' is contradicted by the context."))
+        .when(F.col("kind") == "implies", "The implication is falsified because the premise is true but the conclusion is false.")
+        .when(F.col("kind") == "causal", "The causal relationship is not supported by the evidence.")
+    )
+
+
+def explained(texts: DataFrame, key: str = "doc_id", text: str = "text", most: int = 10, detailed: int = 5) -> DataFrame:
+    """key, summary, explanation of every text as judged: its status, the shares of its claims by verdict, and its first `detailed` claims. A
+    text's claims, at most `most`, are put together in one row."""
+    j = judged(texts, key, text, most)
+    c = extracted(texts, key, text, most).filter(F.col("confidence") >= 0.5).withColumn("v", verdict())
+    label = F.element_at(F.create_map(*[F.lit(x) for k, v in STATUS.items() for x in (k, v[1])]), F.col("v"))
+    why = F.when(F.col("v") == "falsified", counterexample())
+    detail = F.concat(F.lit('**Text:** "'), "sentence", F.lit('"\n**Structure:** '), described(), F.lit("\n**Status:** "), label, F.coalesce(F.concat(F.lit("\n**Explanation:** "), why), F.lit("")))
+    per = c.select(key, "pos", detail.alias("d")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]).alias("ds"))
+    out = j.join(per, key, "left").withColumn("ds", F.coalesce("ds", F.array().cast("array<string>")))
+    line = lambda name, n: F.concat(F.lit(f"- {name}: "), n.cast("string"), F.lit("/"), F.col("claims").cast("string"), F.lit(" ("), _share(n / F.col("claims"), 1), F.lit(")"))
+    counts = F.concat_ws("\n", line("Verified", F.col("verified")), line("Falsified", F.col("falsified")), line("Unknown", F.col("claims") - F.col("verified") - F.col("falsified")))
+    sure = F.concat(F.lit("## Confidence Analysis\nOverall confidence: "), _share(F.col("confidence"), 1), F.lit("\n"), F.when(F.col("claims") > 0, counts).otherwise("No claims were extracted for verification."))
+    numbered = F.transform(F.slice("ds", F.lit(1), F.lit(detailed)), lambda d, i: F.concat(F.lit("\n### Claim "), (i + 1).cast("string"), F.lit("\n"), d))
+    more = F.when(F.size("ds") > detailed, F.concat(F.lit("\n... and "), (F.size("ds") - detailed).cast("string"), F.lit(" more claims not shown."))).otherwise("")
+    details = F.when(F.size("ds") > 0, F.concat(F.lit("\n\n## Claim Details\n"), F.array_join(numbered, ""), more)).otherwise("")
+    status = F.element_at(F.create_map(*[F.lit(x) for k, v in STATUS.items() for x in (k, v[0])]), F.col("status"))
+    whole = F.concat(F.lit("## Verification Status\n"), status, F.lit("\n\n"), sure, details)
+    return out.select(key, summary(F.col("status"), F.col("claims"), F.col("verified"), F.col("falsified"), F.col("confidence")).alias("summary"), whole.alias("explanation"))

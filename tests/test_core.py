@@ -313,12 +313,17 @@ def test_dependency_triples(spark):
     assert rows(claims.conflicts(as_claims(triples(df))), "first", "second", "kind") == [(0, 1, "predicate")]
 
 
-def test_entities_and_relations():
-    found = graph.entities_of("Ada Lovelace works for Analytical Company. Rust uses LLVM! ok")
-    assert found[0] == ("Ada Lovelace", "organization") and ("Rust", "technology") in found
-    assert graph.relation_of("Ada Lovelace works for Analytical Company", "Ada Lovelace", "Analytical Company")[0] == "works_for"
-    assert graph.relation_of("Rust was created by Graydon", "Rust", "Graydon") == ("created_by", False)
-    assert graph.relation_of("Rust; Graydon", "Rust", "Graydon") is None
+def test_entities_and_relations(spark):
+    df = spark.createDataFrame([("a", "Ada Lovelace works for Analytical Company. Rust uses LLVM! ok"), ("b", "Rust was created by Graydon"), ("c", "Rust; Graydon"), ("d", None), ("e", ""), (None, "Rust")], "doc_id string, text string")
+    found = rows(graph.entities(df), "doc_id", "pos", "name", "type")
+    assert found[0] == ("a", 0, "Ada Lovelace", "organization") and ("a", 2, "Rust", "technology") in found and {x[0] for x in found} == {"a", "b", "c"}
+    got = rows(graph.relations(df), "doc_id", "src", "dst", "type")
+    assert ("a", "Ada Lovelace", "Analytical Company", "works_for") in got and ("b", "Graydon", "Rust", "created_by") in got and not any(x[0] == "c" for x in got)
+    vertices, edges = graph.indexed(df)
+    assert rows(vertices.filter("name = 'Rust'"), "type", "texts") == [("technology", 3)] and edges.filter("type = 'created_by'").count() == 1
+    ends = graph.related(vertices, edges, "rust", 1).join(vertices.select(F.col("id").alias("end"), "name"), "end")
+    assert {r.name for r in ends.collect()} == {"Rust", "LLVM", "Graydon"}
+    assert graph.indexed(df.limit(0))[0].count() == 0
 
 
 def test_graph(spark):
