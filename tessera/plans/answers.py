@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import calibration, claims, drafts
+from ..operators import calibration, claims, drafts, search
 from ..operators.ranking import rounded
 from ..registry import query
-from .base import JUDGMENTS, LOG, SQL_SPACE, judgments, log, sql_sentences, sql_strings, sql_words, store_queries
-from .retrieval import _RESULTS, _results
+from .base import JUDGMENTS, LOG, SQL_SPACE, STORE, judgments, log, sql_sentences, sql_strings, sql_words, store, store_queries
+from .knowledge import _VERDICT, claims_sql
+from .retrieval import _RESULTS, _results, arriving, results_sql
 
 
 def _drafts(spark, d) -> DataFrame:
@@ -135,7 +136,11 @@ def calibration_temperature(spark, d):
     return _outcomes(spark, d).filter("predicted is not null").select("query_id", rounded(calibration.by_temperature(F.col("predicted"), 1.5)).alias("calibrated"))
 
 
-@query()
+_PLATT = f"""with recursive {_KNOWN}, ce as (select floor(greatest(0, least(1, predicted)) * 10000) as cell, avg(predicted) as x, count(*) as n, count(*) filter (correct) as k from known group by 1), total as (select sum(n) as t from ce),
+fit(i, a, b) as (select 0, 1.0::double, 0.0::double union all select i + 1, a - 0.1::double * sum((n / (1 + exp(-(a * x + b))) - k) * x) / any_value(t), b - 0.1::double * sum(n / (1 + exp(-(a * x + b))) - k) / any_value(t) from fit, ce, total where i < 100 group by i, a, b)"""
+
+
+@query(f"{_PLATT} select query_id, round(1 / (1 + exp(-(a * greatest(0, least(1, predicted)) + b))), 6) as calibrated from known, fit where i = 100")
 def calibration_platt(spark, d):
     rows = _outcomes(spark, d)
     a, b = calibration.fit_platt(rows)
@@ -173,9 +178,19 @@ def answered(queries: DataFrame, results: DataFrame, fast: float = 0.95, skip: f
     return done.unionByName(judged)
 
 
-@query()
+_REVISED = "case when len(context) > 0 then 'Based on the available information: ' || array_to_string(list_transform(context[1:3], lambda t: left(t, 100)), ' ... ') || chr(10) || chr(10) || content else content end || case when len(issues) > 0 then chr(10) || chr(10) || '[Revision notes: ' || array_to_string(issues, '; ') || ']' else '' end"
+_PIPELINE = f"""{_SPECULATED.replace(_RESULTS, results_sql(5))}, q as (select *, coalesce(list_max(scores), 0) as best from speculated),
+pa as (select *, case when best >= 0.95 or decision = 'accept' then content when decision = 'revise' then {_REVISED} else 'I cannot provide a reliable answer based on the available information.' end as said, case when best >= 0.95 then best when decision = 'accept' then confidence when decision = 'revise' then speculation + 0.1 else 0.2 end as sure,
+case when best >= 0.95 then 'fast' when speculation >= 0.9 then 'speculated' else 'judged' end as stage from q),
+whole as (select query_id as doc_id, concat_ws(' ', said, array_to_string(context, ' ')) as text from pa where stage = 'judged'), {claims_sql('whole').replace('s as (', 'sn as (', 1).replace(' from s),', ' from sn),', 1)},
+jf as (select *, {_VERDICT} as v from (select * from claims qualify row_number() over (partition by doc_id order by pos) <= 10)), jg as (select doc_id, count(*) filter (confidence >= 0.5) as n, count(*) filter (confidence >= 0.5 and v = 'verified') as verified, count(*) filter (confidence >= 0.5 and v = 'falsified') as falsified from jf group by 1),
+pipeline as (select query_id, said as answer, round(case when stage = 'judged' then (sure + round(case when n > 0 then verified / n else 0.5 end, 6)) / 2 else sure end, 6)::double as confidence, case stage when 'fast' then 'search' when 'speculated' then 'search,speculation' else 'search,speculation,judge' end as layers,
+case when stage = 'judged' then case when n is null then 'unknown' when falsified > 0 then 'falsified' when verified = n then 'verified' else 'unknown' end end as status from pa left join jg on doc_id = query_id)"""
+
+
+@query(f"with {_PIPELINE} select * from pipeline")
 def pipeline(spark, d):
-    """Search, draft, speculation and judge over the query set, hybrid results as the context."""
+    """Search, draft, speculation and judge over the query set, the results of vector search as the context."""
     return answered(store_queries(spark, d), _results(spark, d, 5))
 
 
@@ -189,6 +204,57 @@ def chunks(answers: DataFrame, size: int = 50) -> DataFrame:
     return e.select("query_id", F.posexplode("events").alias("chunk", "e"), F.size("events").alias("n")).select("query_id", "chunk", "e.kind", "e.content", rounded((F.col("chunk") + 1) / F.col("n")).alias("progress"))
 
 
-@query()
+_CHUNKS = f"""with {_PIPELINE}, ce as (select query_id, [{{'kind': 'started', 'content': ''}}] || list_transform(string_split(layers, ','), lambda l: {{'kind': 'layer_done', 'content': l}}) || list_transform(range(0, greatest(1, ceil(length(answer) / 50)::int)), lambda i: {{'kind': 'text', 'content': substring(answer, (i * 50 + 1)::int, 50)}}) || [{{'kind': 'finished', 'content': confidence::varchar}}] as es from pipeline)
+select query_id, c - 1 as chunk, es[c].kind as kind, es[c].content as content, round(c / len(es), 6) as progress from ce, unnest(range(1, len(es) + 1)) r(c)"""
+
+
+@query(_CHUNKS)
 def pipeline_chunks(spark, d):
     return chunks(pipeline(spark, d))
+
+
+@query(_CHUNKS)
+def stream_pipeline(spark, d):
+    """Queries that arrive in files, answered batch by batch as events."""
+    docs = store(spark, d)
+
+    def work(asked: DataFrame) -> DataFrame:
+        listed = search.knn(asked, docs, 5)
+        texts = listed.join(docs.select("doc_id", "text", F.col("embedding").alias("vector")), "doc_id").join(asked.select("query_id", F.col("text").alias("query_text"), F.col("embedding").alias("query_vector")), "query_id")
+        return chunks(answered(asked, texts))
+
+    return arriving(spark, store_queries(spark, d), work)
+
+
+def search_chunks(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk, kind, content, score: a search replayed as events: started, each result by its rank (its key as content), done."""
+    each = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("rs"))  # at most k a query
+    e = queries.select("query_id").join(each, "query_id", "left").withColumn("rs", F.coalesce("rs", F.array().cast(each.schema["rs"].dataType)))
+    event = lambda kind, content, score: F.struct(F.lit(kind).alias("kind"), content.cast("string").alias("content"), score.cast("double").alias("score"))
+    events = F.concat(F.array(event("search_started", F.lit(""), F.lit(None))), F.transform("rs", lambda r: event("result", r["doc_id"], r["score"])), F.array(event("search_done", F.size("rs"), F.lit(None))))
+    return e.select("query_id", F.posexplode(events).alias("chunk", "e")).select("query_id", "chunk", "e.*")
+
+
+@query(f"""with {_RESULTS}, sg as (select asked.query_id, coalesce(list({{'kind': 'result', 'content': doc_id, 'score': score}} order by rank) filter (doc_id is not null), []) as rs from asked left join results on results.query_id = asked.query_id group by 1),
+se as (select query_id, [{{'kind': 'search_started', 'content': '', 'score': null}}] || rs || [{{'kind': 'search_done', 'content': len(rs)::varchar, 'score': null}}] as es from sg) select query_id, c - 1 as chunk, es[c].kind as kind, es[c].content as content, es[c].score as score from se, unnest(range(1, len(es) + 1)) r(c)""")
+def pipeline_search_chunks(spark, d):
+    return search_chunks(_results(spark, d), store_queries(spark, d))
+
+
+def verification_chunks(texts: DataFrame, key: str = "doc_id", most: int = 10) -> DataFrame:
+    """key, chunk, kind, content: a judgment replayed as events: started, each of the first `most` claims as found and with its verdict, done with the status."""
+    c = claims.extracted(texts, key, "text", most).select(key, F.struct("pos", "sentence", claims.verdict().alias("v")).alias("c"))
+    each = c.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    j = claims.judged(texts, key, "text", most).select(key, "status").join(each, key, "left").withColumn("cs", F.coalesce("cs", F.array().cast(each.schema["cs"].dataType)))
+    event = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    middle = F.flatten(F.transform("cs", lambda x: F.array(event("claim_found", x["sentence"]), event("claim_judged", x["v"]))))
+    events = F.concat(F.array(event("verification_started", F.lit(""))), middle, F.array(event("verification_done", F.col("status"))))
+    return j.select(key, F.posexplode(events).alias("chunk", "e")).select(key, "chunk", "e.*")
+
+
+@query(f"""with {STORE}, {claims_sql('store')}, vf as (select *, {_VERDICT} as v from (select * from claims qualify row_number() over (partition by doc_id order by pos) <= 10)),
+vg as (select doc_id, flatten(list([{{'kind': 'claim_found', 'content': sentence}}, {{'kind': 'claim_judged', 'content': v}}] order by pos)) as cs, count(*) filter (confidence >= 0.5) as n, count(*) filter (confidence >= 0.5 and v = 'verified') as verified, count(*) filter (confidence >= 0.5 and v = 'falsified') as falsified from vf group by 1),
+ve as (select doc_id, [{{'kind': 'verification_started', 'content': ''}}] || coalesce(cs, []) || [{{'kind': 'verification_done', 'content': case when cs is null then 'unknown' when falsified > 0 then 'falsified' when verified = n then 'verified' else 'unknown' end}}] as es from store left join vg using (doc_id))
+select doc_id, c - 1 as chunk, es[c].kind as kind, es[c].content as content from ve, unnest(range(1, len(es) + 1)) r(c)""")
+def pipeline_verification_chunks(spark, d):
+    return verification_chunks(store(spark, d))

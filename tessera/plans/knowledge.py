@@ -27,17 +27,22 @@ def _join(tokens: str, a: str, b: str) -> str:
 
 
 _COND_REST = "case " + " ".join(f"when starts_with(lower(sentence), '{w}') then {sql_strip(f'substring(sentence, {len(w) + 1})')}" for w in C.CONDITIONS) + " end"
-_CLAIMS = f"""{STORE}, s as (select doc_id, i - 1 as pos, ss[i] as sentence from (select doc_id, {sql_sentences('text')} as ss from store where text is not null), unnest(range(1, len(ss) + 1)) r(i)),
-t as (select *, {sql_bare('sentence')} as ts, {_COND_REST} as rest from s),
-p as (select *, case when position('then' in rest) > 0 then position('then' in rest) else position(',' in rest) end as cut_at, {_place(list(C.MODALS), 0)} as m, {_place(list(C.CAUSES), 1)} as ca, {_place(list(C.TIMES), 1)} as ti, {_place(list(C.COMPARISONS), 1)} as co, {_place(C.VERBS, 1)} as v from t where len(ts) >= 2),
-i as (select *, ts[m + 1 :] as rs from p), j as (select *, {_place(C.VERBS, 1, 'rs')} as w, case when coalesce(cut_at, 0) > 0 then 'implies' when m is not null then 'modal' when ca is not null then 'causal' when ti is not null then 'temporal' when co is not null then 'comparison' when v is not null then 'predicate' end as kind from i),
-k as (select *, case kind when 'causal' then ca when 'temporal' then ti when 'comparison' then co end as q from j where kind is not null),
+def claims_sql(source: str) -> str:
+    """CTEs from the sentences s to `claims`, of the texts (doc_id, text) of a source."""
+    return f"""s as (select doc_id, i - 1 as pos, ss[i] as sentence from (select doc_id, {sql_sentences('text')} as ss from {source} where text is not null), unnest(range(1, len(ss) + 1)) r(i)),
+c1 as (select *, {sql_bare('sentence')} as ts, {_COND_REST} as rest from s),
+c2 as (select *, case when position('then' in rest) > 0 then position('then' in rest) else position(',' in rest) end as cut_at, {_place(list(C.MODALS), 0)} as m, {_place(list(C.CAUSES), 1)} as ca, {_place(list(C.TIMES), 1)} as ti, {_place(list(C.COMPARISONS), 1)} as co, {_place(C.VERBS, 1)} as v from c1 where len(ts) >= 2),
+c3 as (select *, ts[m + 1 :] as rs from c2), c4 as (select *, {_place(C.VERBS, 1, 'rs')} as w, case when coalesce(cut_at, 0) > 0 then 'implies' when m is not null then 'modal' when ca is not null then 'causal' when ti is not null then 'temporal' when co is not null then 'comparison' when v is not null then 'predicate' end as kind from c3),
+c5 as (select *, case kind when 'causal' then ca when 'temporal' then ti when 'comparison' then co end as q from c4 where kind is not null),
 claims as (select doc_id, pos, sentence, kind,
 case kind when 'implies' then {sql_strip('left(rest, cut_at - 1)')} when 'modal' then case when w is null then array_to_string(rs, ' ') else {_join('rs', '1', 'w - 1')} end when 'predicate' then {_join('ts', '1', 'v - 1')} else {_join('ts', '1', 'q - 1')} end as "left",
 case kind when 'modal' then {_map(C.MODALS)}[ts[m]] when 'causal' then {_map(C.CAUSES)}[ts[q]] when 'temporal' then {_map(C.TIMES)}[ts[q]] when 'comparison' then {_map(C.COMPARISONS)}[ts[q]] when 'predicate' then ts[v] end as operator,
 case kind when 'implies' then {sql_strip("regexp_replace(substring(rest, cut_at), '^,*(?:then)*', '')")} when 'modal' then case when w is not null then rs[w] end when 'predicate' then null else {_join('ts', 'q + 1', 'len(ts)')} end as "right",
 case when kind = 'modal' and w is not null then {_join('rs', 'w + 1', 'len(rs)')} when kind = 'predicate' then {_join('ts', 'v + 1', 'len(ts)')} end as object,
-round(case kind when 'implies' then 0.65::double when 'modal' then 0.6::double when 'causal' then 0.65::double when 'temporal' then 0.7::double when 'comparison' then 0.7::double else least(0.9::double, 0.5::double + least(strlen(sentence) / 200, 0.4::double)) end * case when list_has_any(ts, {sql_strings(C.NEGATIONS)}) then 0.9::double else 1 end, 6) as confidence, list_has_any(ts, {sql_strings(C.NEGATIONS)}) as negated from k)"""
+round(case kind when 'implies' then 0.65::double when 'modal' then 0.6::double when 'causal' then 0.65::double when 'temporal' then 0.7::double when 'comparison' then 0.7::double else least(0.9::double, 0.5::double + least(strlen(sentence) / 200, 0.4::double)) end * case when list_has_any(ts, {sql_strings(C.NEGATIONS)}) then 0.9::double else 1 end, 6) as confidence, list_has_any(ts, {sql_strings(C.NEGATIONS)}) as negated from c5)"""
+
+
+_CLAIMS = f"{STORE}, {claims_sql('store')}"
 
 
 def _claims(spark, d) -> DataFrame:

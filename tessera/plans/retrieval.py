@@ -12,6 +12,7 @@ from ..operators.ranking import rounded, top_k
 from ..registry import query
 from ..sources.scratch import shared_folder
 from ..sources.tables import table
+from ..streaming import flows
 from .base import ASKED, JUDGMENTS, LOG, SQL_ALNUM, STORE, judgments, log, sql_strings, sql_strip, sql_terms, sql_top, sql_words, store, store_queries
 
 METRICS = {
@@ -224,6 +225,21 @@ def sparse_to_dense(spark, d):
     return made.select("id", F.transform("vector", lambda x: rounded(x)).alias("vector"))
 
 
+@query(_knn_sql("cosine"))
+def stream_search(spark, d):
+    """Queries that arrive in files, searched batch by batch."""
+    docs = store(spark, d)
+    return arriving(spark, store_queries(spark, d), lambda batch: search.knn(batch, docs))
+
+
+def arriving(spark, queries: DataFrame, work) -> DataFrame:
+    """The result of work over queries that arrive in four files, one a batch."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    queries.repartition(4).write.parquet(f"{folder}/in")
+    flows.processed(flows.parquet_stream(spark, f"{folder}/in", queries.schema, 1), work, folder).awaitTermination()
+    return flows.results(spark, folder).drop("batch")
+
+
 # fusion --------------------------------------------------------------------------------------------------------------
 
 
@@ -270,7 +286,11 @@ def _results(spark, d, k: int = 20) -> DataFrame:
     return listed.join(docs.select("doc_id", "text", F.col("embedding").alias("vector")), "doc_id").join(asked.select("query_id", F.col("text").alias("query_text"), F.col("embedding").alias("query_vector")), "query_id")
 
 
-_RESULTS = f"{STORE}, {ASKED}, {_pairs()}, {_scores('cosine')}, a as ({sql_top('scored', 20)}), results as (select a.*, coalesce(store.text, '') as text, coalesce(asked.text, '') as query_text, asked.embedding as query_vector, store.embedding as vector from a join store using (doc_id) join asked using (query_id))"
+def results_sql(k: int = 20) -> str:
+    return f"{STORE}, {ASKED}, {_pairs()}, {_scores('cosine')}, a as ({sql_top('scored', k)}), results as (select a.*, coalesce(store.text, '') as text, coalesce(asked.text, '') as query_text, asked.embedding as query_vector, store.embedding as vector from a join store using (doc_id) join asked using (query_id))"
+
+
+_RESULTS = results_sql()
 
 
 def _keyword_sql(source: str, to: str, k: int = 10) -> str:

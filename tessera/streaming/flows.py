@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -14,6 +15,22 @@ def parquet_stream(spark: SparkSession, folder: str, schema, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], folder: str, name: str = "processed") -> StreamingQuery:
+    """Runs work (a search, a pipeline: any function of a plain DataFrame) on all rows that have arrived, batch by batch, and ends. A batch's
+    result is written below folder/out under the batch's number, so a batch that is repeated after a failure replaces its own; what
+    was read is kept in folder/progress, so a later call goes on where this one ended. See `results`."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        work(rows).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return stream.writeStream.queryName(name).foreachBatch(batch).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """All batches' rows, with the batch's number."""
+    return spark.read.parquet(f"{folder}/out")
+
+
 def windowed(events: DataFrame, ts: str, by: list[str], size: str, slide: str | None = None, late: str = "1 hour", value: str | None = None) -> DataFrame:
     """start, end, by..., n, total per tumbling (or, with `slide`, sliding) window; rows later than `late` are dropped by a stream."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
