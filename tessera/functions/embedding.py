@@ -11,10 +11,12 @@ from .vectors import normalize
 
 
 def hashed(text: Column | str, dimension: int = 64) -> Column:
-    """A unit vector that depends on the text alone (not on its meaning); null stays null."""
+    """A unit vector that depends on the text alone (not on its meaning); null stays null. Eight numbers come of one MD5 sum, of the text and
+    the sum's place: four hexadecimal digits each, as -1 to 1."""
     t = column(text)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.pmod(F.xxhash64(t, i), F.lit(10_000)) / 5000 - 1)
-    return F.when(t.isNotNull(), normalize(raw))
+    sums = F.transform(F.sequence(F.lit(0), F.lit((dimension - 1) // 8)), lambda b: F.md5(F.concat(t, F.lit("|"), b.cast("string")).cast("binary")))
+    digits = F.flatten(F.transform(sums, lambda m: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(m, 4 * i + 1, F.lit(4)), 16, 10).cast("double") / 32767.5 - 1)))
+    return F.when(t.isNotNull(), normalize(F.slice(digits, 1, dimension)))
 
 
 def token_vectors(texts: DataFrame, key: str, text: str, dimension: int = 16) -> DataFrame:

@@ -86,6 +86,12 @@ def binary_words(v: Column | str, bits: int = 32) -> Column:
     return F.transform(place, lambda w: F.aggregate(F.reverse(F.slice(signs, w * bits + 1, F.lit(bits))), F.lit(0).cast("bigint"), lambda acc, b: acc * 2 + b))
 
 
+def binary_dequantize(words: Column, size: Column, bits: int = 32) -> Column:
+    """1 for every bit of binary_words that is set, -1 for the others."""
+    bit = lambda i: F.pmod(F.floor(F.get(words, F.floor(i / bits).cast("int")) / F.pow(F.lit(2.0), i % bits)), F.lit(2))
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(bit(i) == 1, 1.0).otherwise(-1.0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
 

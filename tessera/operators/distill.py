@@ -151,6 +151,30 @@ def compared(teacher: Column, student: Column) -> Column:
     return F.struct(retention.alias("retention"), speedup.alias("speedup"), compression.alias("compression"), quality.alias("quality"))
 
 
+def stale(models: DataFrame, as_of: str, seconds: int, last: str = "last_used") -> DataFrame:
+    """models with active: whether each was used within so many seconds before."""
+    idle = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(last)
+    return models.withColumn("active", F.coalesce(idle <= seconds, F.lit(False)))
+
+
+def registry_statistics(models: DataFrame) -> DataFrame:
+    """models, active, uses (of all), latency and accuracy (means over the active ones; 0 without any)."""
+    on = F.col("active")
+    mean = lambda c: rounded(F.coalesce(F.avg(F.when(on, F.col(c))), F.lit(0.0)))
+    return models.agg(F.count("*").alias("models"), F.count_if(on).alias("active"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), mean("latency").alias("latency"), mean("accuracy").alias("accuracy"))
+
+
+def turns(requests: DataFrame, models: DataFrame, pattern_: str = "pattern", order: str = "ts") -> DataFrame:
+    """requests (their pattern and order) with the model whose turn it is: the models of a pattern (by name) take turns. Requests are numbered
+    within hours and the hours' counts summed, so a pattern that a third of the requests have is numbered in pieces."""
+    names = models.groupBy(pattern_).agg(F.array_sort(F.collect_set("model")).alias("names"))  # a pattern's few models
+    hour = requests.withColumn("_h", F.floor(F.unix_timestamp(order) / 3600))
+    local = hour.withColumn("_n", F.row_number().over(W.partitionBy(pattern_, "_h").orderBy(order, *[c for c in requests.columns if c not in (pattern_, order)])) - 1)
+    before = hour.groupBy(pattern_, "_h").agg(F.count("*").alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(W.partitionBy(pattern_).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    at = F.col("_n") + F.col("_before")
+    return local.join(before, [pattern_, "_h"]).join(names, pattern_).select(*requests.columns, F.get("names", F.pmod(at, F.size("names")).cast("int")).alias("model"))
+
+
 def best_models(models: DataFrame, by: str = "accuracy") -> DataFrame:
     """One model per pattern of (pattern, model, accuracy, latency, uses): by accuracy, latency or uses; ties by name."""
     order = {"accuracy": F.col("accuracy").desc(), "latency": F.col("latency").asc(), "uses": F.col("uses").desc()}[by]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import distill as D, service as S
@@ -72,6 +74,45 @@ def store_snapshot(spark, d):
     return T.restore(spark, folder, T.snapshot(store(spark, d).select("doc_id", "text", "title", "source"), folder))
 
 
+@query(f"with {_HALVES} select * from old where doc_id in (select doc_id from new)")
+def store_get(spark, d):
+    old, new = _halves(spark, d)
+    return T.get(old, new, "doc_id")
+
+
+@query(f"with {_HALVES} select old.doc_id, new.text from old join new using (doc_id) union all select * from old where doc_id not in (select doc_id from new)")
+def store_update(spark, d):
+    """The rows of one half with the texts of the other where it has any."""
+    old, new = _halves(spark, d)
+    return T.update_vectors(old, new, "doc_id", "text")
+
+
+@query(f"with {STORE} select doc_id, text from store where metadata['lang'] is distinct from 'fr'")
+def store_compacted(spark, d):
+    from ..sources.scratch import shared_folder
+
+    return T.compacted(_halves(spark, d)[0], f"{shared_folder(spark)}/compacted-{uuid.uuid4().hex}", by="doc_id")
+
+
+@query(f"with {STORE} select doc_id, text, title, metadata from store")
+def store_json(spark, d):
+    """All records written as JSON and read back."""
+    from ..sources.scratch import shared_folder
+
+    folder, rows = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}", store(spark, d).select("doc_id", "text", "title", "metadata")
+    T.export_json(rows, folder)
+    return T.import_json(spark, folder, rows.schema)
+
+
+@query("select status, count(*) as n from (select case when content is null then 'dimension' when row_number() over (partition by id order by (content is not null) desc) > 1 then 'duplicate' else 'ok' end as status from store_docs where id is not null) group by 1")
+def store_index_batch(spark, d):
+    """What becomes of the rows when they are embedded and indexed as a batch."""
+    from ..functions.embedding import hashed
+
+    docs = T.table(spark, d, "store_docs").filter("id is not null").select("id", "content")
+    return T.with_vectors(docs, "id", "content", lambda t: hashed(t, 16), 16).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # distillation -------------------------------------------------------------------------------------------------------------
 
 _PATTERN = f"array_to_string({sql_words(f'''regexp_replace(lower(text), '[^{SQL_ALNUM}{SQL_SPACE}]+', '', 'g')''')}, ' ')"
@@ -180,6 +221,38 @@ def _register_models() -> None:
 
 _register_models()
 
+_USED = "used as (select 'm' || (user_id % 7) as model, round(avg(value), 6) as accuracy, round(avg(case when event_type = 'error' then value + 1 else value end), 6) as latency, count(*) as uses, max(ts) as last_used from events where event_type in ('error', 'purchase') group by 1)"
+
+
+def _used(spark, d) -> DataFrame:
+    e = T.table(spark, d, "events").filter("event_type in ('error', 'purchase')")
+    return e.groupBy(F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("model")).agg(rounded(F.avg("value")).alias("accuracy"), rounded(F.avg(F.when(F.col("event_type") == "error", F.col("value") + 1).otherwise(F.col("value")))).alias("latency"), F.count("*").alias("uses"), F.max("ts").alias("last_used"))
+
+
+@query(f"with {_USED}, a as (select *, epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(last_used)) <= 90000 as active from used) select count(*) as models, count(*) filter (active) as active, sum(uses)::bigint as uses, round(coalesce(avg(latency) filter (active), 0), 6) as latency, round(coalesce(avg(accuracy) filter (active), 0), 6) as accuracy from a")
+def model_statistics(spark, d):
+    return D.registry_statistics(D.stale(_used(spark, d), "2024-01-31 00:00:00", 90_000))
+
+
+@query(f"with {_MODELS}, n as (select pattern, list(model order by model) as names from models group by 1) select event_id, event_type as pattern, names[(row_number() over (partition by event_type order by ts, event_id) - 1) % len(names) + 1] as model from events join n on pattern = event_type")
+def model_select_turns(spark, d):
+    """Every event's model, the models of a kind of event taking turns."""
+    e = T.table(spark, d, "events").select("event_id", F.col("event_type").alias("pattern"), "ts")
+    return D.turns(e, _models(spark, d)).select("event_id", "pattern", "model")
+
+
+_RATIO = "case when {1} > 0 then {0} / {1} else 0 end"
+
+
+@query(f"with {_MODELS}, t as (select * from models qualify row_number() over (partition by pattern order by accuracy desc, model) = 1), r as (select m.pattern, m.model, {_RATIO.format('m.accuracy', 't.accuracy')} as retention, {_RATIO.format('t.latency', 'm.latency')} as speedup, {_RATIO.format('t.uses', 'm.uses')} as compression from models m join t using (pattern)) select *replace (round(retention, 6) as retention, round(speedup, 6) as speedup, round(compression, 6) as compression), round(retention * 0.5 + least(speedup / 10, 1) * 0.3 + least(compression / 10, 1) * 0.2, 6) as quality from r")
+def distill_compared(spark, d):
+    """Every model against the surest of its pattern."""
+    m = _models(spark, d)
+    side = lambda df: df.select("pattern", "model", F.struct("accuracy", F.col("latency").alias("latency_ms"), F.col("uses").alias("size")).alias("m"))
+    pairs = side(m).join(side(D.best_models(m)).select("pattern", F.col("m").alias("t")), "pattern")
+    return pairs.select("pattern", "model", D.compared(F.col("t"), F.col("m")).alias("c")).select("pattern", "model", *[rounded(F.col(f"c.{x}")).alias(x) for x in ("retention", "speedup", "compression", "quality")])
+
+
 _EPOCHS = "epochs as (select event_type as run, date_diff('day', timestamp '2024-01-01', ts) as epoch, round(avg(value), 6) as loss from events group by 1, 2)"
 
 
@@ -237,6 +310,36 @@ def cache_tiers(spark, d):
     return s.groupBy(S.tier(idle, F.col("hits")).alias("tier")).agg(F.count("*").alias("n"))
 
 
+@query(f"with {LOG} select query_id, strlen(text) as bytes, left(text, 20) as summary from log where text is not null")
+def cache_fingerprints(spark, d):
+    """Of every question, without its hash."""
+    f = S.fingerprint("text", 20)
+    return log(spark, d).filter("text is not null").select("query_id", f["bytes"].alias("bytes"), f["summary"].alias("summary"))
+
+
+_AGES = f"with s as (select {_PATTERN} as k, epoch(timestamptz '2025-12-31 00:00:00+00') - floor(epoch(min(ts))) as age, epoch(timestamptz '2025-12-31 00:00:00+00') - floor(epoch(max(ts))) as idle from query_log where text is not null and ts is not null group by 1)"
+
+
+@query(f"{_AGES} select age > 17280000 or idle > 7776000 as gone, count(*) as n from s group by 1")
+def cache_invalidated(spark, d):
+    """How many questions' entries are too old or too long unused at the end of the year."""
+    s = T.table(spark, d, "query_log").filter("text is not null and ts is not null").groupBy(D.pattern("text").alias("k")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    since = lambda c: F.unix_timestamp(F.lit("2025-12-31 00:00:00").cast("timestamp")) - F.unix_timestamp(c)
+    return s.groupBy(S.invalid(since("a"), since("b"), most_age=17280000, most_idle=7776000).alias("gone")).agg(F.count("*").alias("n"))
+
+
+@query(f"{_AGES} select k, idle from s where idle <= 7776000")
+def cache_persisted(spark, d):
+    """The entries that are left when the cache is written, read again and cleared of what was long unused."""
+    from ..sources.scratch import shared_folder
+
+    s = T.table(spark, d, "query_log").filter("text is not null and ts is not null").groupBy(D.pattern("text").alias("k")).agg(F.max("ts").alias("last"))
+    folder = f"{shared_folder(spark)}/cache"
+    entries = T.restore(spark, folder, T.snapshot(s, folder))
+    idle = F.unix_timestamp(F.lit("2025-12-31 00:00:00").cast("timestamp")) - F.unix_timestamp("last")
+    return entries.select("k", idle.alias("idle")).filter(~S.invalid(F.lit(0), F.col("idle"), most_idle=7776000))
+
+
 # windows ------------------------------------------------------------------------------------------------------------------
 
 _BUCKET = "time_bucket(interval '6 hours', ts)"

@@ -349,3 +349,19 @@ def graph_neighbours(spark, d):
     """Nations and regions, both ways."""
     vertices, edges = _star(spark, d)
     return G.directed(G.valid_edges(edges.filter("type = 'part_of'"), vertices))
+
+
+@query(f"with {_EDGES} select src as at, dst as \"to\", type, confidence, row_number() over (partition by src order by confidence desc, dst, type) - 1 as rank from edges qualify row_number() over (partition by src order by confidence desc, dst, type) <= 3")
+def graph_best_neighbours(spark, d):
+    """The three surest steps from every vertex."""
+    return G.best_neighbours(_star(spark, d)[1])
+
+
+_UNMARKED = "regexp_replace(lower(" + sql_strip("sentence") + r"), '[!-/:-@\[-`{-~]+', '', 'g')"
+
+
+@query(f"with {_CLAIMS} select doc_id, pos, array_to_string({sql_words(_UNMARKED)}, ' ') as said from claims")
+def claims_normalized(spark, d):
+    from ..functions.text import normalized
+
+    return _claims(spark, d).select("doc_id", "pos", normalized(F.col("sentence"), True).alias("said"))

@@ -115,6 +115,18 @@ def knn_index_statistics(spark, d):
     return s.select("rows", ((F.col("most") <= 0.25 * F.col("rows")) | (F.col("cells") < 16)).alias("even"))
 
 
+@query("select count(*) filter (label != 0) as rows, 0 as found from embeddings")
+def knn_index_removed(spark, d):
+    """The rows of an index when all vectors of one label are removed from it, and how many of these a search still finds."""
+    docs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    index = search.VectorIndex.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", cells=4)
+    gone = docs.filter("label = 0").select("doc_id")
+    index.remove(gone)
+    found = index.search(docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")).join(gone, "doc_id", "left_semi")
+    n = found.count()
+    return index.rows().agg(F.count("*").alias("rows")).withColumn("found", F.lit(n))
+
+
 def _tokens(df: DataFrame, key: str, width: int = 16) -> DataFrame:
     """A vector's consecutive parts of `width` numbers, as token vectors."""
     return df.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * width + 1, F.lit(width)))).alias("pos", "vec"))
@@ -240,6 +252,16 @@ def arriving(spark, queries: DataFrame, work) -> DataFrame:
     return flows.results(spark, folder).drop("batch")
 
 
+@query(f"with {STORE}, {ASKED}, {_bm25('store', 'asked')} select doc_id, term, round(weight, 6) as weight from weights where doc_id not in (select query_id from asked)")
+def sparse_removed(spark, d):
+    """The encoded store without the records that are queries."""
+    docs = store(spark, d)
+    n, average = sparse.collection(docs)
+    frequencies = sparse.term_frequencies(docs)
+    weights = sparse.encode(frequencies, sparse.fit(frequencies, n), average)
+    return sparse.removed(weights, store_queries(spark, d), "query_id").withColumn("weight", rounded(F.col("weight")))
+
+
 # fusion --------------------------------------------------------------------------------------------------------------
 
 
@@ -509,3 +531,9 @@ def relevance_top_terms(spark, d):
 @query(f"with {STORE} select doc_id, {sql_terms('text')} as terms from store")
 def text_terms(spark, d):
     return store(spark, d).select("doc_id", terms("text").alias("terms"))
+
+
+@query(f"with {_RESULTS}, s as (select query_id, doc_id, round(score * 0.5, 6) as score from results) {sql_top('s', 10, where='score >= 0.2')}")
+def rerank_scaled(spark, d):
+    """Scores halved, and cut off below a fifth."""
+    return rerank.scaled(_results(spark, d), 0.5, 10, 0.2).select("query_id", "doc_id", "score", "rank")

@@ -11,7 +11,7 @@ from ..operators.ranking import rounded
 from ..operators.service import previous
 from ..registry import query
 from ..sources.tables import table
-from .base import LOG, log
+from .base import LOG, log, sql_words
 
 _PAIRS = "p as (select a.vec_id, a.embedding::double[] as a, b.embedding::double[] as b, a.label from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 
@@ -86,6 +86,13 @@ def quantize_binary(spark, d):
     return _pairs(spark, d).select("vec_id", h.alias("hamming"), _r(1 - h / F.size("a")).alias("similarity"))
 
 
+@query("select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1.0::double else -1.0::double end) as back, round(list_sum(list_transform(embedding, lambda x: (x::double - case when x > 0 then 1.0::double else -1.0::double end) ** 2)) / 64, 9) as mse from embeddings")
+def quantize_binary_back(spark, d):
+    """Vectors of signs, out of the packed words, and how far they are from the vectors."""
+    q = table(spark, d, "embeddings").select("vec_id", "embedding", V.binary_dequantize(V.binary_words("embedding"), F.size("embedding")).alias("back"))
+    return q.select("vec_id", "back", _r(V.mse("embedding", "back"), 9).alias("mse"))
+
+
 @query(f"with {_PAIRS}, c as (select vec_id, {_sql_codes(127, 'a')}::double[] as a8, {_sql_codes(127, 'b')}::double[] as b8, {_sql_codes(7, 'a')}::double[] as a4, {_sql_codes(7, 'b')}::double[] as b4, {_sql_scale(7, 'a')} as sa, {_sql_scale(7, 'b')} as sb from p) select vec_id, round(list_dot_product(a8, b8) / sqrt(list_dot_product(a8, a8) * list_dot_product(b8, b8)), 6) + 0.0 as int8_cosine, round(list_dot_product(a4, b4) * sa * sb / greatest(64 * sa * sb, 1), 6) + 0.0 as int4_dot from c")
 def quantized_similarity(spark, d):
     c = _pairs(spark, d).select("vec_id", *[V.quantize(x, n).alias(f"{x}{k}") for x in "ab" for n, k in ((127, 8), (7, 4))])
@@ -233,7 +240,19 @@ def speculative_statistics(spark, d):
     return speculative.statistics(rows, speculative.accepted(F.element_at("t", at), F.element_at("d", at)))
 
 
-@query()
+_DIGITS = "flatten(list_transform(range(2), lambda b: list_transform(range(8), lambda i: ('0x' || substring(md5(text || '|' || b), (4 * i + 1)::int, 4))::int / 32767.5 - 1)))"
+
+
+@query(f"with {LOG}, r as (select query_id, {_DIGITS} as v from log where text is not null) select query_id, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6) + 0.0) as embedding from r union all select query_id, null from log where text is null")
 def embed_hashed(spark, d):
     """A hashed vector for each question of the log, made once for each different text."""
     return embedding.embed(log(spark, d).select("query_id", "text"), "text", lambda t: embedding.hashed(t, 16)).select("query_id", F.transform("embedding", lambda x: _r(x)).alias("embedding"))
+
+
+_CODES = "list_transform(range(16), lambda i: unicode(substring(token, (i % length(token) + 1)::int, 1)) / 127.5 - 1 + 0.1 * sin(pos))"
+
+
+@query(f"with {LOG}, t as (select query_id, p - 1 as pos, ws[p] as token from (select query_id, {sql_words('text')} as ws from log where text is not null), unnest(range(1, len(ws) + 1)) r(p)), r as (select *, {_CODES} as v from t) select query_id, pos, token, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6) + 0.0) as vec from r")
+def embed_tokens(spark, d):
+    """Every word of every question as a vector."""
+    return embedding.token_vectors(log(spark, d).filter("text is not null"), "query_id", "text").withColumn("vec", F.transform("vec", lambda x: _r(x)))

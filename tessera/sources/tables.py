@@ -64,6 +64,33 @@ def missing(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(there, key, "left_anti")
 
 
+def get(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of the keys asked for (each once)."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """A store of the same columns without rows."""
+    return rows.limit(0)
+
+
+def with_vectors(docs: DataFrame, key: str, text: str, provider, dimension: int, existing: DataFrame | None = None, capacity: int = 0) -> DataFrame:
+    """A batch to be indexed: docs with the provider's vector of their text, made once for each different text, and the verdict of `checked`.
+    A text without a vector (null) is `dimension`, as it has none."""
+    from ..functions.embedding import embed
+
+    return checked(embed(docs, text, provider), key, "embedding", dimension, existing, capacity)
+
+
+def compacted(rows: DataFrame, folder: str, rows_per_file: int = 1_000_000, by: str | None = None) -> DataFrame:
+    """The rows written anew in files of at most rows_per_file rows, sorted by `by` within each, and read back: what is left of a store after
+    deletions and many small additions."""
+    files = max(1, -(-rows.count() // rows_per_file))
+    dealt = rows.repartitionByRange(files, by).sortWithinPartitions(by) if by else rows.repartition(files)
+    dealt.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def delete(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_anti")
 
