@@ -320,12 +320,60 @@ def test_entities_and_relations(spark):
     got = rows(graph.relations(df), "doc_id", "src", "dst", "type")
     assert ("a", "Ada Lovelace", "Analytical Company", "works_for") in got and ("b", "Graydon", "Rust", "created_by") in got and not any(x[0] == "c" for x in got)
     vertices, edges = graph.indexed(df)
-    assert rows(vertices.filter("name = 'Rust'"), "type", "texts") == [("technology", 3)] and edges.filter("type = 'created_by'").count() == 1
+    assert ("c", 0, "Rust Graydon", "concept") in found  # one run of capitalized words
+    assert rows(vertices.filter("name = 'Rust'"), "type", "texts") == [("technology", 2)] and edges.filter("type = 'created_by'").count() == 1
     ends = graph.related(vertices, edges, "rust", 1).join(vertices.select(F.col("id").alias("end"), "name"), "end")
     assert {r.name for r in ends.collect()} == {"Rust", "LLVM", "Graydon"}
     assert graph.indexed(df.limit(0))[0].count() == 0
 
 
+def test_matrices_strategies_and_losses_on_odd_inputs(spark):
+    m = lambda *rs: F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rs])
+    a, b = m([1, 2], [3, 4]), m([5, 6, 7], [8, 9, 10])
+    assert one(spark, hidden.sliced(a, 1, 1, 2)) == [[2.0], [4.0]] and one(spark, hidden.sliced(a, 0, 1, 3)) is None
+    assert one(spark, hidden.concatenated(a, b, 1)) == [[1, 2, 5, 6, 7], [3, 4, 8, 9, 10]] and one(spark, hidden.concatenated(a, b, 0)) is None
+    none = F.array().cast("array<array<double>>")
+    assert one(spark, losses.attention_transfer(a, none)) == 0.0 and one(spark, losses.feature_distillation(none, none, [1.0])) == 0.0
+    assert one(spark, losses.feature_distillation(a, a, [1.0, 2.0, 3.0])) == 0.0
+    length = lambda x, y: one(spark, F.struct(*hidden.length_reuse(F.lit(x), F.lit(y), F.lit(99))))
+    assert tuple(length("abcdefgh", "abcdxxxx")) == (1, pytest.approx(0.7)) and tuple(length("ab", "abcdefgh")) == (0, 0.0)
+    assert one(spark, service.rolling_hash(F.lit("é𝄞x"))) == ((233 * 31 + 0x1D11E) * 31 + 120) and one(spark, service.rolling_hash(F.lit(""))) == 0
+    assert one(spark, V.binary_dequantize(V.binary_words(F.array(*[F.lit(x) for x in (1.0, -2.0, 0.0, 3.0)])), F.lit(4))) == [1.0, -1.0, -1.0, 1.0]
+
+
+def test_patterns_similar_pairs_and_turns(spark):
+    from tessera.operators import distill
+
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i j k", "x y", "y x", "", None]
+    got = rows(distill.similar_patterns(spark.createDataFrame([(t,) for t in texts * 2], "pattern string"), 0.8), "first", "second", "similarity")
+    sets = {t: set(t.split()) for t in texts if t}
+    assert got == sorted((p, q, round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6)) for p in sets for q in sets if p < q and len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q]))
+    t0 = dt.datetime(2025, 1, 1)
+    asked = spark.createDataFrame([("p", t0 + dt.timedelta(minutes=25 * i), i) for i in range(9)] + [("none", t0, 99)], "pattern string, ts timestamp, i int")
+    models = spark.createDataFrame([("p", "m2"), ("p", "m1"), ("p", "m3")], "pattern string, model string")
+    assert {r.i: r.model for r in distill.turns(asked, models).collect()} == {i: f"m{i % 3 + 1}" for i in range(9)}
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    made = lambda n: spark.range(n, n + 3).write.mode("append").parquet(str(tmp_path / "in"))
+    for n in (0, 10):
+        made(n)
+        stream = flows.parquet_stream(spark, str(tmp_path / "in"), "id long")
+        flows.processed(stream, lambda df: df.selectExpr("id", "id * 2 as twice"), str(tmp_path / "job")).awaitTermination()
+    assert rows(flows.results(spark, str(tmp_path / "job")), "id", "twice") == [(i, 2 * i) for i in (0, 1, 2, 10, 11, 12)]
+
+
+def test_scratch_folders_need_a_shared_folder_off_local_masters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.sources import scratch
+
+    context = SimpleNamespace(master="spark://x:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None), applicationId="a")
+    with pytest.raises(RuntimeError):
+        scratch.shared_folder(SimpleNamespace(sparkContext=context))
+    assert scratch.cut(spark.range(5)).count() == 5 and scratch.shared_folder(spark) in scratch._made
+
+
 def test_graph(spark):
     v = spark.createDataFrame([(x, x, "T" if x != "E" else "U") for x in "ABCDE"], "id string, name string, type string")
     e = spark.createDataFrame([("A", "B", "r", 0.9), ("B", "C", "r", 0.9), ("C", "D", "r", 0.9), ("A", "E", "r", 0.5), ("A", "X", "r", 1.0)], "src string, dst string, type string, confidence double")
