@@ -114,6 +114,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over at least as many partitions as there are cores: where a table is a few small files, a shuffle of it costs less than
+    what is done to each row. Any larger table is left as it lies."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One row per key (repeated deliveries hold the same values). Rows with a null key are no records and are dropped.
 

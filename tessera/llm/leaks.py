@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Splitter, bitmap, cut, in_bitmap, mix, words
+from .common import Splitter, bitmap, cut, in_bitmap, mix, spread, words
 
 #: Steps that a repetition looks at.
 SAMPLED = 5
@@ -216,7 +216,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     plans = {w: plan_samples(w, edits, recall) for w in sizes}
     passages = cut(wanted.mapInArrow(_passages(sizes, plans, window is None), "h long, item long, passage string").distinct())
     bits = spark.sparkContext.broadcast(bitmap(passages.select("h")))
-    whole = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null and text != ''")
+    whole = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).filter("key is not null and text is not null and text != ''")
     kind = whole.schema["key"].dataType.simpleString()
     schema = f"key {kind}, item long, at long, distance int"
     size = passages.agg(F.sum(F.length("passage") + 64)).first()[0] or 0

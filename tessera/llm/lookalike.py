@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut
+from .common import cut, spread
 
 # Scripts whose letters are looked up in Unicode's table of confusable characters, as ranges of code points.
 SCRIPTS = {"Greek": [(0x370, 0x3FF)], "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA69F)], "Armenian": [(0x530, 0x58F)], "Cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)], "Coptic": [(0x2C80, 0x2CFF)]}
@@ -126,7 +126,7 @@ def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", f
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *(pa.array([x[i] for x in made], pa.int64()) for i in range(4))], [key, "f1", "f2", "s1", "s2"])
 
     kind = df.schema[key].dataType.simpleString()
-    some = df.select(key, text).filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+    some = spread(df.select(key, text)).filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
     hashed = some.mapInArrow(run, f"`{key}` {kind}, f1 long, f2 long, s1 long, s2 long")
     return hashed.select(key, F.struct("f1", "f2").alias("form"), F.struct("s1", "s2").alias("stored"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import one_per_key, table
+from .common import one_per_key, spread, table
 from .frequent import heavy_hitters, query_pattern
 from .leaks import leaked_items
 from .lookalike import look_alike_members, look_alike_pairs, with_canonical
@@ -16,7 +16,7 @@ from .vocabulary import marked_vocabulary, term_divergence
 
 
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "query_log").select(query_pattern("text").alias("query_pattern")).filter("query_pattern != ''")
+    return spread(table(spark, d, "query_log").select("text")).select(query_pattern("text").alias("query_pattern")).filter("query_pattern != ''")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
