@@ -18,11 +18,11 @@ def clean(rows: DataFrame) -> DataFrame:
 
 
 def cells(rows: DataFrame) -> np.ndarray:
-    """[mean prediction, rows, correct rows] by cell, in order: at most CELLS + 1 rows."""
+    """[mean prediction, rows, correct rows, least prediction] by cell, in order: at most CELLS + 1 rows."""
     at = F.floor(clamp(F.col("predicted")) * CELLS)
-    summed = clean(rows).groupBy(at.alias("cell")).agg(F.avg("predicted").alias("x"), F.count("*").alias("n"), F.count_if("correct").alias("k"))
-    found = sorted((r["cell"], r["x"], r["n"], r["k"]) for r in summed.collect())
-    return np.array([r[1:] for r in found], np.float64).reshape(-1, 3)
+    summed = clean(rows).groupBy(at.alias("cell")).agg(F.avg("predicted").alias("x"), F.count("*").alias("n"), F.count_if("correct").alias("k"), F.min("predicted").alias("first"))
+    found = sorted((r["cell"], r["x"], r["n"], r["k"], r["first"]) for r in summed.collect())
+    return np.array([r[1:] for r in found], np.float64).reshape(-1, 4)
 
 
 def fit_platt(rows: DataFrame, rounds: int = 100, rate: float = 0.1) -> tuple[float, float]:
@@ -40,7 +40,7 @@ def fit_platt(rows: DataFrame, rounds: int = 100, rate: float = 0.1) -> tuple[fl
 def fit_isotonic(rows: DataFrame) -> list[tuple[float, float]]:
     """(x, y) of the pooled blocks, x being a block's first prediction; rows of one cell are one block from the start."""
     blocks: list[list[float]] = []
-    for x, n, k in cells(rows):
+    for _, n, k, x in cells(rows):
         blocks.append([x, k / n, n])
         while len(blocks) > 1 and blocks[-2][1] > blocks[-1][1]:
             _, y, m = blocks.pop()

@@ -147,7 +147,17 @@ def calibration_platt(spark, d):
     return rows.filter("predicted is not null").select("query_id", rounded(calibration.by_platt(F.col("predicted"), a, b)).alias("calibrated"))
 
 
-@query()
+# by the greatest convex minorant: a cell's value is the greatest, over beginnings, of the least mean of a stretch around it, and a block begins
+# where the sums of values and outcomes meet
+_ISOTONIC = f"""with {_KNOWN}, ce as (select floor(greatest(0, least(1, predicted)) * 10000) as cell, min(predicted) as x, count(*) as n, count(*) filter (correct) as k from known group by 1),
+o as (select row_number() over (order by cell) as i, x, n, k, sum(n) over (order by cell) as sn, sum(k) over (order by cell) as sk from ce),
+means as (select a.i as j, b.i as e, (b.sk - a.sk + a.k) / (b.sn - a.sn + a.n) as m from o a join o b on b.i >= a.i), least_means as (select j, e, min(m) over (partition by j order by e desc) as m from means),
+fitted as (select o.i, x, n, k, sk, max(m) as y from o join least_means on e = o.i group by all), summed as (select *, sum(n * y) over (order by i) - sk as over from fitted),
+starts as (select x, y from summed qualify i = 1 or abs(lag(over) over (order by i)) < 1e-7), ends as (select x, y from starts union all select 0.0, 0.0 from starts having min(x) > 0 union all select 1.0, 1.0 from starts having max(x) < 1),
+points as (select x, y, lead(x) over (order by x) as x2, lead(y) over (order by x) as y2 from ends), asked as (select query_id, greatest(0.0::double, least(1.0::double, predicted)) as p from known)"""
+
+
+@query(f"{_ISOTONIC} select query_id, round(case when x2 is null then y else y + (p - x) * (y2 - y) / (x2 - x) end, 6) as calibrated from asked asof join points on p >= x")
 def calibration_isotonic(spark, d):
     rows = _outcomes(spark, d)
     return rows.filter("predicted is not null").select("query_id", rounded(calibration.by_isotonic(F.col("predicted"), calibration.fit_isotonic(rows))).alias("calibrated"))
