@@ -73,42 +73,65 @@ def prefix_lengths(text: Column | str, least: int = 16, step: int = 16) -> Colum
     return F.when(n > least, F.array_union(F.sequence(F.lit(least), n, F.lit(step)), F.array(n))).otherwise(F.array(n))
 
 
-def prefix_hits(new: DataFrame, cached: DataFrame, key: str = "query_id") -> DataFrame:
-    """key, length, kind: for each new text the longest cached text (text) of any length that it begins with: `hit` if it is the
-    whole text, else `partial`.
+def _in_order(new: DataFrame, cached: DataFrame) -> DataFrame:
+    """text, new, cached (whether it is among them), part: all distinct texts, sorted by ranges, whose numbers are `part`."""
+    text = lambda df, is_new: df.filter("text is not null and text <> ''").select("text", F.lit(is_new).alias("new"), F.lit(not is_new).alias("cached"))
+    every = text(new, True).unionByName(text(cached, False)).groupBy("text").agg(F.max("new").alias("new"), F.max("cached").alias("cached"))
+    return cut(every.repartitionByRange("text").withColumn("part", F.spark_partition_id()))
 
-    The distinct texts are sorted by ranges. In that order the cached texts a text begins with are those still open, so a
-    task keeps a stack of them; the ones that are open where a range begins are looked up once for each range."""
-    text = lambda df, is_cached: df.filter("text is not null and text <> ''").select("text", F.lit(is_cached).alias("cached"))
-    every = text(new, False).unionByName(text(cached, True)).groupBy("text").agg(F.max("cached").alias("cached"), F.min("cached").alias("only"))
-    parts = cut(every.repartitionByRange("text").withColumn("part", F.spark_partition_id()))
+
+def _opened(parts: DataFrame, side: str) -> dict[int, list[str]]:
+    """For each range the texts of a side that its first text begins with and that come before it, shortest first: one chain of prefixes a range."""
     starts = parts.groupBy("part").agg(F.min("text").alias("start"))
-    begun = parts.filter("cached").select("text").join(F.broadcast(starts), F.startswith("start", F.col("text")) & (F.col("text") < F.col("start")))
-    opened: dict[int, list[str]] = {}
+    begun = parts.filter(side).select("text").join(F.broadcast(starts), F.startswith("start", F.col("text")) & (F.col("text") < F.col("start")))
+    out: dict[int, list[str]] = {}
     for r in begun.select("part", "text").collect():
-        opened.setdefault(r.part, []).append(r.text)
+        out.setdefault(r.part, []).append(r.text)
+    return {part: sorted(texts, key=len) for part, texts in out.items()}
+
+
+def _walked(parts: DataFrame, side: str, visit, schema: str) -> DataFrame:
+    """Goes through each range in order with the stack of a side's texts that the current text begins with; visit(text, new, cached, stack)
+    gives rows (text, number)."""
+    opened = _opened(parts, side)
 
     def run(batches):
         at, stack = None, []
         for b in batches:
-            texts, lengths = [], []
-            for x, is_cached, only, part in zip(*(c.to_pylist() for c in b.columns)):
+            out: list[tuple] = []
+            for x, is_new, is_cached, part in zip(*(c.to_pylist() for c in b.columns)):
                 if part != at:
-                    at, stack = part, sorted(opened.get(part, ()), key=len)
+                    at, stack = part, list(opened.get(part, ()))
                 while stack and not x.startswith(stack[-1]):
                     stack.pop()
-                if is_cached:
-                    stack.append(x)
-                if stack and not only:
-                    texts.append(x)
-                    lengths.append(len(stack[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(lengths, pa.int32())], ["text", "length"])
-
-    met = parts.select("text", "cached", "only", "part").repartition("part").sortWithinPartitions("part", "text").mapInArrow(run, "text string, length int")
-    found = new.select(key, "text").join(met, "text").select(key, "length", (F.col("length") == F.length("text")).alias("w"))
+                out += visit(x, is_new, is_cached, stack)
+                if is_new if side == "new" else is_cached:
+                    if not stack or stack[-1] != x:
+                        stack.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32())], ["text", "number"])
+
+    return parts.select("text", "new", "cached", "part").repartition("part").sortWithinPartitions("part", "text").mapInArrow(run, schema)
+
+
+def prefix_hits(new: DataFrame, cached: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, length, kind: for each new text the longest cached text (text) of any length that it begins with: `hit` if it is the
+    whole text, else `partial`.
+
+    The distinct texts are sorted by ranges. In that order the cached texts a text begins with are those still open, so a
+    task keeps a stack of them; the ones that are open where a range begins are looked up once for each range."""
+    longest = lambda x, is_new, is_cached, stack: [(x, len(x) if is_cached else len(stack[-1]))] if is_new and (is_cached or stack) else []
+    met = _walked(_in_order(new, cached), "cached", longest, "text string, number int")
+    found = new.select(key, "text").join(met, "text").select(key, F.col("number").alias("length"), (F.col("number") == F.length("text")).alias("w"))
     return found.groupBy(key).agg(F.max("length").alias("length"), F.bool_or("w").alias("w")).select(key, "length", F.when(F.col("w"), "hit").otherwise("partial").alias("kind"))
 
 
+def extensions(new: DataFrame, cached: DataFrame) -> DataFrame:
+    """text, n, longest: for each different new text how many cached texts begin with it, itself left out, and the longest one's length; texts
+    without any have no row. In sorted order these follow the text, so a task keeps a stack of the new texts that are still open."""
+    within = lambda x, is_new, is_cached, stack: [(t, len(x)) for t in stack if t != x] if is_cached else []
+    return _walked(_in_order(new, cached), "new", within, "text string, number int").groupBy("text").agg(F.count("*").alias("n"), F.max("number").alias("longest"))
+
+
 def cache_replay(log: DataFrame, key: Column, ts: str = "ts", ttl_seconds: int = 3600) -> DataFrame:
     """kind, n: hits and misses of a cache with time to live and no size limit: a request hits if the same key was put (by its
     last miss or use) less than ttl ago. Only neighbouring uses of a key matter."""

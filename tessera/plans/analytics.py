@@ -297,6 +297,13 @@ def cache_prefixes(spark, d):
     return S.prefix_hits(q.select("query_id", "text"), q.select("text"))
 
 
+@query(f"with {LOG}, t as (select distinct text from log where text is not null and text != '') select a.text, count(*) as n, max(length(b.text))::int as longest from t a join t b on b.text > a.text and b.text < a.text || chr(1114111) and starts_with(b.text, a.text) group by 1")
+def cache_extensions(spark, d):
+    """For each question the longer questions of the log that begin with it."""
+    q = log(spark, d).select("text")
+    return S.extensions(q, q)
+
+
 @query(f"with s as (select {_PATTERN} as k, floor(epoch(ts))::bigint as s, count(*) as n from query_log where ts is not null and text is not null group by 1, 2), g as (select *, s - lag(s) over (partition by k order by s) as gap from s) select sum(n)::bigint as requests, sum((gap is null or gap >= 3600)::int)::bigint as misses, round((sum(n) - sum((gap is null or gap >= 3600)::int)) / sum(n), 6) as hit_rate from g")
 def cache_replay(spark, d):
     """Every row of the log as a request for its pattern."""

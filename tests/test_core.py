@@ -354,6 +354,32 @@ def test_patterns_similar_pairs_and_turns(spark):
     assert {r.i: r.model for r in distill.turns(asked, models).collect()} == {i: f"m{i % 3 + 1}" for i in range(9)}
 
 
+def test_settings_go_to_json_and_back(tmp_path):
+    from tessera.settings import Search, Settings
+
+    s = Settings(search=Search(top_k=3, min_score=0.2))
+    s.to_file(str(tmp_path / "s.json"))
+    assert Settings.from_file(str(tmp_path / "s.json")) == s and Settings.from_json("{}") == Settings()
+    assert Settings.from_json('{"judge": {"most_claims": 4}}').judge.most_claims == 4
+    with pytest.raises(ValueError):
+        Settings.from_json('{"judge": {"other": 4}}')
+
+
+def test_prefixes_and_extensions_over_ranges(spark):
+    import random
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    new, cached = texts[:150] + ["zz", "", None], texts[100:]
+    n = spark.createDataFrame([(i, t) for i, t in enumerate(new)], "query_id int, text string")
+    c = spark.createDataFrame([(t,) for t in cached], "text string")
+    hits = {r.query_id: (r.length, r.kind) for r in service.prefix_hits(n, c).collect()}
+    best = {i: max((len(y) for y in cached if t.startswith(y)), default=0) for i, t in enumerate(new) if t}
+    assert hits == {i: (k, "hit" if k == len(new[i]) else "partial") for i, k in best.items() if k}
+    longer = {t: [len(y) for y in set(cached) if y != t and y.startswith(t)] for t in set(new) if t}
+    assert {r.text: (r.n, r.longest) for r in service.extensions(n, c).collect()} == {t: (len(x), max(x)) for t, x in longer.items() if x}
+
+
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     made = lambda n: spark.range(n, n + 3).write.mode("append").parquet(str(tmp_path / "in"))
     for n in (0, 10):
