@@ -316,6 +316,24 @@ def test_leaks_with_edits_reach_the_recall(spark, edits, window):
     assert got <= true and len(got) >= 0.9 * len(true) and len(true) >= 55
 
 
+def test_edited_leaks_of_the_tables_against_brute_force(spark):
+    from tessera.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    items = {r.item_id: common.words(r.text) for r in spark.read.parquet(f"{folder}/eval_items.parquet").collect() if r.text}
+    docs = {r.doc_id: common.words(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.text}
+    sizes = leaks.window_sizes(max(map(len, items.values())), 10)
+    passages = [(i, w[at : at + n]) for i, w in items.items() if len(w) >= sizes[0] for n in [max(x for x in sizes if x <= len(w))] for at in range(len(w) - n + 1)]
+    true = set()
+    for d, ws in docs.items():
+        there = set(ws)
+        for i, p in passages:  # with two edits at most two words of a passage are not in the text
+            if (d, i) not in true and sum(w not in there for w in p) <= 2 and any(leaks.nearest(ws[at : at + len(p) + 2], p, 2) <= 2 for at in range(len(ws))):
+                true.add((d, i))
+    found = set(rows(queries.p8_edited(spark, folder), "doc_id", "item_id"))
+    assert found <= true and len(found) >= 0.9 * len(true) and len(true) >= 8
+
+
 # look-alike texts ----------------------------------------------------------------------------------------------------
 
 
