@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Splitter, bitmap, cut, in_bitmap, mix, one_per_key
 
 #: Slots of the table of frequencies: about half as many as there are shingles, within these bounds (a task counts in four bytes a slot).
-LEAST_SLOTS, MOST_SLOTS, SLOT_BLOCK = 1 << 20, 1 << 25, 1 << 17
+LEAST_SLOTS, MOST_SLOTS, SLOT_BLOCK = 1 << 23, 1 << 25, 1 << 17
 BLOCK = 64
 #: A list longer than this is met in pieces, pair by pair of pieces.
 HOT = 20_000
