@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -178,30 +179,40 @@ class Languages:
             logs[g] = [float(v - mean) for v in x]
         return cls(names, logs)
 
-    def _word(self, w: str) -> np.ndarray:
+    def _word(self, w: str) -> tuple[np.ndarray, dict]:
+        """(what a word says for each name, n-grams and votes together; its votes for other languages)."""
         if (x := self.known.get(w)) is None:
             if len(self.known) > 200_000:
                 self.known.clear()
             found = [self.grams[g] for g in self._grams(w) if g in self.grams] if w.isalpha() else []
             # n-grams overlap: a word counts as a third of theirs
-            x = self.known[w] = np.sum(found, axis=0) / 3 if found else np.zeros(len(self.names))
+            scores, others = (np.sum(found, axis=0) / 3 if found else np.zeros(len(self.names))), {}
+            for lang in (langs := _VOTES.get(w, ())):
+                if lang in self.names:
+                    scores[self.names.index(lang)] += 2.0 / len(langs)
+                else:
+                    others[lang] = 2.0 / len(langs)
+            x = self.known[w] = scores, others
         return x
 
     def of(self, text: str) -> tuple[str, float]:
-        """(language, how much speaks for it over the next one); ('', 0) if nothing tells."""
+        """(language, how much speaks for it over the next one); ('', 0) if nothing tells. Languages that were not fitted count as the least
+        likely of those that were, and their votes."""
         if lang := script_of(text):
             return lang, 10.0
-        ws = words(text)
-        votes = _small_words(ws)
-        score = {lang: 2.0 * v for lang, v in votes.items()}
-        if self.names and ws:
-            x = np.sum([self._word(w) for w in ws], axis=0)
-            low = float(x.min()) if len(x) > 1 else 0.0
-            score = {lang: score.get(lang, 0.0) + low for lang in score} | {lang: score.get(lang, 0.0) + float(v) for lang, v in zip(self.names, x)}
+        if not (ws := words(text)):
+            return "", 0.0
+        said = [self._word(w) for w in ws]
+        x = np.add.reduce([v for v, _ in said]).tolist() if self.names else []
+        score = dict(zip(self.names, x))
+        low = min(x) if len(x) > 1 else 0.0
+        for _, others in said:
+            for lang, v in others.items():
+                score[lang] = score.get(lang, low) + v
         if not score:
             return "", 0.0
-        first, *others = sorted(score.items(), key=lambda x: (-x[1], x[0]))
-        margin = first[1] - (others[0][1] if others else 0.0)
+        first, *rest = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:2]
+        margin = first[1] - (rest[0][1] if rest else 0.0)
         return (first[0], margin) if margin > 0.5 else ("", 0.0)
 
 
@@ -213,31 +224,54 @@ _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 class Grams:
-    """Numbers of the distinct word n-grams (one to three, with marks for both ends) of a sentence or a whole text."""
+    """Numbers of the distinct word n-grams (up to `most` words, with marks for both ends) of sentences or whole texts, many at a time."""
 
-    def __init__(self):
+    def __init__(self, limit: int = 100_000):
         self.hashes: dict[str, int] = {}
-
-    def __call__(self, ws: list[str], side: int, most: int = 3) -> np.ndarray:
-        if not ws:
-            return np.zeros(0, np.int64)
-        known = self.hashes
-        if len(known) > 400_000:
-            known.clear()
-        h = np.empty(len(ws) + 2, np.uint64)
-        h[0], h[-1] = 1, 2
-        for i, w in enumerate(ws, 1):
-            if (x := known.get(w)) is None:
-                x = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            h[i] = x
-        h = h + np.uint64(side)
-        made = [h[1:-1]]
-        last = h
+        self.known: dict[tuple[str, int], np.ndarray] = {}
+        self.limit = limit
+
+    def __call__(self, text: str, side: int, most: int = 3) -> np.ndarray:
+        if (text, side) not in self.known:
+            self.learn([text], side, most)
+        return self.known[text, side]
+
+    def learn(self, texts, side: int, most: int = 3) -> None:
+        """Keeps the numbers of all texts; what was kept before is dropped where it becomes too much."""
+        texts = [t for t in dict.fromkeys(texts) if (t, side) not in self.known]
+        if len(self.known) + len(texts) > self.limit:
+            self.known.clear()
+        if len(self.hashes) > 400_000:
+            self.hashes.clear()
+        hashes, lengths = [], []
+        for t in texts:
+            ws = words(t)
+            lengths.append(len(ws) + 2)
+            hashes.append(1)
+            for w in ws:
+                if (x := self.hashes.get(w)) is None:
+                    x = self.hashes[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                hashes.append(x)
+            hashes.append(2)
+        if not texts:
+            return
+        h, owner = np.array(hashes, np.uint64) + np.uint64(side), np.repeat(np.arange(len(texts)), lengths)
+        ends = np.cumsum(lengths)
+        inner = np.ones(len(h), bool)
+        inner[ends - 1] = inner[ends - np.array(lengths)] = False
+        made, owners, last = [h[inner]], [owner[inner]], h
         for n in range(1, most):
             last = mix(last[:-1] * _MULTIPLY[n] + h[n:])
-            made.append(last)
-        ids = np.unique(mix(np.concatenate(made)) % np.uint64(DIMENSIONS - _PAIR_PART))
-        return ids.astype(np.int64) + _PAIR_PART
+            within = owner[: len(last)] == owner[n:]
+            made.append(last[within])
+            owners.append(owner[: len(last)][within])
+        ids = (mix(np.concatenate(made)) % np.uint64(DIMENSIONS - _PAIR_PART)).astype(np.int64) + _PAIR_PART
+        both = np.unique(np.concatenate(owners) * DIMENSIONS + ids)
+        cut = np.searchsorted(both, np.arange(len(texts) + 1) * DIMENSIONS)
+        both &= DIMENSIONS - 1
+        for i, t in enumerate(texts):
+            # a text without words has only its marks, which say nothing
+            self.known[t, side] = both[cut[i] : cut[i + 1]] if lengths[i] > 2 else both[:0]
 
 
 class Declining:
@@ -283,7 +317,7 @@ class Declining:
 
 
 def _bucket(x: float, steps: tuple) -> int:
-    return sum(x >= s for s in steps)
+    return bisect_right(steps, x)
 
 
 def _end(text: str) -> str:
@@ -317,10 +351,9 @@ class Features:
     """Feature numbers of pairs, given the two models of the sample."""
 
     def __init__(self, languages: Languages | None = None):
-        self.languages, grams = languages or Languages(), Grams()
+        self.languages, self.grams = languages or Languages(), Grams()
         # sentences and prompts recur; what is kept is bounded
         self.of = lru_cache(20_000)(self.languages.of)
-        self.grams = lru_cache(20_000)(lambda text, side, most: grams(words(text), side, most))
         self.names: dict[str, int] = {}
 
     def _number(self, name: str) -> int:
@@ -389,7 +422,7 @@ class Features:
                 f.append("only-copy")
         # declining, by sentence; and n-grams of both sides
         grams = [self.grams(p, 7, 2)]
-        parts = [(len(s), self.grams(s, 0, 3)) for s in _SENTENCE.findall(t)]
+        parts = [(len(s), self.grams(s, 0)) for s in _SENTENCE.findall(t)]
         grams += [g for _, g in parts]
         if rw and not held and declining is not None:
             said = [(n, declining.of(g)) for n, g in parts if len(g)]
@@ -419,18 +452,22 @@ class Features:
                 f.append("language=unknown")
         return f, grams
 
-    def __call__(self, pairs) -> Rows:
+    def __call__(self, pairs, batch: int = 2_000) -> Rows:
         """The features of pairs (prompt, response, Declining). The n-grams of a side have length one together, so that a long text's
         many words don't drown what the pair as such tells."""
-        flat, values, starts, at = [], [], [], 0
-        for p, r, declining in pairs:
-            names, grams = self.pair(p, r, declining)
-            own, asked, said = np.array([self._number(x) for x in names], np.int64), grams[0], np.concatenate(grams[1:]) if len(grams) > 1 else grams[0][:0]
-            starts.append(at)
-            at += len(own) + len(asked) + len(said)
-            flat += [own, asked, said]
-            values += [np.ones(len(own)), np.full(len(asked), 1 / max(1, len(asked)) ** 0.5), np.full(len(said), 1 / max(1, len(said)) ** 0.5)]
-        return Rows(np.concatenate(flat) if flat else np.zeros(0, np.int64), (np.concatenate(values) if values else np.zeros(0)).astype(np.float32), np.array(starts, np.int64))
+        pairs = list(pairs)
+        flat, values, lengths = [np.zeros(0, np.int64)], [np.zeros(0)], []
+        for k in range(0, len(pairs), batch):
+            part = pairs[k : k + batch]
+            self.grams.learn((p or "" for p, _, _ in part), 7, 2)
+            self.grams.learn((s for _, r, _ in part for s in _SENTENCE.findall((r or "").strip())), 0)
+            for p, r, declining in part:
+                names, grams = self.pair(p, r, declining)
+                own, asked, said = np.array([self._number(x) for x in names], np.int64), grams[0], np.concatenate(grams[1:]) if len(grams) > 1 else grams[0][:0]
+                flat += [own, asked, said]
+                values += [np.ones(len(own)), np.full(len(asked), 1 / max(1, len(asked)) ** 0.5), np.full(len(said), 1 / max(1, len(said)) ** 0.5)]
+                lengths.append(len(own) + len(asked) + len(said))
+        return Rows(np.concatenate(flat), np.concatenate(values).astype(np.float32), np.cumsum(lengths, dtype=np.int64) - np.array(lengths, np.int64))
 
 
 # the classifier ------------------------------------------------------------------------------------------------------
@@ -666,7 +703,7 @@ def train(rows: list[tuple[str | None, str | None]], seed: int = 5, first_rows:
     sound = [(p, r) for p, r in whole if _DOUBTFUL.isdisjoint(features.pair(p, r, None)[0])]
     if len(sound) < 20:
         return model
-    ids = lambda t: [g for x in _SENTENCE.findall(t) if len(g := features.grams(x, 0, 3))]
+    ids = lambda t: [g for x in _SENTENCE.findall(t) if len(g := features.grams(x, 0))]
     plain = [ids(r) for _, r in whole]
     spoken = Counter()
     for (_, r), parts in zip(whole, plain):
