@@ -218,12 +218,7 @@ def search_bm25_documents(spark, d):
 @query(f"""with {STORE}, {ASKED}, {_bm25('store', 'asked')}, qn as (select query_id, sqrt(sum(query_weight ** 2)) as m from wanted group by 1), dn as (select doc_id, sqrt(sum(weight ** 2)) as n from weights group by 1),
 c as (select query_id, doc_id, sum(weight * query_weight) as dot from weights join wanted using (term) group by all) select query_id as left_id, doc_id as right_id, round(dot / (m * n), 6) as cosine from c join qn using (query_id) join dn using (doc_id)""")
 def sparse_cosine(spark, d):
-    docs = store(spark, d)
-    n, average = sparse.collection(docs)
-    tf = sparse.term_frequencies(docs)
-    model = sparse.fit(tf, n)
-    asked = sparse.encode(sparse.term_frequencies(store_queries(spark, d), "query_id"), model, average)
-    return sparse.sparse_cosine(asked.withColumnRenamed("doc_id", "id"), sparse.encode(tf, model, average).withColumnRenamed("doc_id", "id")).withColumn("cosine", rounded(F.col("cosine")))
+    return sparse.cosines(store_queries(spark, d), store(spark, d))
 
 
 @query("select vec_id as id, i - 1 as term, round(embedding[i], 6) as weight from embeddings, range(1, 65) r(i) where abs(embedding[i]) > 1.1920929e-07")

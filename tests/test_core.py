@@ -173,6 +173,13 @@ def test_bm25_scores_pairs_where_the_documents_lie(spark, monkeypatch):
     assert sparse.search(q, d.limit(0)).count() == 0 and sparse.cosines(q.limit(0), d).count() == 0
 
 
+def test_every_pair_of_a_query_and_a_record_is_made_without_shuffling_it(spark):
+    from tessera import catalog
+
+    plan = catalog.QUERIES["sparse_cosine"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_fusion(spark):
     schema = "query_id string, doc_id string, score double"
     dense = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.1)], schema)
