@@ -189,6 +189,14 @@ def test_fusion(spark):
     assert fusion.fuse_weighted(dense.limit(0), one_side.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["search_hybrid_rrf"])
+def test_both_lists_of_a_hybrid_search_are_cut_down_by_task(spark, name):
+    from tessera import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join") == 1  # the lists', of k rows for each query
+
+
 def test_rerankers(spark):
     r = spark.createDataFrame([("q", "a", 0.2, 0, "red fox", "fox", [1.0], [1.0]), ("q", "b", 0.4, 1, None, "fox", [1.0], None)], "query_id string, doc_id string, score double, rank int, text string, query_text string, query_vector array<double>, vector array<double>")
     assert rows(rerank.semantic(r), "doc_id", "score") == [("a", 0.6), ("b", 0.2)]
