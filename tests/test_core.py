@@ -189,7 +189,7 @@ def test_fusion(spark):
     assert fusion.fuse_weighted(dense.limit(0), one_side.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["search_hybrid_rrf", "search_hybrid_weighted"])
+@pytest.mark.parametrize("name", ["search_hybrid_rrf", "search_hybrid_weighted", "search_hybrid_distribution"])
 def test_both_lists_of_a_hybrid_search_are_cut_down_by_task(spark, name):
     from tessera import catalog
 
