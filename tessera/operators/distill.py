@@ -46,9 +46,28 @@ def pair_statistics(p: DataFrame) -> DataFrame:
 
 def similar_patterns(patterns: DataFrame, threshold: float = 0.9) -> DataFrame:
     """first, second (first < second), similarity of different patterns (column pattern) whose word sets have shared / united of at
-    least the threshold. Words are ordered by how few patterns have them; sets that reach the threshold share one of their rarest, as
-    many as the threshold asks for, so only patterns with one of these in common, and of sizes that can do, are compared."""
-    p = cut(patterns.select("pattern").distinct().select("pattern", F.array_distinct(words("pattern")).alias("ws")).filter(F.size("ws") > 0))
+    least the threshold. Sets of a and b words that do differ by at most (a + b) (1 - threshold) / (1 + threshold) words. Equal sets meet
+    by their hash, and sets that differ by one word by that of the larger one without it. Only sets so large that they may differ by
+    more are compared by their rarest words (_by_rare_words)."""
+    more = threshold / max(1 - threshold, 1e-9) - 1e-6  # words of the smaller set from which one may differ; from twice as many, two
+    p = patterns.select("pattern").distinct().select("pattern", F.array_sort(F.array_distinct(words("pattern"))).alias("ws")).filter(F.size("ws") > 0)
+    p = cut(p.withColumn("h", F.xxhash64("ws")))
+    less = F.transform("ws", lambda w: F.xxhash64(F.array_remove("ws", w)))
+    side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("pattern", "ws")])
+    equal = side(p, "a").join(side(p, "b"), "h").filter((F.col("pattern_a") < F.col("pattern_b")) & (F.col("ws_a") == F.col("ws_b"))).select(F.col("pattern_a").alias("first"), F.col("pattern_b").alias("second"), F.lit(1.0).alias("similarity"))
+    larger = p.filter(F.size("ws") > more).select("pattern", "ws", F.explode(less).alias("h"))
+    k = F.size("ws_a")
+    apart = side(p.filter(F.size("ws") >= more), "a").join(side(larger, "b"), "h").filter((F.size("ws_b") == k + 1) & (F.size(F.array_except("ws_a", "ws_b")) == 0)).filter(k / (k + 1) >= threshold - 1e-9)
+    apart = apart.select(F.least("pattern_a", "pattern_b").alias("first"), F.greatest("pattern_a", "pattern_b").alias("second"), rounded(k / (k + 1)).alias("similarity"))
+    found = equal.unionByName(apart)
+    large = p.filter(F.size("ws") >= 2 * more)
+    return found.unionByName(_by_rare_words(large.select("pattern", "ws"), threshold)) if large.limit(1).count() else found
+
+
+def _by_rare_words(p: DataFrame, threshold: float) -> DataFrame:
+    """similar_patterns of sets (pattern, ws) that differ by two words or more. Words are ordered by how few patterns have them; sets that
+    reach the threshold share one of their rarest, as many as the threshold asks for, so only patterns with one of these in common, and of
+    sizes that can do, are compared."""
     each = p.select("pattern", F.explode("ws").alias("w"))
     rare = each.groupBy("w").agg(F.count("*").alias("n"))
     ordered = each.join(rare, "w").groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("ws"))
@@ -59,7 +78,7 @@ def similar_patterns(patterns: DataFrame, threshold: float = 0.9) -> DataFrame:
     met = side("a").join(side("b"), "w").filter((F.col("pattern_a") < F.col("pattern_b")) & (F.least("k_a", "k_b") >= threshold * F.greatest("k_a", "k_b") - 1e-9))
     # only where the first common word is met, so that a pair comes once
     common = F.array_intersect("ws_a", "ws_b")
-    met = met.filter(common[0] == F.col("w")).withColumn("o", F.size(common))
+    met = met.filter(common[0] == F.col("w")).withColumn("o", F.size(common)).filter(F.col("k_a") + F.col("k_b") - 2 * F.col("o") >= 2)
     similarity = F.col("o") / (F.col("k_a") + F.col("k_b") - F.col("o"))
     return met.filter(similarity >= threshold - 1e-9).select(F.col("pattern_a").alias("first"), F.col("pattern_b").alias("second"), rounded(similarity).alias("similarity"))
 

@@ -406,6 +406,30 @@ def test_patterns_similar_pairs_and_turns(spark):
     assert {r.i: r.model for r in distill.turns(asked, models).collect()} == {i: f"m{i % 3 + 1}" for i in range(9)}
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 0.9, 1.0])
+def test_similar_patterns_of_all_sizes_against_brute_force(spark, threshold):
+    from tessera.operators import distill
+
+    rng = np.random.default_rng(11)
+    texts = set()
+    for k in [1, 2, 3, 8, 9, 10, 11, 18, 19, 20, 21, 38, 40]:
+        base = [f"w{i}" for i in rng.choice(60, size=k, replace=False)]
+        texts |= {" ".join(base), " ".join(base[::-1]), " ".join(base + base[:1])}
+        for changed in (base[1:], base[2:], base[3:], [*base, "new"], [*base, "new", "newer"], ["new", *base[1:]], ["new", "newer", *base[2:]]):
+            texts.add(" ".join(changed))
+    sets = {t: set(t.split()) for t in texts if t}
+    got = rows(distill.similar_patterns(spark.createDataFrame([(t,) for t in texts], "pattern string"), threshold), "first", "second", "similarity")
+    assert got == sorted((p, q, round(len(sets[p] & sets[q]) / len(sets[p] | sets[q]), 6)) for p in sets for q in sets if p < q and len(sets[p] & sets[q]) >= threshold * len(sets[p] | sets[q]) - 1e-9)
+
+
+def test_short_patterns_with_a_common_rare_word_are_not_compared(spark):
+    from tessera.operators import distill
+
+    p = spark.createDataFrame([(f"alone x{i} y{i} z{i}",) for i in range(50)] * 2, "pattern string")
+    plan = distill.similar_patterns(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "array_intersect" not in plan
+
+
 def test_settings_go_to_json_and_back(tmp_path):
     from tessera.settings import Search, Settings
 
