@@ -50,18 +50,26 @@ def similar_patterns(patterns: DataFrame, threshold: float = 0.9) -> DataFrame:
     by their hash, and sets that differ by one word by that of the larger one without it. Only sets so large that they may differ by
     more are compared by their rarest words (_by_rare_words)."""
     more = threshold / max(1 - threshold, 1e-9) - 1e-6  # words of the smaller set from which one may differ; from twice as many, two
-    p = patterns.select("pattern").distinct().select("pattern", F.array_sort(F.array_distinct(words("pattern"))).alias("ws")).filter(F.size("ws") > 0)
-    p = cut(p.withColumn("h", F.xxhash64("ws")))
+    sets = lambda c: F.array_sort(F.array_distinct(words(c)))
+    p = cut(patterns.select("pattern").distinct().filter(F.size(words("pattern")) > 0))
+    each = p.select("pattern", sets("pattern").alias("ws"))
     less = F.transform("ws", lambda w: F.xxhash64(F.array_remove("ws", w)))
-    side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("pattern", "ws")])
-    equal = side(p, "a").join(side(p, "b"), "h").filter((F.col("pattern_a") < F.col("pattern_b")) & (F.col("ws_a") == F.col("ws_b"))).select(F.col("pattern_a").alias("first"), F.col("pattern_b").alias("second"), F.lit(1.0).alias("similarity"))
-    larger = p.filter(F.size("ws") > more).select("pattern", "ws", F.explode(less).alias("h"))
+    whole = each.select("pattern", (F.size("ws") >= more).alias("meets"), F.xxhash64("ws").alias("h"), F.lit(True).alias("whole"))
+    larger = each.filter(F.size("ws") > more).select("pattern", F.lit(False).alias("meets"), F.explode(less).alias("h"), F.lit(False).alias("whole"))
+    # only hashes that a whole set shares; one shuffle of hashes and patterns
+    same = W.partitionBy("h")
+    met = whole.unionByName(larger).withColumn("n", F.count("*").over(same)).withColumn("some", F.max("whole").over(same)).filter("n > 1 and some").drop("n", "some")
+    met = cut(met)
+    side = lambda s: met.filter("whole" if s == "a" else "true").select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("pattern", "meets", "whole")])
+    both = side("a").join(side("b"), "h").filter(F.when(F.col("whole_b"), F.col("pattern_a") < F.col("pattern_b")).otherwise(F.col("meets_a")))
+    both = both.select("whole_b", "pattern_a", "pattern_b", sets("pattern_a").alias("ws_a"), sets("pattern_b").alias("ws_b"))
     k = F.size("ws_a")
-    apart = side(p.filter(F.size("ws") >= more), "a").join(side(larger, "b"), "h").filter((F.size("ws_b") == k + 1) & (F.size(F.array_except("ws_a", "ws_b")) == 0)).filter(k / (k + 1) >= threshold - 1e-9)
-    apart = apart.select(F.least("pattern_a", "pattern_b").alias("first"), F.greatest("pattern_a", "pattern_b").alias("second"), rounded(k / (k + 1)).alias("similarity"))
-    found = equal.unionByName(apart)
-    large = p.filter(F.size("ws") >= 2 * more)
-    return found.unionByName(_by_rare_words(large.select("pattern", "ws"), threshold)) if large.limit(1).count() else found
+    similarity = F.when(F.col("whole_b"), F.lit(1.0)).otherwise(k / (k + 1))
+    # the hashes only propose
+    both = both.filter(F.when(F.col("whole_b"), F.col("ws_a") == F.col("ws_b")).otherwise((F.size("ws_b") == k + 1) & (F.size(F.array_except("ws_a", "ws_b")) == 0)) & (similarity >= threshold - 1e-9))
+    found = both.select(F.least("pattern_a", "pattern_b").alias("first"), F.greatest("pattern_a", "pattern_b").alias("second"), rounded(similarity).alias("similarity"))
+    large = each.filter(F.size("ws") >= 2 * more)
+    return found.unionByName(_by_rare_words(large, threshold)) if large.limit(1).count() else found
 
 
 def _by_rare_words(p: DataFrame, threshold: float) -> DataFrame:
